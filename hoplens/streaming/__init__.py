@@ -1,0 +1 @@
+"""hoplens.streaming."""
