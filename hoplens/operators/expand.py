@@ -80,10 +80,15 @@ def hop_pairs(edges: DataFrame, frontier: DataFrame, direction: str = "both",
 
 
 def expand_hop(edges: DataFrame, frontier: DataFrame, cap: int | None = None,
-               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """One hop: (seed_id, id, parent) of the next frontier, deduped and capped."""
+               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+               frontier_bound: int | None = None) -> DataFrame:
+    """One hop: (seed_id, id, parent) of the next frontier, deduped and capped.
+
+    ``frontier_bound`` is a proven upper bound on the frontier's rows, if the
+    caller has one (seeds x cap); otherwise the size is checked.
+    """
     f = frontier.select("seed_id", F.col("id").alias("a"), F.col("parent").alias("gp"))
-    f, _ = bounded_broadcast(f, max_broadcast_rows)
+    f, _ = bounded_broadcast(f, max_broadcast_rows, frontier_bound)
     pairs = adjacency(edges, "both").join(f, "a")
     pairs = pairs.where(F.col("gp").isNull() | (F.col("b") != F.col("gp")))
     level = pairs.groupBy("seed_id", F.col("b").alias("id")).agg(F.min("a").alias("parent"))
@@ -123,9 +128,14 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
         raise ValueError("hops must be >= 1")
     gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows)
     frontier = materialize(seed_frontier(gated), checkpoint)
+    # one small count; a capped frontier is then bounded by seeds x cap
+    n_seeds = frontier.count() if checkpoint else None
+    bound = n_seeds
     levels = []
     for h, cap in enumerate(_caps_for(hops, caps), start=1):
-        frontier = materialize(expand_hop(edges, frontier, cap, max_broadcast_rows), checkpoint)
+        frontier = materialize(expand_hop(edges, frontier, cap, max_broadcast_rows, bound),
+                               checkpoint)
+        bound = n_seeds * cap if (n_seeds is not None and cap is not None) else None
         levels.append(frontier.select("seed_id", "id", F.col("parent").alias("originalAddress"),
                                       F.lit(h).alias("label")))
     # (seed, id, hop) is unique by construction: the union needs no distinct

@@ -58,20 +58,25 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp", account("o_custkey").alias("from"), "to", "value")
 
 
-def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ledger_raw`` stored once per application as Parquet sorted by time."""
-    app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(sf_dir))
+def _stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write ``build()`` once per application into the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     with _lock:
         path = _stored.get(key)
         if path is None:
             digest = hashlib.sha1(key[1].encode()).hexdigest()[:16]
-            path = f"{checkpoint_dir(spark).rstrip('/')}/hoplens-ledger-{digest}"
-            write_clean_ledger(ledger_raw(spark, sf_dir), path, mode="overwrite")
+            path = f"{checkpoint_dir(spark).rstrip('/')}/hoplens-{name}-{digest}"
+            build(path)
             _stored[key] = path
     return spark.read.parquet(path)
 
 
+def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ledger_raw`` stored once per application as Parquet sorted by time."""
+    return _stored_table(spark, sf_dir, "ledger", lambda path: write_clean_ledger(
+        ledger_raw(spark, sf_dir), path, mode="overwrite"))
+
+
 def ledger(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     """The analysed ledger: one year, no zero-value rows."""
     raw = ledger_table(spark, sf_dir) if stored else ledger_raw(spark, sf_dir)
@@ -103,6 +108,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed list, stored once per application like a seeds file."""
+    return _stored_table(spark, sf_dir, "seeds", lambda path: seed_list(spark, sf_dir)
+                         .coalesce(1).write.mode("overwrite").parquet(path))
+
+
+def seed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DataFrame[id, seed_no]: the five smallest blacklisted customer accounts,
     then the smallest customer account on neither list (it must be gated out)."""
     from hoplens.operators.labels import label_set
