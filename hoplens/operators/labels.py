@@ -34,8 +34,9 @@ def gate_seeds(seeds: DataFrame, labels: DataFrame | None,
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """C3 — keep only seeds present in the label set.
 
-    A semi join with the (small, checked) seed list on the build side: the
-    label set is streamed, never shuffled whole against the seeds.
+    The label set is streamed through a semi join against the seed list,
+    broadcast when its size is proven small, so the label set is never
+    shuffled whole against a handful of seeds.
     """
     s = seed_frame(seeds)
     if not require_labelled:
@@ -43,11 +44,8 @@ def gate_seeds(seeds: DataFrame, labels: DataFrame | None,
     if labels is None:
         raise ValueError("require_labelled=True needs a label set")
     ids = labels.select(F.col("id").alias("seed_id"))
-    small, is_small = bounded_broadcast(s, max_broadcast_rows)
-    if is_small:
-        hits = ids.join(small, "seed_id", "left_semi").distinct()
-        return s.join(F.broadcast(hits), "seed_id", "left_semi")
-    return s.join(ids.distinct(), "seed_id", "left_semi")
+    small, _ = bounded_broadcast(s, max_broadcast_rows)
+    return ids.join(small, "seed_id", "left_semi").distinct()
 
 
 def flag(neighbours: DataFrame, blacklist: DataFrame,

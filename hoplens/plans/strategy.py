@@ -5,13 +5,18 @@
   so the check reads checkpoint files, not the whole lineage). Above the limit
   the side is left to a shuffle join, where AQE's skew-join split handles hot
   keys.
-* ``materialize`` — cut lineage with a reliable checkpoint in the folder named
-  by ``spark.checkpoint.dir``; the data then survives executor loss and later
-  stages do not recompute earlier hops.
+* ``materialize`` — cut lineage by writing the frame once as a Parquet table
+  in the shared folder named by ``spark.checkpoint.dir`` and reading it back.
+  The data then survives executor loss, later stages do not recompute earlier
+  hops, the planner sees real file sizes, and counts read Parquet footers.
+  (``Dataset.checkpoint`` would compute an unpersisted frame twice: once for
+  the action and once more to write the checkpoint files.)
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +60,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     return df, False
 
 
-def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Reliable checkpoint (never a local one) when enabled."""
+def materialize(df: DataFrame, enabled: bool = True, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table under the checkpoint folder, read it back.
+
+    Never a local checkpoint: the folder is the shared one of the session.
+    """
     if not enabled:
         return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hoplens-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no inference job
