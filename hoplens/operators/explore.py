@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hoplens.operators.flows import account_flows
 from hoplens.operators.labels import seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize
 
 # Fixed parameters of the sampled star: fraction and seed of the sample.
 SAMPLE_FRACTION = 0.0005
@@ -26,30 +27,30 @@ def _centres(seeds: DataFrame) -> DataFrame:
     return seed_frame(seeds)
 
 
-def _match(edges: DataFrame, ids: DataFrame, on: str,
-           max_broadcast_rows: int) -> DataFrame:
-    """Edge rows whose ``on`` column is in ``ids`` (seed_id, id); keeps seed_id."""
-    side, _ = bounded_broadcast(ids.select("seed_id", F.col("id").alias("_k")), max_broadcast_rows)
-    return edges.join(side, F.col(on) == F.col("_k")).drop("_k")
+def _touching(edges: DataFrame, ids: DataFrame, directions=("from", "to"),
+              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+              columns=("from", "to")) -> DataFrame:
+    """Edge rows where an account of ``ids`` (seed_id, id[, direction]) is on
+    one of ``directions``; one scan, both sides exploded (see account_flows)."""
+    return account_flows(edges, ids, directions, max_broadcast_rows=max_broadcast_rows,
+                         columns=columns)
+
+
+def _other_end() -> Column:
+    """The counterparty of the matched side."""
+    return F.when(F.col("direction") == "from", F.col("to")).otherwise(F.col("from"))
 
 
 def star_edges(edges: DataFrame, centres: DataFrame, mode: str = "both",
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Edge rows of each centre: 'out' (from = centre), 'in' (to = centre) or
     'both' (out rows ∪ in rows, bag). Output: seed_id, timestamp, from, to."""
-    c = _centres(centres).select("seed_id", F.col("seed_id").alias("id"))
-    e = edges.select("timestamp", "from", "to")
-    parts = []
-    if mode in ("out", "both"):
-        parts.append(_match(e, c, "from", max_broadcast_rows))
-    if mode in ("in", "both"):
-        parts.append(_match(e, c, "to", max_broadcast_rows))
-    if not parts:
+    directions = {"out": ("from",), "in": ("to",), "both": ("from", "to")}.get(mode)
+    if directions is None:
         raise ValueError(f"mode must be out, in or both, not {mode!r}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("seed_id", "timestamp", "from", "to")
+    c = _centres(centres).select("seed_id", F.col("seed_id").alias("id"))
+    rows = _touching(edges, c, directions, max_broadcast_rows, ("timestamp", "from", "to"))
+    return rows.select("seed_id", "timestamp", "from", "to")
 
 
 def hash_fraction(*cols: Column) -> Column:
@@ -88,36 +89,49 @@ def star_export(edges: DataFrame, two_way: DataFrame, out_only: DataFrame,
                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C14 — vertices (id, label) and edges (from, to) of three stars:
     a two-way star, an out-star and a sampled out-star. All centres are
-    vertices. Returns (vertices, edges, sampled edges)."""
-    s_both = star_edges(edges, two_way, "both", max_broadcast_rows)
-    s_out = star_edges(edges, out_only, "out", max_broadcast_rows)
-    s_smp = sample_rows(star_edges(edges, sampled, "out", max_broadcast_rows),
-                        fraction, seed, method)
-    all_edges = s_both.unionByName(s_out).unionByName(s_smp)
-    centres = (_centres(two_way).unionByName(_centres(out_only))
-               .unionByName(_centres(sampled)).select(F.col("seed_id").alias("id")))
-    vertex_ids = (all_edges.select(F.col("from").alias("id"))
-                  .unionByName(all_edges.select(F.col("to").alias("id")))
+    vertices. Returns (vertices, edges, sampled edges).
+
+    One scan of the ledger serves the three stars: each centre is tagged with
+    its role and the side(s) it matches on.
+    """
+    def role(df, name, directions):
+        c = _centres(df)
+        parts = [c.select("seed_id", F.col("seed_id").alias("id"), F.lit(d).alias("direction"),
+                          F.lit(name).alias("role")) for d in directions]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    roles = (role(two_way, "two_way", ("from", "to"))
+             .unionByName(role(out_only, "out", ("from",)))
+             .unionByName(role(sampled, "sampled", ("from",))))
+    rows = _touching(edges, roles, ("from", "to"), max_broadcast_rows,
+                     ("timestamp", "from", "to"))
+    plain = rows.where(F.col("role") != "sampled")
+    smp = sample_rows(rows.where(F.col("role") == "sampled"), fraction, seed, method)
+    all_edges = plain.unionByName(smp)
+    centres = roles.select("id")
+    vertex_ids = (all_edges.select(F.explode(F.array(F.col("from"), F.col("to"))).alias("id"))
                   .unionByName(centres).where(F.col("id").isNotNull()).distinct())
     vertices = with_labels(vertex_ids, labels)
     edge_pairs = all_edges.select("from", "to").distinct()
-    return vertices, edge_pairs, s_smp.select("from", "to")
+    return vertices, edge_pairs, smp.select("from", "to")
 
 
 def out_neighbours(edges: DataFrame, ids: DataFrame,
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Distinct (seed_id, id) receivers of transfers sent by ``ids``."""
-    return (_match(edges.select("from", "to"), ids, "from", max_broadcast_rows)
-            .select("seed_id", F.col("to").alias("id")).where(F.col("id").isNotNull()).distinct())
+    rows = _touching(edges, ids.select("seed_id", "id"), ("from",), max_broadcast_rows)
+    return rows.select("seed_id", F.col("to").alias("id")).where(F.col("id").isNotNull()).distinct()
 
 
 def grow(edges: DataFrame, ball: DataFrame,
          max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """One ball step: in(ball) ∪ out(ball) ∪ ball, distinct (seed_id, id)."""
-    e = edges.select("from", "to")
-    outs = _match(e, ball, "from", max_broadcast_rows).select("seed_id", F.col("to").alias("id"))
-    ins = _match(e, ball, "to", max_broadcast_rows).select("seed_id", F.col("from").alias("id"))
-    return (outs.unionByName(ins).unionByName(ball.select("seed_id", "id"))
+    rows = _touching(edges, ball.select("seed_id", "id"), ("from", "to"), max_broadcast_rows)
+    return (rows.select("seed_id", _other_end().alias("id"))
+            .unionByName(ball.select("seed_id", "id"))
             .where(F.col("id").isNotNull()).distinct())
 
 
@@ -140,11 +154,8 @@ def ball_levels(edges: DataFrame, centres: DataFrame, checkpoint: bool = True,
 def ball_edges(edges: DataFrame, ball: DataFrame,
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Distinct (seed_id, source, target) of transfers touching the ball."""
-    e = edges.select("from", "to")
-    outs = _match(e, ball, "from", max_broadcast_rows)
-    ins = _match(e, ball, "to", max_broadcast_rows)
-    return (outs.unionByName(ins)
-            .select("seed_id", F.col("from").alias("source"), F.col("to").alias("target"))
+    rows = _touching(edges, ball.select("seed_id", "id"), ("from", "to"), max_broadcast_rows)
+    return (rows.select("seed_id", F.col("from").alias("source"), F.col("to").alias("target"))
             .distinct())
 
 
@@ -159,7 +170,7 @@ def out_degree(edges: DataFrame, ids: DataFrame,
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """A5 — per (seed_id, account): number of transfers it sent (multi-edges
     counted). Output: seed_id, from, number."""
-    rows = _match(edges.select("from", "to"), ids, "from", max_broadcast_rows)
+    rows = _touching(edges, ids.select("seed_id", "id"), ("from",), max_broadcast_rows)
     return rows.groupBy("seed_id", "from").agg(F.count(F.lit(1)).alias("number"))
 
 

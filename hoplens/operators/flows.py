@@ -47,28 +47,32 @@ def seed_accounts(seeds: DataFrame) -> DataFrame:
 def account_flows(ledger: DataFrame, accounts: DataFrame,
                   directions: Sequence[str] = DIRECTIONS,
                   start: int | None = None, end: int | None = None,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                  columns: Sequence[str] = ("timestamp", "from", "to", "value")) -> DataFrame:
     """Ledger rows touching tracked accounts, one row per matching side.
 
-    ``accounts``: (keys..., id). Output: keys..., id, direction, timestamp,
-    from, to, value. ``start``/``end`` restrict the time window before the
-    join (pushed into the scan).
+    ``accounts``: (keys..., id), optionally with a ``direction`` column that
+    restricts an account to one side. Output: keys..., id, direction, then
+    ``columns`` of the ledger row. ``start``/``end`` restrict the time window
+    before the join (pushed into the scan). One scan of the ledger serves both
+    sides.
     """
     for d in directions:
         if d not in DIRECTIONS:
             raise ValueError(f"direction must be 'from' or 'to', not {d!r}")
-    rows = ledger.select("timestamp", "from", "to", "value")
+    columns = list(columns)
+    rows = ledger
     if start is not None or end is not None:
         rows = rows.where(in_window("timestamp", start, end))
     sides = [F.struct(F.lit(d).alias("direction"), F.col(d).alias("acct")) for d in directions]
     side = F.explode(F.array(*sides)) if len(sides) > 1 else sides[0]
-    exploded = rows.select("timestamp", "from", "to", "value", side.alias("s")).select(
-        "timestamp", "from", "to", "value", F.col("s.direction").alias("direction"),
+    exploded = rows.select(*columns, side.alias("s")).select(
+        *columns, F.col("s.direction").alias("direction"),
         F.col("s.acct").alias("id")).where(F.col("id").isNotNull())
     acc, _ = bounded_broadcast(accounts, max_broadcast_rows)
-    keys = [c for c in accounts.columns if c != "id"]
-    return exploded.join(acc, "id").select(*keys, "id", "direction", "timestamp",
-                                           "from", "to", "value")
+    on = ["id", "direction"] if "direction" in accounts.columns else ["id"]
+    keys = [c for c in accounts.columns if c not in ("id", "direction")]
+    return exploded.join(acc, on).select(*keys, "id", "direction", *columns)
 
 
 def transactions(ledger: DataFrame, accounts: DataFrame, tz: str | None = None,
