@@ -30,11 +30,13 @@ def time_window(raw: DataFrame, start: int | None = None, end: int | None = None
 
 def write_clean_ledger(df: DataFrame, path: str, mode: str = "errorifexists",
                        fmt: str = "parquet") -> None:
-    """Store a cleaned ledger for the analyses, clustered by time.
+    """Store a cleaned ledger for the analyses, sorted by time inside each file.
 
-    Range-partitioning on ``timestamp`` and sorting inside each file gives
-    tight min/max statistics, so a later window filter skips whole files and
-    row groups. AQE sizes the range partitions.
+    ``rebalance`` lets AQE size the output files and split skewed partitions
+    (a range split on ``timestamp`` would send every copy of one hot
+    timestamp to a single writer); sorting inside each file keeps the
+    row-group min/max statistics on ``timestamp`` tight, so a later window
+    filter skips row groups.
     """
-    (df.repartitionByRange("timestamp").sortWithinPartitions("timestamp")
+    (df.hint("rebalance").sortWithinPartitions("timestamp")
        .write.mode(mode).format(fmt).save(path))
