@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplens.operators import clean, expand, explore, flows, labels, report
+from hoplens.plans.strategy import materialize
 from hoplens.sources import fixtures as fx
 
 TZ = "UTC"
@@ -42,24 +43,20 @@ def _seeds(spark, d):
     return fx.seeds(spark, d)
 
 
-def _gated_frontier(spark, d):
-    gated = labels.gate_seeds(_seeds(spark, d), _labels(spark, d))
-    return expand.seed_frontier(gated)
-
-
-def _hop1_capped(spark, d):
-    level = expand.expand_hop(_ledger(spark, d), _gated_frontier(spark, d),
-                              cap=expand.DEFAULT_CAPS[0])
-    return level
-
-
 def _khop(spark, d, hops=4, caps=expand.DEFAULT_CAPS):
     return expand.khop(_ledger(spark, d), _seeds(spark, d), labels=_labels(spark, d),
                        hops=hops, caps=caps)
 
 
+def _hop1_capped(spark, d):
+    """The materialised hop-1 frontier (seed_id, id, parent) with the hop-1 cap."""
+    k = _khop(spark, d, hops=1, caps=expand.DEFAULT_CAPS[:1])
+    return k.select("seed_id", "id", F.col("originalAddress").alias("parent"))
+
+
 def _flagged(spark, d):
-    return labels.flag(_khop(spark, d), fx.blacklist(spark, d))
+    # reused by several joins downstream: materialise once
+    return materialize(labels.flag(_khop(spark, d), fx.blacklist(spark, d)), name="flagged")
 
 
 def _as_neighbours(level, h):
@@ -83,8 +80,7 @@ def q_seed_lookup(spark, d):
 
 
 def q_hop1(spark, d):
-    level = expand.expand_hop(_ledger(spark, d), _gated_frontier(spark, d), cap=None)
-    return _as_neighbours(level, 1)
+    return _khop(spark, d, hops=1, caps=None)
 
 
 def _hop2_pairs(spark, d, direction):
@@ -128,7 +124,8 @@ def q_black_neighbours(spark, d):
 
 def q_blacklist_ratio(spark, d):
     hop2 = expand.hop(_khop(spark, d, hops=2, caps=None), 2)
-    return labels.blacklist_ratio(labels.flag(hop2, fx.blacklist(spark, d)), _seeds(spark, d))
+    flagged = materialize(labels.flag(hop2, fx.blacklist(spark, d)), name="flagged")
+    return labels.blacklist_ratio(flagged, _seeds(spark, d))
 
 
 def q_account_transactions(spark, d):

@@ -27,16 +27,6 @@ from hoplens.session import checkpoint_dir
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def plan_max_rows(df: DataFrame) -> int | None:
-    """Upper bound on the row count that Catalyst proves from the plan alone
-    (e.g. a LIMIT, or a union of limits); None when there is none."""
-    try:
-        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-        return int(bound.get()) if bound.isDefined() else None
-    except Exception:  # e.g. Spark Connect: no JVM handle
-        return None
-
-
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads at most limit+1."""
     return df.limit(limit + 1).count() <= limit
@@ -46,13 +36,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                       known_bound: int | None = None) -> tuple[DataFrame, bool]:
     """Return (side, broadcast?) with a broadcast hint only for a proven size.
 
-    The bound comes, cheapest first, from the caller (``known_bound``, e.g.
-    seeds x cap for a capped frontier), from the plan (``maxRows``), or from
-    counting at most ``max_rows + 1`` rows.
+    The bound comes from the caller (``known_bound``, e.g. seeds x cap for a
+    capped frontier) or from counting at most ``max_rows + 1`` rows.
     """
     if max_rows <= 0:
         return df, False
-    bound = known_bound if known_bound is not None else plan_max_rows(df)
+    bound = known_bound
     if bound is not None and bound <= max_rows:
         return F.broadcast(df), True
     if row_count_at_most(df, max_rows):

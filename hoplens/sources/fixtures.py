@@ -60,7 +60,7 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` once per application into the checkpoint folder."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.conf.get("spark.app.id", "app"), os.path.abspath(sf_dir), name)
     with _lock:
         path = _stored.get(key)
         if path is None:
