@@ -1,7 +1,9 @@
 """Writing results (K1-K7).
 
 * save modes replace the driver-side ``rmtree`` / path checks: 'errorifexists'
-  (default), 'overwrite' (replace), 'ignore' (skip when present);
+  (default), 'overwrite' (replace), 'ignore' (skip when present), and
+  'missing': append only the partitions (e.g. seed / neighbour folders) that
+  are not written yet, so a rerun after a failure redoes only what is absent;
 * ``partition_by`` lays out per-seed / per-neighbour folders in one write
   (``seed_id=<seed>/id=<neighbour>/``) instead of one job per account;
 * ``single_file`` coalesces to one partition for small reports only.
@@ -11,11 +13,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from hoplens.functions.amounts import percent_text
 
-SAVE_MODES = ("errorifexists", "error", "overwrite", "ignore", "append")
+SAVE_MODES = ("errorifexists", "error", "overwrite", "ignore", "append", "missing")
+
+
+def existing_keys(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
+                  header: bool = True) -> DataFrame | None:
+    """Distinct partition keys already written under ``path`` (None if nothing).
+
+    Read with ``df``'s own schema, so partition values keep their types (no
+    discovery turning an account like ``0001`` into the number 1).
+    """
+    try:
+        reader = df.sparkSession.read.schema(df.schema).format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", header)
+        return reader.load(path).select(*keys).distinct()
+    except AnalysisException:  # path absent or empty
+        return None
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
@@ -23,6 +42,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
                 header: bool = True) -> None:
     if mode not in SAVE_MODES:
         raise ValueError(f"mode must be one of {SAVE_MODES}, not {mode!r}")
+    if mode == "missing":
+        if not partition_by:
+            mode = "ignore"
+        else:
+            done = existing_keys(df, path, partition_by, fmt, header)
+            if done is not None:
+                cond = [df[k].eqNullSafe(done[k]) for k in partition_by]
+                df = df.join(done, cond, "left_anti")
+            mode = "append"
     if single_file:
         df = df.coalesce(1)
     writer = df.write.mode(mode).format(fmt)

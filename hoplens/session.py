@@ -41,28 +41,38 @@ def build_session(master: str = "local[*]", app_name: str = "hoplens",
     return spark
 
 
+def _local_master(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return str(spark.conf.get("spark.master", "")).startswith("local")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting it from the config.
+    """This application's folder for lineage cuts, under ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` must name a shared folder; a
-    machine-local temporary folder is only used for a local master where the
-    setting is absent.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS,
+    object store); a machine-local temporary folder is only created for a local
+    master where the setting is absent, as in tests.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
         try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # not set at all
-            configured = None
-    if not configured:
-        if not sc.master.startswith("local"):
+            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:
+            root = None
+    if not root:
+        if not _local_master(spark):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
-                "(HDFS/object store) so checkpoints survive executor loss")
-        configured = tempfile.mkdtemp(prefix="hoplens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+                "(HDFS/object store) so materialised stages survive executor loss")
+        root = tempfile.mkdtemp(prefix="hoplens-ckpt-")
+    app = spark.conf.get("spark.app.id", "app")
+    folder = f"{root.rstrip('/')}/hoplens-{app}"
+    try:
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(folder)  # also serves df.checkpoint() callers
+    except Exception:
+        pass
+    return folder

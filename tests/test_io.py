@@ -70,3 +70,15 @@ def test_streaming_clean_ledger(spark):
     q.awaitTermination(120)
     got = spark.read.parquet(os.path.join(d, "out")).collect()
     assert [(r.timestamp, r["from"], r["to"], r.value) for r in got] == [(10, "A", "B", 1.0)]
+
+
+def test_write_missing_appends_only_new_partitions(spark):
+    from hoplens.plans.sinks import write_table
+
+    d = _scratch() + "/tx"
+    first = spark.createDataFrame([("S", "A", 1), ("S", "0001", 2)], "seed_id string, id string, v int")
+    write_table(first, d, mode="missing", partition_by=("seed_id", "id"))
+    again = spark.createDataFrame([("S", "A", 99), ("S", "0001", 98), ("S", "C", 3)], "seed_id string, id string, v int")
+    write_table(again, d, mode="missing", partition_by=("seed_id", "id"))
+    got = sorted((r.id, r.v) for r in spark.read.parquet(d).collect())
+    assert got == [("0001", 2), ("A", 1), ("C", 3)]  # A kept, only C added
