@@ -3,7 +3,7 @@
 For all seeds at once (``seed_id`` is a key column, not a loop):
 
 1. transactions of every seed account;
-2. capped k-hop neighbourhood of every labelled seed (checkpointed per hop);
+2. capped k-hop neighbourhood of every labelled seed (materialised per hop);
 3. blacklist flag of every neighbour;
 4. transactions of every neighbour, written as ``seed_id=/id=`` folders;
 5. recent-window totals of the blacklisted neighbours;
@@ -92,9 +92,56 @@ def run_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
     """Write every output under ``out_dir``; returns name -> path."""
     cfg = cfg or StudyConfig()
     outputs = neighbourhood_study(ledger, seeds, labelled, blacklist, cfg)
+    return write_all(outputs, out_dir, cfg.fmt, cfg.mode)
+
+
+def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
+                blacklist: DataFrame, require_labelled: bool = True,
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> dict[str, DataFrame]:
+    """The neighbour-ratio job: uncapped two-hop expansion, hop-2 neighbours
+    flagged, and the blacklisted share per seed."""
+    labels = label_set(labelled, blacklist)
+    hop2 = khop(ledger, seeds, labels=labels, hops=2, caps=None,
+                require_labelled=require_labelled, max_broadcast_rows=max_broadcast_rows)
+    flagged = materialize(flag(hop2.where(hop2.label == 2), blacklist, max_broadcast_rows),
+                          name="flagged")
+    return {"hop2_flagged": flagged, "blacklist_ratio": blacklist_ratio(flagged, seeds)}
+
+
+def explore_study(graph: DataFrame, two_way: DataFrame, out_only: DataFrame,
+                  sampled: DataFrame, ball_centres: DataFrame, labelled: DataFrame | None,
+                  blacklist: DataFrame, fraction: float | None = None,
+                  method: str = "bernoulli") -> dict[str, DataFrame]:
+    """The graph prototype: three stars with vertex labels, then out-degrees
+    of the ball centres' direct neighbours and the ball growth to four steps.
+    ``graph`` is the windowed ledger with zero-value rows kept."""
+    from hoplens.operators import explore
+
+    labels = label_set(labelled, blacklist)
+    kwargs = {} if fraction is None else {"fraction": fraction}
+    vertices, edges, sampled_edges = explore.star_export(graph, two_way, out_only, sampled,
+                                                         labels, method=method, **kwargs)
+    n1, _, b3, b4 = explore.ball_levels(graph, ball_centres)
+    degrees = explore.out_degree(graph, n1)
+    b4_labelled = explore.with_labels(b4, labels)
+    return {
+        "star_vertices": vertices,
+        "star_edges": edges,
+        "star_sampled": sampled_edges,
+        "out_degree": degrees,
+        "multi_edges": explore.multi_edges(degrees),
+        "ball3": explore.with_labels(b3, labels),
+        "ball4": b4_labelled,
+        "ball4_edges": explore.ball_edges(graph, b3),
+        "ball_black_count": explore.labelled_count(b4_labelled, ball_centres),
+    }
+
+
+def write_all(outputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
+              mode: str = "errorifexists") -> dict[str, str]:
     paths = {}
     for name, df in outputs.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df, path, cfg.fmt, cfg.mode, LAYOUT.get(name))
+        write_table(df, path, fmt, mode, LAYOUT.get(name))
         paths[name] = path
     return paths
