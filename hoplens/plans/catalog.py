@@ -187,6 +187,14 @@ def q_star_sampled(spark, d):
     return _stars(spark, d)[2]
 
 
+def q_star_sampled_bernoulli(spark, d):
+    # DataFrame.sample, as the original draws it; no portable SQL equivalent
+    s = _seeds(spark, d)
+    return explore.star_export(
+        _graph(spark, d), s.where(F.col("seed_no") == 1), s.where(F.col("seed_no") == 2),
+        s.where(F.col("seed_no") == 3), _labels(spark, d), method="bernoulli")[2]
+
+
 def _n1(spark, d):
     centres = labels.seed_frame(_seeds(spark, d)).select("seed_id", F.col("seed_id").alias("id"))
     return explore.out_neighbours(_graph(spark, d), centres)
@@ -204,6 +212,10 @@ def _balls(spark, d):
     return explore.ball_levels(_graph(spark, d), _seeds(spark, d))
 
 
+def q_ball2(spark, d):
+    return _balls(spark, d)[1]
+
+
 def q_ball3(spark, d):
     return explore.with_labels(_balls(spark, d)[2], _labels(spark, d))
 
@@ -256,8 +268,10 @@ QUERIES: dict[str, Query] = {
     "star_vertices": q_star_vertices,
     "star_edges": q_star_edges,
     "star_sampled": q_star_sampled,
+    "star_sampled_bernoulli": q_star_sampled_bernoulli,
     "hop_out_degree": q_hop_out_degree,
     "multi_edge": q_multi_edge,
+    "ball2": q_ball2,
     "ball3": q_ball3,
     "ball4": q_ball4,
     "ball4_edges": q_ball4_edges,

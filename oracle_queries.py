@@ -244,6 +244,7 @@ LEFT JOIN label_set ls ON ls.id = v.id""",
     "star_sampled": _with(BASE, EXPLORE) + 'SELECT "from", "to" FROM star_rows WHERE sampled = 1',
     "hop_out_degree": _with(BASE, EXPLORE) + 'SELECT seed_id, "from", number FROM degrees',
     "multi_edge": _with(BASE, EXPLORE) + 'SELECT seed_id, "from", number FROM degrees WHERE number IN (2, 3)',
+    "ball2": _with(BASE, EXPLORE) + "SELECT seed_id, id FROM b2",
     "ball3": _with(BASE, EXPLORE) + """
 SELECT b.seed_id, b.id, coalesce(ls.label, 0) AS label FROM b3 b LEFT JOIN label_set ls ON ls.id = b.id""",
     "ball4": _with(BASE, EXPLORE) + """
