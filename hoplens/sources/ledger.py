@@ -44,18 +44,25 @@ LEDGER_COLUMNS = ("timestamp", "from", "to", "value")
 
 
 def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
-                schema: T.StructType | None = None, header: bool = True) -> DataFrame:
+                schema: T.StructType | None = None, header: bool = True,
+                infer_schema: bool = False) -> DataFrame:
     """Read a ledger from ``hdfs://``, ``file://`` or default-FS paths.
 
-    CSV needs a schema (``RAW_LEDGER_SCHEMA`` for the 14-column export,
-    ``CLEAN_LEDGER_SCHEMA`` for the cleaned four columns); Parquet and ORC
-    carry their own.
+    CSV takes a schema (``RAW_LEDGER_SCHEMA`` for the 14-column export,
+    ``CLEAN_LEDGER_SCHEMA`` by default for the cleaned four columns);
+    ``infer_schema=True`` infers types instead, at the price of an extra pass
+    over the files. Parquet and ORC carry their own schema.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", header).schema(schema or CLEAN_LEDGER_SCHEMA)
-        return reader.csv(paths)
+        reader = reader.option("header", header)
+        if infer_schema and schema is None:
+            df = reader.option("inferSchema", True).csv(paths)
+            if "timestamp" in df.columns:
+                df = df.withColumn("timestamp", df["timestamp"].cast("long"))
+            return df
+        return reader.schema(schema or CLEAN_LEDGER_SCHEMA).csv(paths)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(paths)

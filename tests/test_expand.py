@@ -172,3 +172,18 @@ def test_fixture_properties(spark):
     hop2 = khop(led, seeds, labels=labels, hops=2, caps=None).where(F.col("label") == 2)
     ratios = blacklist_ratio(flag(hop2, fx.blacklist(spark, FIXTURE)), seeds).collect()
     assert all(r.ratio is None or 0.0 <= r.ratio <= 1.0 for r in ratios)
+
+
+def test_khop_with_hub_matches_brute_force(ledger_of, ids_of):
+    # one account carries most transfers (and many duplicate copies of one edge)
+    rnd = random.Random(7)
+    nodes = [f"v{i:02d}" for i in range(40)]
+    edges = [("hub", rnd.choice(nodes)) for _ in range(120)] + [("hub", "v01")] * 200
+    edges += [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(40)]
+    edges += [(rnd.choice(nodes), "hub") for _ in range(60)]
+    seeds = ["v01", "v02", "hub"]
+    led = ledger_of([(i, a, b, 1.0) for i, (a, b) in enumerate(edges)])
+    labels = label_set(None, ids_of(seeds, "blacklist"))
+    for caps in (None, (5, 5, 5, 5)):
+        got = rows(khop(led, ids_of(seeds), labels=labels, hops=3, caps=caps))
+        assert got == brute_khop(edges, seeds, set(seeds), 3, caps)

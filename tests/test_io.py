@@ -82,3 +82,12 @@ def test_write_missing_appends_only_new_partitions(spark):
     write_table(again, d, mode="missing", partition_by=("seed_id", "id"))
     got = sorted((r.id, r.v) for r in spark.read.parquet(d).collect())
     assert got == [("0001", 2), ("A", 1), ("C", 3)]  # A kept, only C added
+
+
+def test_read_csv_inferred(spark):
+    d = _scratch()
+    with open(os.path.join(d, "clean.csv"), "w") as f:
+        f.write("timestamp,from,to,value\n5,A,B,1.5\n6,B,C,2\n")
+    led = read_ledger(spark, os.path.join(d, "clean.csv"), "csv", infer_schema=True)
+    types = dict(led.dtypes)
+    assert types["timestamp"] == "bigint" and types["value"] == "double"
