@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hoplens.operators.flows import account_flows
 from hoplens.operators.labels import seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
 
 # Fixed parameters of the sampled star: fraction and seed of the sample.
 SAMPLE_FRACTION = 0.0005
@@ -186,15 +186,22 @@ def all_vertices(edges: DataFrame) -> DataFrame:
     return ids.where(F.col("id").isNotNull()).distinct()
 
 
-def component_labelled(components: DataFrame, labels: DataFrame, vertices: DataFrame,
-                       component: object | None = None) -> DataFrame:
-    """C18 — labelled accounts of one component that also transact.
+def component_labelled(components: DataFrame, labels: DataFrame, edges: DataFrame,
+                       component: object | None = None,
+                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """C18 — labelled accounts of one component that also transact in ``edges``.
 
-    ``components``: (id, component). Output: id, component, label.
+    ``components``: (id, component). Output: id, component, label. The labelled
+    members of the component are the small side: the ledger's account columns
+    are streamed once through a semi join against them (broadcast when their
+    number is proven small), so the full vertex list is never built.
     """
     c = components.select(F.col("id").cast("string").alias("id"), "component")
     if component is not None:
         c = c.where(F.col("component") == F.lit(component))
     lab = labels.select("id", "label").distinct()
-    return (c.join(lab, "id").join(vertices.select("id"), "id", "left_semi")
-            .select("id", "component", "label"))
+    members = c.join(lab, "id")
+    cand, _ = bounded_broadcast(members.select("id").distinct(), max_broadcast_rows)
+    ids = edges.select(F.explode(F.array(F.col("from"), F.col("to"))).alias("id"))
+    present = ids.join(cand, "id", "left_semi").distinct()
+    return members.join(present, "id", "left_semi").select("id", "component", "label")

@@ -239,7 +239,7 @@ def q_all_vertices(spark, d):
 
 def q_component_labelled(spark, d):
     return explore.component_labelled(fx.components(spark, d), _labels(spark, d),
-                                      explore.all_vertices(_graph(spark, d)), fx.COMPONENT)
+                                      _graph(spark, d), fx.COMPONENT)
 
 
 QUERIES: dict[str, Query] = {

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from hoplens.session import checkpoint_dir
 
-# Broadcast limit in rows for id-sized sides (seed, id, parent strings: a few
-# hundred bytes a row, so the default stays well under 1 GiB per executor).
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Broadcast limit in rows for id-sized sides: up to three account strings of
+# ~42 characters (about 200 bytes a row with overhead), so ~200 MB per executor.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:

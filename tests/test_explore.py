@@ -66,6 +66,6 @@ def test_vertices_and_components(spark, ledger_of, ids_of):
     comps = spark.createDataFrame([("B", 7), ("E", 7), ("Q", 7), ("S", 8)],
                                   "id string, component int")
     labels = label_set(ids_of(["Q"], "account"), ids_of(["B", "S"], "blacklist"))
-    got = explore.component_labelled(comps, labels, v, 7)
+    got = explore.component_labelled(comps, labels, g, 7)
     assert sorted(r.id for r in got.collect()) == ["B"]
-    assert explore.component_labelled(comps, labels, v).where(F.col("id") == "S").count() == 1
+    assert explore.component_labelled(comps, labels, g).where(F.col("id") == "S").count() == 1
