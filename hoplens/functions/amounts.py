@@ -20,6 +20,14 @@ def amount_sum(c: Column | str, scale: int | None = None) -> Column:
     return F.sum(col.cast(f"decimal(18,{scale})")).cast("double")
 
 
+def amount_sum_exact(c: Column | str, scale: int | None = None) -> Column:
+    """Like ``amount_sum`` but keeps the decimal type (for later roll-ups)."""
+    col = F.col(c) if isinstance(c, str) else c
+    if scale is None:
+        return F.sum(col)
+    return F.sum(col.cast(f"decimal(18,{scale})"))
+
+
 def safe_ratio(num: Column | str, den: Column | str) -> Column:
     """``num / den`` as double, null when the denominator is zero."""
     n = F.col(num) if isinstance(num, str) else num

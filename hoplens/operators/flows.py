@@ -15,10 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoplens.functions.amounts import amount_sum
+from hoplens.functions.amounts import amount_sum, amount_sum_exact
 from hoplens.functions.time import bucket, in_window
 from hoplens.operators.labels import FLAG, seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
 
 DIRECTIONS = ("from", "to")
 
@@ -115,12 +115,57 @@ def trend(flows: DataFrame, unit: str = "day", keys: Sequence[str] | None = None
                  "value")
     g = f.groupBy(*keys, *names).agg(amount_sum("value", amount_scale).alias("total_amount"),
                                      F.count(F.lit(1)).alias("count"))
+    return _lagged(g, keys, names, lag_name)
+
+
+def _lagged(g: DataFrame, keys: list[str], names: Sequence[str], lag_name: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*names)
     g = g.withColumn(lag_name, F.lag("count").over(w))
     return g.select(*keys, *names, "total_amount", "count", lag_name,
                     (F.col("count") - F.col(lag_name)).alias("growth"))
 
 
+def trends(flows: DataFrame, units: Sequence[str] = ("day", "hour"),
+           keys: Sequence[str] | None = None, tz: str | None = None,
+           amount_scale: int | None = None, materialize_base: bool = True
+           ) -> dict[str, DataFrame]:
+    """Several granularities from one pass over the flow rows.
+
+    The rows are aggregated once per hour bucket (partial aggregation before
+    the shuffle); that small table (at most keys x hours) is materialised and
+    rolled up to days and months. Decimal sums (``amount_scale``) stay exact
+    through the roll-up; double sums are re-associated.
+    """
+    if keys is None:
+        keys = [c for c in flows.columns[:flows.columns.index("id")]] + ["direction"]
+    keys = list(keys)
+    f = flows.where(F.col("timestamp").isNotNull())
+    base = (f.select(*keys, bucket("timestamp", "hour", tz).alias("_h"), "value")
+             .groupBy(*keys, "_h")
+             .agg(amount_sum_exact("value", amount_scale).alias("_sum"),
+                  F.count(F.lit(1)).alias("count")))
+    if materialize_base:
+        base = materialize(base, name="hourly")
+    out = {}
+    for unit in units:
+        try:
+            names, _, lag_name = TREND_UNITS[unit]
+        except KeyError:
+            raise ValueError(f"unit must be one of {sorted(TREND_UNITS)}, not {unit!r}")
+        if unit == "hour":
+            g = base.select(*keys, F.col("_h").alias("hour"), "_sum", "count")
+        elif unit == "hour_of_day":
+            g = base.select(*keys, F.substring("_h", 1, 10).alias("date"),
+                            F.substring("_h", 12, 2).alias("hour"), "_sum", "count")
+        else:
+            width = 10 if unit == "day" else 7
+            g = (base.groupBy(*keys, F.substring("_h", 1, width).alias(names[0]))
+                     .agg(F.sum("_sum").alias("_sum"), F.sum("count").alias("count")))
+        g = g.withColumn("total_amount", F.col("_sum").cast("double")).drop("_sum")
+        out[unit] = _lagged(g, keys, names, lag_name)
+    return out
+
+
 def neighbour_flows(ledger: DataFrame, flagged: DataFrame,
                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Flows of the distinct flagged neighbour ids of each seed.

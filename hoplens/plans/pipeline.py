@@ -12,7 +12,9 @@ For all seeds at once (``seed_id`` is a key column, not a loop):
 7. one report row per seed.
 
 The flagged neighbourhood is materialised once and reused by steps 4-7; the
-flow frame is materialised once for both trend granularities.
+trends of every granularity come from one hourly aggregate (materialised,
+at most seeds x flags x directions x hours rows), not from a stored copy of
+the neighbours' transactions.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from hoplens.operators.expand import DEFAULT_CAPS, khop
 from hoplens.operators.flows import (neighbour_flows, recent_summary, seed_accounts,
-                                     tracked_accounts, transactions, trend)
+                                     tracked_accounts, transactions, trends)
 from hoplens.operators.labels import FLAG, blacklist_ratio, flag, label_set
 from hoplens.operators.report import seed_report
 from hoplens.plans.sinks import write_table
@@ -55,8 +57,7 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
     neighbours = khop(ledger, seeds, labels=labels, hops=cfg.hops, caps=cfg.caps,
                       require_labelled=cfg.require_labelled,
                       max_broadcast_rows=cfg.max_broadcast_rows)
-    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows))
-    flows = materialize(neighbour_flows(ledger, flagged, cfg.max_broadcast_rows))
+    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged")
     summary = recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
                              cfg.amount_scale, cfg.max_broadcast_rows)
     out = {
@@ -71,9 +72,11 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
         "blacklist_ratio": blacklist_ratio(flagged, seeds),
         "seed_report": seed_report(flagged, summary, seeds, cfg.hops),
     }
-    for unit in cfg.units:
-        out[f"trend_{unit}"] = trend(flows, unit, ("seed_id", FLAG, "direction"), cfg.tz,
-                                     cfg.amount_scale)
+    # one scan and one hourly aggregate serve every trend granularity
+    flows = neighbour_flows(ledger, flagged, cfg.max_broadcast_rows)
+    for unit, df in trends(flows, cfg.units, ("seed_id", FLAG, "direction"), cfg.tz,
+                           cfg.amount_scale).items():
+        out[f"trend_{unit}"] = df
     return out
 
 

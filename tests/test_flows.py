@@ -95,3 +95,18 @@ def test_recent_summary_and_report(spark, ledger_of, ids_of):
     rep = {r.seed_id: r for r in seed_report(flagged, summ, ids_of(["S", "T"])).collect()}
     assert (rep["S"].hop1_count, rep["S"].hop2_count, rep["S"].black_count) == (2, 1, 2)
     assert rep["T"].neighbour_count == 0 and rep["T"].ratio is None
+
+
+def test_trends_rollup_equals_direct(spark, ledger_of):
+    from hoplens.operators.flows import trends
+
+    rows = [(i * 977, "A" if i % 3 else "X", "B" if i % 2 else "A", float(i % 7) + 0.25)
+            for i in range(400)]
+    led = ledger_of(rows)
+    acc = spark.createDataFrame([("S", "A")], "seed_id string, id string")
+    flows = account_flows(led, acc)
+    got = trends(flows, ("day", "hour", "month", "hour_of_day"), ("seed_id", "direction"),
+                 tz="UTC", amount_scale=2)
+    for unit, df in got.items():
+        direct = trend(flows, unit, ("seed_id", "direction"), tz="UTC", amount_scale=2)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, direct.collect())), unit
