@@ -140,11 +140,16 @@ def explore_study(graph: DataFrame, two_way: DataFrame, out_only: DataFrame,
     }
 
 
+# outputs with at most one row per seed: one file each, as the original's
+# single-file reports (never used for transaction-sized outputs)
+SINGLE_FILE = {"seed_report", "recent_summary", "blacklist_ratio", "ball_black_count"}
+
+
 def write_all(outputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
               mode: str = "errorifexists") -> dict[str, str]:
     paths = {}
     for name, df in outputs.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df, path, fmt, mode, LAYOUT.get(name))
+        write_table(df, path, fmt, mode, LAYOUT.get(name), single_file=name in SINGLE_FILE)
         paths[name] = path
     return paths
