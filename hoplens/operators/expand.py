@@ -18,8 +18,9 @@ Plan per hop: one scan of the edge columns, exploded into both directions
 broadcast when its size is proven small), a partial+final aggregate on
 (seed, id) that collapses multi-edges map-side, then the per-seed cap as a
 ``row_number`` filter that Spark turns into a partial ``WindowGroupLimit`` in
-front of the shuffle. Each hop is checkpointed, so hop h+1 reads hop h from
-the checkpoint folder instead of recomputing the chain.
+front of the shuffle. Each hop is materialised in the checkpoint folder
+(``checkpoint()`` when the cap proves it small, a Parquet table otherwise),
+so hop h+1 reads hop h instead of recomputing the chain.
 """
 
 from __future__ import annotations
@@ -127,15 +128,16 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     if hops < 1:
         raise ValueError("hops must be >= 1")
     gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows)
-    frontier = materialize(seed_frontier(gated), checkpoint)
+    frontier = materialize(seed_frontier(gated), checkpoint, name="seeds")
     # one small count; a capped frontier is then bounded by seeds x cap
     n_seeds = frontier.count() if checkpoint else None
     bound = n_seeds
     levels = []
     for h, cap in enumerate(_caps_for(hops, caps), start=1):
+        next_bound = n_seeds * cap if (n_seeds is not None and cap is not None) else None
         frontier = materialize(expand_hop(edges, frontier, cap, max_broadcast_rows, bound),
-                               checkpoint)
-        bound = n_seeds * cap if (n_seeds is not None and cap is not None) else None
+                               checkpoint, name=f"hop{h}", bound=next_bound)
+        bound = next_bound
         levels.append(frontier.select("seed_id", "id", F.col("parent").alias("originalAddress"),
                                       F.lit(h).alias("label")))
     # (seed, id, hop) is unique by construction: the union needs no distinct

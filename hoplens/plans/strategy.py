@@ -5,12 +5,12 @@
   so the check reads checkpoint files, not the whole lineage). Above the limit
   the side is left to a shuffle join, where AQE's skew-join split handles hot
   keys.
-* ``materialize`` — cut lineage by writing the frame once as a Parquet table
-  in the shared folder named by ``spark.checkpoint.dir`` and reading it back.
-  The data then survives executor loss, later stages do not recompute earlier
-  hops, the planner sees real file sizes, and counts read Parquet footers.
-  (``Dataset.checkpoint`` would compute an unpersisted frame twice: once for
-  the action and once more to write the checkpoint files.)
+* ``materialize`` — cut lineage in the shared folder named by
+  ``spark.checkpoint.dir``: a reliable ``checkpoint()`` for frames with a
+  proven small bound, otherwise a Parquet table written once and read back
+  (``checkpoint()`` would run the frame's last stage twice: once for the
+  action and once more to write the files). Either way the data survives
+  executor loss and later stages do not recompute earlier hops.
 """
 
 from __future__ import annotations
@@ -49,14 +49,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     return df, False
 
 
-def materialize(df: DataFrame, enabled: bool = True, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a Parquet table under the checkpoint folder, read it back.
+# Frames proven to hold at most this many rows are cut with ``checkpoint()``.
+SMALL_ROWS = 1_000_000
 
-    Never a local checkpoint: the folder is the shared one of the session.
+
+def materialize(df: DataFrame, enabled: bool = True, name: str = "stage",
+                bound: int | None = None) -> DataFrame:
+    """Cut lineage in the session's checkpoint folder (never a local checkpoint).
+
+    With a proven row ``bound`` up to ``SMALL_ROWS`` (e.g. a capped frontier)
+    the frame is ``checkpoint()``-ed: lowest fixed cost, and re-running its
+    last stage from shuffle files to write the checkpoint is negligible.
+    Otherwise it is written once as a Parquet table and read back: computed
+    once, columnar, with real file sizes for the planner.
     """
     if not enabled:
         return df
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hoplens-{name}-{uuid.uuid4().hex}"
+    folder = checkpoint_dir(spark)
+    if bound is not None and bound <= SMALL_ROWS:
+        return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/hoplens-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no inference job
