@@ -130,7 +130,7 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows)
     frontier = materialize(seed_frontier(gated), checkpoint, name="seeds")
     # one small count; a capped frontier is then bounded by seeds x cap
-    n_seeds = frontier.count() if checkpoint else None
+    n_seeds = frontier.count()
     bound = n_seeds
     levels = []
     for h, cap in enumerate(_caps_for(hops, caps), start=1):

@@ -51,7 +51,7 @@ class StudyConfig:
 def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
                         blacklist: DataFrame, cfg: StudyConfig | None = None
                         ) -> dict[str, DataFrame]:
-    """Build every output of the study as DataFrames (checkpoints included)."""
+    """Build every output of the study as DataFrames (materialised stages included)."""
     cfg = cfg or StudyConfig()
     labels = label_set(labelled, blacklist)
     neighbours = khop(ledger, seeds, labels=labels, hops=cfg.hops, caps=cfg.caps,

@@ -187,3 +187,13 @@ def test_khop_with_hub_matches_brute_force(ledger_of, ids_of):
     for caps in (None, (5, 5, 5, 5)):
         got = rows(khop(led, ids_of(seeds), labels=labels, hops=3, caps=caps))
         assert got == brute_khop(edges, seeds, set(seeds), 3, caps)
+
+
+def test_khop_without_materialisation_matches(ledger_of, ids_of):
+    rnd = random.Random(11)
+    nodes = [f"v{i}" for i in range(12)]
+    edges = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(25)]
+    led = ledger_of([(i, a, b, 1.0) for i, (a, b) in enumerate(edges)])
+    labels = label_set(None, ids_of(nodes[:3], "blacklist"))
+    lazy = rows(khop(led, ids_of(nodes[:4]), labels=labels, caps=(3, 3, 3, 3), checkpoint=False))
+    assert lazy == brute_khop(edges, nodes[:4], set(nodes[:3]), 4, (3, 3, 3, 3))
