@@ -5,6 +5,10 @@
     python -m hoplens.cli ratio   --ledger LEDGER --seeds SEEDS --labelled L --blacklist B --out DIR
     python -m hoplens.cli explore --graph RAW --seeds SEEDS --labelled L --blacklist B --out DIR
 
+``clean`` and ``explore`` window to the original study's year by default,
+``study`` takes its recent window from the last month of it
+(``hoplens.functions.time.STUDY_YEAR`` / ``STUDY_LAST_MONTH``); ``study`` and
+``ratio`` read a ledger already cleaned and do not re-window unless asked.
 Paths may use any Hadoop scheme (``hdfs://``, ``file://``, object stores).
 Ledgers are Parquet unless ``--ledger-format csv``; account lists are header
 CSV files (``id`` for seeds, ``account`` for labelled, ``blacklist`` for the
@@ -19,6 +23,7 @@ import argparse
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from hoplens.functions.time import STUDY_LAST_MONTH, STUDY_YEAR
 from hoplens.operators.clean import clean_ledger, time_window, write_clean_ledger
 from hoplens.operators.expand import DEFAULT_CAPS
 from hoplens.plans.pipeline import (StudyConfig, explore_study, ratio_study, run_study,
@@ -36,7 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="hoplens")
     sub = p.add_subparsers(dest="job", required=True)
 
-    def common(sp, ledger_arg="--ledger"):
+    def common(sp, ledger_arg="--ledger", window=(None, None)):
         sp.add_argument(ledger_arg, required=True)
         sp.add_argument("--ledger-format", default="parquet")
         sp.add_argument("--seeds", required=True)
@@ -45,23 +50,23 @@ def _parser() -> argparse.ArgumentParser:
         sp.add_argument("--out", required=True)
         sp.add_argument("--mode", default="errorifexists")
         sp.add_argument("--format", default="parquet")
-        sp.add_argument("--start", type=int)
-        sp.add_argument("--end", type=int)
+        sp.add_argument("--start", type=int, default=window[0])
+        sp.add_argument("--end", type=int, default=window[1])
 
     c = sub.add_parser("clean", help="window the raw ledger and drop zero-value rows")
     c.add_argument("--raw", required=True)
     c.add_argument("--raw-format", default="csv")
     c.add_argument("--out", required=True)
-    c.add_argument("--start", type=int)
-    c.add_argument("--end", type=int)
+    c.add_argument("--start", type=int, default=STUDY_YEAR[0])
+    c.add_argument("--end", type=int, default=STUDY_YEAR[1])
     c.add_argument("--mode", default="errorifexists")
 
     s = sub.add_parser("study", help="k-hop neighbourhood, flags, transactions, trends")
     common(s)
     s.add_argument("--hops", type=int, default=4)
     s.add_argument("--caps", default=",".join(map(str, DEFAULT_CAPS)))
-    s.add_argument("--recent-start", type=int)
-    s.add_argument("--recent-end", type=int)
+    s.add_argument("--recent-start", type=int, default=STUDY_LAST_MONTH[0])
+    s.add_argument("--recent-end", type=int, default=STUDY_LAST_MONTH[1])
     s.add_argument("--tz")
     s.add_argument("--amount-scale", type=int)
 
@@ -69,7 +74,7 @@ def _parser() -> argparse.ArgumentParser:
     common(r)
 
     e = sub.add_parser("explore", help="star and ball subgraphs around the first seeds")
-    common(e, "--graph")
+    common(e, "--graph", STUDY_YEAR)  # the prototype windows the raw export
     e.add_argument("--fraction", type=float)
     e.add_argument("--sample-method", default="bernoulli")
     return p

@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The original study's windows, epoch seconds. The year runs
+# 2020-09-01 to 2021-09-01 and the "last month" 2021-08-01 to 2021-09-01,
+# midnights at UTC+8.
+STUDY_YEAR = (1598889600, 1630425600)
+STUDY_LAST_MONTH = (1627747200, 1630425600)
+
 # Fixed bucket formats (Spark datetime patterns) of the trend reports.
 BUCKET_FORMATS = {
     "day": "yyyy-MM-dd",
