@@ -42,14 +42,18 @@ def wall_clock(c: Column | str, tz: str | None = None) -> Column:
     """Epoch seconds -> a timestamp whose rendering is the wall clock in ``tz``.
 
     With ``tz=None`` this is the instant itself (session zone rendering).
-    Otherwise the instant is turned into a zone-free TIMESTAMP_NTZ holding the
-    wall clock in ``tz``, which ``date_format`` renders verbatim.
+    Otherwise the UTC wall clock is built as a zone-free TIMESTAMP_NTZ by
+    adding the seconds to the epoch, then converted from UTC to ``tz``: the
+    session zone never takes part, so a session zone with daylight saving
+    cannot make an hour ambiguous.
     """
-    ts = epoch_to_timestamp(c)
     if tz is None:
-        return ts
-    # instant -> wall clock in the session zone -> wall clock in ``tz``
-    return F.convert_timezone(None, F.lit(tz), ts.cast(T.TimestampNTZType()))
+        return epoch_to_timestamp(c)
+    epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    utc = F.timestamp_add("SECOND", _col(c), epoch)
+    if tz.upper() in ("UTC", "Z", "+00:00", "ETC/UTC"):
+        return utc
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def bucket(c: Column | str, unit: str, tz: str | None = None) -> Column:

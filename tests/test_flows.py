@@ -110,3 +110,20 @@ def test_trends_rollup_equals_direct(spark, ledger_of):
     for unit, df in got.items():
         direct = trend(flows, unit, ("seed_id", "direction"), tz="UTC", amount_scale=2)
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, direct.collect())), unit
+
+
+def test_buckets_ignore_a_dst_session_zone(spark):
+    import datetime as dt
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ts = [1699162200 + i * 900 for i in range(12)]  # around the 2023-11-05 DST change
+        df = spark.createDataFrame([(t,) for t in ts], "t long")
+        got = [r.h for r in df.select(bucket("t", "datetime", "UTC").alias("h")).orderBy("t").collect()]
+        want = [dt.datetime.fromtimestamp(t, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S") for t in ts]
+        assert got == want
+        sh = df.select(bucket("t", "hour", "Asia/Shanghai").alias("h")).orderBy("t").first().h
+        assert sh == "2023-11-05 13"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
