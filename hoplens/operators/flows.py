@@ -193,6 +193,16 @@ def account_trend(ledger: DataFrame, seeds: DataFrame, unit: str = "day",
     return trend(flows, unit, ("seed_id", "direction"), tz, amount_scale)
 
 
+def neighbour_account_trend(ledger: DataFrame, flagged: DataFrame, unit: str = "day",
+                            tz: str | None = None, amount_scale: int | None = None,
+                            max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """C13 for every neighbour: its own trend per direction, keyed by
+    (seed_id, id) — one plan for all neighbours of all seeds."""
+    acc = tracked_accounts(flagged, ("seed_id",))
+    flows = account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows)
+    return trend(flows, unit, ("seed_id", "id", "direction"), tz, amount_scale)
+
+
 def recent_summary(ledger: DataFrame, flagged: DataFrame, start: int | None,
                    end: int | None, seeds: DataFrame | None = None,
                    amount_scale: int | None = None,

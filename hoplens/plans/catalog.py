@@ -149,6 +149,11 @@ def q_account_daily(spark, d):
     return flows.account_trend(_ledger(spark, d), _seeds(spark, d), "day", TZ, AMOUNT_SCALE)
 
 
+def q_neighbour_account_daily(spark, d):
+    return flows.neighbour_account_trend(_ledger(spark, d), _flagged(spark, d), "day", TZ,
+                                         AMOUNT_SCALE)
+
+
 def q_account_hour_of_day(spark, d):
     return flows.account_trend(_ledger(spark, d), _seeds(spark, d), "hour_of_day", TZ,
                                AMOUNT_SCALE)
@@ -263,6 +268,7 @@ QUERIES: dict[str, Query] = {
     "trend_monthly": _neighbour_trend("month"),
     "account_daily": q_account_daily,
     "account_hour_of_day": q_account_hour_of_day,
+    "neighbour_account_daily": q_neighbour_account_daily,
     "recent_summary": q_recent_summary,
     "seed_report": q_seed_report,
     "star_vertices": q_star_vertices,

@@ -91,6 +91,12 @@ sflows AS (
   UNION ALL
   SELECT s.seed_id, 'to' AS direction, l."timestamp", l.value
   FROM seeds s JOIN ledger l ON l."to" = s.seed_id),
+aflows AS (
+  SELECT n.seed_id, n.id, 'from' AS direction, l."timestamp", l.value
+  FROM (SELECT DISTINCT seed_id, id FROM flagged) n JOIN ledger l ON l."from" = n.id
+  UNION ALL
+  SELECT n.seed_id, n.id, 'to' AS direction, l."timestamp", l.value
+  FROM (SELECT DISTINCT seed_id, id FROM flagged) n JOIN ledger l ON l."to" = n.id),
 bn AS (SELECT DISTINCT seed_id, id FROM flagged WHERE "isInBlackListResult"),
 recent AS (
   SELECT s.seed_id, x.total_amount, coalesce(x.tx_count, 0) AS tx_count
@@ -212,6 +218,8 @@ FROM (SELECT DISTINCT seed_id, id FROM flagged) n JOIN ledger l ON l."to" = n.id
                                                 "lastmonth_count"),
     "account_daily": _with(BASE, HOPS) + _trend("sflows", "seed_id, direction",
                                                 [("date", "%Y-%m-%d")], "yesterday_count"),
+    "neighbour_account_daily": _with(BASE, HOPS) + _trend(
+        "aflows", "seed_id, id, direction", [("date", "%Y-%m-%d")], "yesterday_count"),
     "account_hour_of_day": _with(BASE, HOPS) + _trend(
         "sflows", "seed_id, direction", [("date", "%Y-%m-%d"), ("hour", "%H")], "lasthour_count"),
     "recent_summary": _with(BASE, HOPS) + "SELECT seed_id, total_amount, tx_count FROM recent",
