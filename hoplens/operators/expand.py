@@ -127,9 +127,10 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     """
     if hops < 1:
         raise ValueError("hops must be >= 1")
-    gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows)
-    frontier = materialize(seed_frontier(gated), checkpoint, name="seeds")
-    # one small count; a capped frontier is then bounded by seeds x cap
+    # the raw seed rows bound every later frontier size (seeds x cap)
+    n_input = seeds.count()
+    gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows, n_input)
+    frontier = materialize(seed_frontier(gated), checkpoint, name="seeds", bound=n_input)
     n_seeds = frontier.count()
     bound = n_seeds
     levels = []

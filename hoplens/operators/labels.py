@@ -31,11 +31,13 @@ def seed_frame(seeds: DataFrame) -> DataFrame:
 
 def gate_seeds(seeds: DataFrame, labels: DataFrame | None,
                require_labelled: bool = True,
-               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+               seeds_bound: int | None = None) -> DataFrame:
     """C3 — keep only seeds present in the label set.
 
     The label set is streamed through a semi join against the seed list,
-    broadcast when its size is proven small, so the label set is never
+    broadcast when its size is proven small (``seeds_bound``: a known upper
+    bound on the seed rows, else a bounded count), so the label set is never
     shuffled whole against a handful of seeds.
     """
     s = seed_frame(seeds)
@@ -44,7 +46,7 @@ def gate_seeds(seeds: DataFrame, labels: DataFrame | None,
     if labels is None:
         raise ValueError("require_labelled=True needs a label set")
     ids = labels.select(F.col("id").alias("seed_id"))
-    small, _ = bounded_broadcast(s, max_broadcast_rows)
+    small, _ = bounded_broadcast(s, max_broadcast_rows, seeds_bound)
     return ids.join(small, "seed_id", "left_semi").distinct()
 
 
