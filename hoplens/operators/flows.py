@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from hoplens.functions.amounts import amount_sum, amount_sum_exact
 from hoplens.functions.time import bucket, in_window
 from hoplens.operators.labels import FLAG, seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
+from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
+                                    rows_bound)
 
 DIRECTIONS = ("from", "to")
 
@@ -48,14 +49,15 @@ def account_flows(ledger: DataFrame, accounts: DataFrame,
                   directions: Sequence[str] = DIRECTIONS,
                   start: int | None = None, end: int | None = None,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                  columns: Sequence[str] = ("timestamp", "from", "to", "value")) -> DataFrame:
+                  columns: Sequence[str] = ("timestamp", "from", "to", "value"),
+                  accounts_bound: int | None = None) -> DataFrame:
     """Ledger rows touching tracked accounts, one row per matching side.
 
     ``accounts``: (keys..., id), optionally with a ``direction`` column that
     restricts an account to one side. Output: keys..., id, direction, then
     ``columns`` of the ledger row. ``start``/``end`` restrict the time window
     before the join (pushed into the scan). One scan of the ledger serves both
-    sides.
+    sides. ``accounts_bound``: a known upper bound on the account rows.
     """
     for d in directions:
         if d not in DIRECTIONS:
@@ -69,7 +71,7 @@ def account_flows(ledger: DataFrame, accounts: DataFrame,
     exploded = rows.select(*columns, side.alias("s")).select(
         *columns, F.col("s.direction").alias("direction"),
         F.col("s.acct").alias("id")).where(F.col("id").isNotNull())
-    acc, _ = bounded_broadcast(accounts, max_broadcast_rows)
+    acc, _ = bounded_broadcast(accounts, max_broadcast_rows, accounts_bound)
     on = ["id", "direction"] if "direction" in accounts.columns else ["id"]
     keys = [c for c in accounts.columns if c not in ("id", "direction")]
     return exploded.join(acc, on).select(*keys, "id", "direction", *columns)
@@ -77,13 +79,15 @@ def account_flows(ledger: DataFrame, accounts: DataFrame,
 
 def transactions(ledger: DataFrame, accounts: DataFrame, tz: str | None = None,
                  start: int | None = None, end: int | None = None,
-                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                 accounts_bound: int | None = None) -> DataFrame:
     """C9 — transactions of tracked accounts, sender side ∪ receiver side.
 
     Output: keys..., id, timestamp (epoch seconds), time ('yyyy-MM-dd HH:mm:ss'
     in ``tz`` or the session zone), from, to, value.
     """
-    flows = account_flows(ledger, accounts, DIRECTIONS, start, end, max_broadcast_rows)
+    flows = account_flows(ledger, accounts, DIRECTIONS, start, end, max_broadcast_rows,
+                          accounts_bound=accounts_bound)
     keys = [c for c in accounts.columns if c != "id"]
     return flows.select(*keys, "id", "timestamp",
                         bucket("timestamp", "datetime", tz).alias("time"),
@@ -174,7 +178,8 @@ def neighbour_flows(ledger: DataFrame, flagged: DataFrame,
     once per seed.
     """
     acc = tracked_accounts(flagged, ("seed_id", FLAG))
-    return account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows)
+    return account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows,
+                         accounts_bound=rows_bound(flagged, max_broadcast_rows))
 
 
 def neighbour_trend(ledger: DataFrame, flagged: DataFrame, unit: str = "day",
@@ -199,7 +204,8 @@ def neighbour_account_trend(ledger: DataFrame, flagged: DataFrame, unit: str = "
     """C13 for every neighbour: its own trend per direction, keyed by
     (seed_id, id) — one plan for all neighbours of all seeds."""
     acc = tracked_accounts(flagged, ("seed_id",))
-    flows = account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows)
+    flows = account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows,
+                          accounts_bound=rows_bound(flagged, max_broadcast_rows))
     return trend(flows, unit, ("seed_id", "id", "direction"), tz, amount_scale)
 
 
@@ -213,7 +219,8 @@ def recent_summary(ledger: DataFrame, flagged: DataFrame, start: int | None,
     With ``seeds`` every seed gets a row (null total, zero count when empty).
     """
     black = tracked_accounts(flagged.where(F.col(FLAG)), ("seed_id",))
-    flows = account_flows(ledger, black, DIRECTIONS, start, end, max_broadcast_rows)
+    flows = account_flows(ledger, black, DIRECTIONS, start, end, max_broadcast_rows,
+                          accounts_bound=rows_bound(flagged, max_broadcast_rows))
     agg = flows.groupBy("seed_id").agg(amount_sum("value", amount_scale).alias("total_amount"),
                                        F.count(F.lit(1)).alias("tx_count"))
     if seeds is None:

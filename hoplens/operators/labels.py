@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplens.functions.amounts import safe_ratio
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, rows_bound
 from hoplens.sources.ledger import account_ids
 
 FLAG = "isInBlackListResult"
@@ -61,7 +61,9 @@ def flag(neighbours: DataFrame, blacklist: DataFrame,
     """
     bl = account_ids(blacklist)
     ids = neighbours.select("id").distinct()
-    small_ids, is_small = bounded_broadcast(ids, max_broadcast_rows)
+    # the neighbour rows bound the distinct ids: no shuffle to size the ids
+    small_ids, is_small = bounded_broadcast(ids, max_broadcast_rows,
+                                            rows_bound(neighbours, max_broadcast_rows))
     if is_small:
         hits = F.broadcast(bl.join(small_ids, "id", "left_semi").distinct()
                            .withColumn("_hit", F.lit(True)))

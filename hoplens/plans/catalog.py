@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplens.operators import clean, expand, explore, flows, labels, report
-from hoplens.plans.strategy import materialize
+from hoplens.plans.strategy import materialize, rows_bound
 from hoplens.sources import fixtures as fx
 
 TZ = "UTC"
@@ -134,8 +134,9 @@ def q_account_transactions(spark, d):
 
 
 def q_neighbour_transactions(spark, d):
-    acc = flows.tracked_accounts(_flagged(spark, d), ("seed_id",))
-    return flows.transactions(_ledger(spark, d), acc, tz=TZ)
+    flagged = _flagged(spark, d)
+    acc = flows.tracked_accounts(flagged, ("seed_id",))
+    return flows.transactions(_ledger(spark, d), acc, tz=TZ, accounts_bound=rows_bound(flagged))
 
 
 def _neighbour_trend(unit):

@@ -30,7 +30,7 @@ from hoplens.operators.flows import (neighbour_flows, recent_summary, seed_accou
 from hoplens.operators.labels import FLAG, blacklist_ratio, flag, label_set
 from hoplens.operators.report import seed_report
 from hoplens.plans.sinks import write_table
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize, rows_bound
 
 
 @dataclass
@@ -65,9 +65,10 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
                                           max_broadcast_rows=cfg.max_broadcast_rows),
         "neighbours": neighbours,
         "neighbours_flagged": flagged,
-        "neighbour_transactions": transactions(ledger, tracked_accounts(flagged, ("seed_id",)),
-                                               cfg.tz,
-                                               max_broadcast_rows=cfg.max_broadcast_rows),
+        "neighbour_transactions": transactions(
+            ledger, tracked_accounts(flagged, ("seed_id",)), cfg.tz,
+            max_broadcast_rows=cfg.max_broadcast_rows,
+            accounts_bound=rows_bound(flagged, cfg.max_broadcast_rows)),
         "recent_summary": summary,
         "blacklist_ratio": blacklist_ratio(flagged, seeds),
         "seed_report": seed_report(flagged, summary, seeds, cfg.hops),

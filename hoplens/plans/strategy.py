@@ -32,6 +32,14 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def rows_bound(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> int | None:
+    """Row count of ``df`` if at most ``max_rows`` (reading at most one row
+    more), else None. On a materialised frame this is cheap and bounds any
+    projection or distinct of it."""
+    n = df.limit(max_rows + 1).count()
+    return n if n <= max_rows else None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                       known_bound: int | None = None) -> tuple[DataFrame, bool]:
     """Return (side, broadcast?) with a broadcast hint only for a proven size.
