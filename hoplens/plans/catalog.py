@@ -55,8 +55,10 @@ def _hop1_capped(spark, d):
 
 
 def _flagged(spark, d):
-    # reused by several joins downstream: materialise once
-    return materialize(labels.flag(_khop(spark, d), fx.blacklist(spark, d)), name="flagged")
+    # reused by several joins downstream: materialise once (one row per neighbour)
+    neighbours = _khop(spark, d)
+    return materialize(labels.flag(neighbours, fx.blacklist(spark, d)), name="flagged",
+                       bound=rows_bound(neighbours))
 
 
 def _as_neighbours(level, h):
@@ -124,7 +126,8 @@ def q_black_neighbours(spark, d):
 
 def q_blacklist_ratio(spark, d):
     hop2 = expand.hop(_khop(spark, d, hops=2, caps=None), 2)
-    flagged = materialize(labels.flag(hop2, fx.blacklist(spark, d)), name="flagged")
+    flagged = materialize(labels.flag(hop2, fx.blacklist(spark, d)), name="flagged",
+                          bound=rows_bound(hop2))
     return labels.blacklist_ratio(flagged, _seeds(spark, d))
 
 

@@ -57,7 +57,8 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
     neighbours = khop(ledger, seeds, labels=labels, hops=cfg.hops, caps=cfg.caps,
                       require_labelled=cfg.require_labelled,
                       max_broadcast_rows=cfg.max_broadcast_rows)
-    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged")
+    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged",
+                          bound=rows_bound(neighbours, cfg.max_broadcast_rows))
     summary = recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
                              cfg.amount_scale, cfg.max_broadcast_rows)
     out = {
@@ -107,8 +108,9 @@ def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
     labels = label_set(labelled, blacklist)
     hop2 = khop(ledger, seeds, labels=labels, hops=2, caps=None,
                 require_labelled=require_labelled, max_broadcast_rows=max_broadcast_rows)
-    flagged = materialize(flag(hop2.where(hop2.label == 2), blacklist, max_broadcast_rows),
-                          name="flagged")
+    hop2 = hop2.where(hop2.label == 2)
+    flagged = materialize(flag(hop2, blacklist, max_broadcast_rows), name="flagged",
+                          bound=rows_bound(hop2, max_broadcast_rows))
     return {"hop2_flagged": flagged, "blacklist_ratio": blacklist_ratio(flagged, seeds)}
 
 
