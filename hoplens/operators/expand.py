@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoplens.operators.labels import gate_seeds, seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
+from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
+                                    shuffle_join)
 
 # Fixed caps per hop of the main pipeline (hops 1..4).
 DEFAULT_CAPS = (30, 25, 20, 10)
@@ -64,6 +65,16 @@ def seed_frontier(seeds: DataFrame) -> DataFrame:
                     F.lit(None).cast("string").alias("parent"))
 
 
+def _join_frontier(adj: DataFrame, frontier: DataFrame, max_broadcast_rows: int,
+                   bound: int | None = None) -> DataFrame:
+    """adj ⋈ frontier on ``a``: broadcast when proven small, else a shuffle join
+    that splits a hot account (spread by its neighbours ``b``)."""
+    small, is_small = bounded_broadcast(frontier, max_broadcast_rows, bound)
+    if is_small:
+        return adj.join(small, "a")
+    return shuffle_join(adj, frontier, ["a"], spread=("b",))
+
+
 def hop_pairs(edges: DataFrame, frontier: DataFrame, direction: str = "both",
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Distinct (seed_id, p, b) for p in the frontier, minus p's step back.
@@ -73,8 +84,7 @@ def hop_pairs(edges: DataFrame, frontier: DataFrame, direction: str = "both",
     transfers, 'in' b->p transfers, 'both' either.
     """
     f = frontier.select("seed_id", F.col("id").alias("a"), F.col("parent").alias("gp"))
-    f, _ = bounded_broadcast(f, max_broadcast_rows)
-    pairs = adjacency(edges, direction).join(f, "a")
+    pairs = _join_frontier(adjacency(edges, direction), f, max_broadcast_rows)
     pairs = pairs.where(F.col("gp").isNull() | (F.col("b") != F.col("gp")))
     return pairs.select("seed_id", F.col("a").alias("originalAddress"),
                         F.col("b").alias("id")).distinct()
@@ -89,8 +99,7 @@ def expand_hop(edges: DataFrame, frontier: DataFrame, cap: int | None = None,
     caller has one (seeds x cap); otherwise the size is checked.
     """
     f = frontier.select("seed_id", F.col("id").alias("a"), F.col("parent").alias("gp"))
-    f, _ = bounded_broadcast(f, max_broadcast_rows, frontier_bound)
-    pairs = adjacency(edges, "both").join(f, "a")
+    pairs = _join_frontier(adjacency(edges, "both"), f, max_broadcast_rows, frontier_bound)
     pairs = pairs.where(F.col("gp").isNull() | (F.col("b") != F.col("gp")))
     level = pairs.groupBy("seed_id", F.col("b").alias("id")).agg(F.min("a").alias("parent"))
     if cap is not None:

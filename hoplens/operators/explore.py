@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from hoplens.operators.flows import account_flows
 from hoplens.operators.labels import seed_frame
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
+from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
+                                    shuffle_join)
 
 # Fixed parameters of the sampled star: fraction and seed of the sample.
 SAMPLE_FRACTION = 0.0005
@@ -201,7 +202,13 @@ def component_labelled(components: DataFrame, labels: DataFrame, edges: DataFram
         c = c.where(F.col("component") == F.lit(component))
     lab = labels.select("id", "label").distinct()
     members = c.join(lab, "id")
-    cand, _ = bounded_broadcast(members.select("id").distinct(), max_broadcast_rows)
-    ids = edges.select(F.explode(F.array(F.col("from"), F.col("to"))).alias("id"))
-    present = ids.join(cand, "id", "left_semi").distinct()
+    cand = members.select("id").distinct()
+    small, is_small = bounded_broadcast(cand, max_broadcast_rows)
+    spread = tuple(c for c in ("timestamp", "from", "to") if c in edges.columns)
+    ids = edges.select(F.explode(F.array(F.col("from"), F.col("to"))).alias("id"), *spread)
+    if is_small:
+        present = ids.join(small, "id", "left_semi")
+    else:  # a hot account's rows are spread by the rows they come from
+        present = shuffle_join(ids, cand, ["id"], "left_semi", spread=spread)
+    present = present.select("id").distinct()
     return members.join(present, "id", "left_semi").select("id", "component", "label")

@@ -19,7 +19,7 @@ from hoplens.functions.amounts import amount_sum, amount_sum_exact
 from hoplens.functions.time import bucket, in_window
 from hoplens.operators.labels import FLAG, seed_frame
 from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
-                                    rows_bound)
+                                    rows_bound, shuffle_join)
 
 DIRECTIONS = ("from", "to")
 
@@ -71,10 +71,14 @@ def account_flows(ledger: DataFrame, accounts: DataFrame,
     exploded = rows.select(*columns, side.alias("s")).select(
         *columns, F.col("s.direction").alias("direction"),
         F.col("s.acct").alias("id")).where(F.col("id").isNotNull())
-    acc, _ = bounded_broadcast(accounts, max_broadcast_rows, accounts_bound)
+    acc, is_small = bounded_broadcast(accounts, max_broadcast_rows, accounts_bound)
     on = ["id", "direction"] if "direction" in accounts.columns else ["id"]
     keys = [c for c in accounts.columns if c not in ("id", "direction")]
-    return exploded.join(acc, on).select(*keys, "id", "direction", *columns)
+    if is_small:
+        joined = exploded.join(acc, on)
+    else:  # a hot account's rows are spread by the row's own columns
+        joined = shuffle_join(exploded, accounts, on, spread=tuple(columns))
+    return joined.select(*keys, "id", "direction", *columns)
 
 
 def transactions(ledger: DataFrame, accounts: DataFrame, tz: str | None = None,

@@ -3,8 +3,8 @@
 * ``bounded_broadcast`` — broadcast a join side only after proving its size:
   the row count is checked against a limit (the side is materialised first,
   so the check reads checkpoint files, not the whole lineage). Above the limit
-  the side is left to a shuffle join, where AQE's skew-join split handles hot
-  keys.
+  ``shuffle_join`` joins by shuffling: AQE's skew-join split handles a hot key,
+  or, when that rule is off, an explicit deterministic salt.
 * ``materialize`` — cut lineage in the shared folder named by
   ``spark.checkpoint.dir``: a reliable ``checkpoint()`` for frames with a
   proven small bound, otherwise a Parquet table written once and read back
@@ -57,6 +57,38 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     return df, False
 
 
+# Salts of the explicit skew split (used only when AQE's split is off).
+DEFAULT_SALTS = 16
+
+
+def aqe_splits_skew(spark) -> bool:
+    """True when AQE and its skew-join rule are on for this session."""
+    def on(key: str) -> bool:
+        return str(spark.conf.get(key, "true")).lower() == "true"
+    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
+
+
+def shuffle_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                 spread: tuple[str, ...] = (), salts: int = DEFAULT_SALTS) -> DataFrame:
+    """Shuffle join where one key of ``big`` may hold a large share of its rows.
+
+    With AQE's skew-join rule on, a plain join: AQE splits an oversized
+    partition at run time. Otherwise the split is explicit and deterministic:
+    each ``big`` row gets a salt from a hash of its ``spread`` columns and its
+    input partition (so even exact copies of one row, spread over many input
+    splits, land on different salts; recomputing a split gives the same salts)
+    and each ``small`` row is replicated once per salt, so a hot key is spread
+    over ``salts`` tasks. Every ``big`` row meets each matching ``small`` row
+    exactly once, so inner, left-outer and left-semi results are unchanged.
+    """
+    if not spread or aqe_splits_skew(big.sparkSession):
+        return big.join(small, on, how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread], F.spark_partition_id()), F.lit(salts))
+    salted = big.withColumn("_salt", salt)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, list(on) + ["_salt"], how).drop("_salt")
+
+
 # Frames proven to hold at most this many rows are cut with ``checkpoint()``.
 SMALL_ROWS = 1_000_000
 

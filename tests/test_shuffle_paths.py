@@ -58,3 +58,35 @@ def test_no_broadcast_paths_match(spark, no_auto_broadcast):
     cb = explore.component_labelled(fx.components(spark, SF_DIR), labels, graph,
                                     max_broadcast_rows=0)
     assert _rows(ca) == _rows(cb)
+
+
+@pytest.fixture
+def no_aqe(spark):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_salted_paths_match(spark, no_auto_broadcast, no_aqe):
+    from hoplens.operators.expand import expand_hop, seed_frontier
+    from hoplens.plans.strategy import aqe_splits_skew
+
+    assert not aqe_splits_skew(spark)
+    led = fx.ledger(spark, SF_DIR)
+    graph = fx.graph_edges(spark, SF_DIR)
+    seeds = fx.seeds(spark, SF_DIR)
+    labels = label_set(fx.labelled(spark, SF_DIR), fx.blacklist(spark, SF_DIR))
+    hop = expand_hop(led, seed_frontier(seeds), None, max_broadcast_rows=0)
+    assert "_salt" in hop._jdf.queryExecution().executedPlan().toString()
+    for caps in ((30, 25, 20, 10), None):
+        a = khop(led, seeds, labels=labels, hops=3, caps=caps)
+        b = khop(led, seeds, labels=labels, hops=3, caps=caps, max_broadcast_rows=0)
+        assert _rows(a) == _rows(b)
+    n = khop(led, seeds, labels=labels)
+    acc = flows.tracked_accounts(flag(n, fx.blacklist(spark, SF_DIR)), ("seed_id",))
+    assert _rows(flows.account_flows(led, acc)) == _rows(
+        flows.account_flows(led, acc, max_broadcast_rows=0))
+    comps = fx.components(spark, SF_DIR)
+    assert _rows(explore.component_labelled(comps, labels, graph)) == _rows(
+        explore.component_labelled(comps, labels, graph, max_broadcast_rows=0))
