@@ -136,15 +136,15 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     """
     if hops < 1:
         raise ValueError("hops must be >= 1")
-    # the raw seed rows bound every later frontier size (seeds x cap)
+    # the raw seed rows bound the gated seeds and every capped frontier
+    # (seeds x cap): the small gate plan feeds hop 1's broadcast directly
     n_input = seeds.count()
     gated = gate_seeds(seeds, labels, require_labelled, max_broadcast_rows, n_input)
-    frontier = materialize(seed_frontier(gated), checkpoint, name="seeds", bound=n_input)
-    n_seeds = frontier.count()
-    bound = n_seeds
+    frontier = seed_frontier(gated)
+    bound = n_input
     levels = []
     for h, cap in enumerate(_caps_for(hops, caps), start=1):
-        next_bound = n_seeds * cap if (n_seeds is not None and cap is not None) else None
+        next_bound = n_input * cap if cap is not None else None
         frontier = materialize(expand_hop(edges, frontier, cap, max_broadcast_rows, bound),
                                checkpoint, name=f"hop{h}", bound=next_bound)
         bound = next_bound
