@@ -15,7 +15,8 @@ Semantics, for every seed at once (``seed_id`` is a key column):
 
 Plan per hop: one scan of the edge columns, exploded into both directions
 (narrow, no shuffle of the ledger), a hash join against the frontier (a
-broadcast when its size is proven small), a partial+final aggregate on
+broadcast when its size is proven small; otherwise a shuffle join that splits
+a hot account, see ``strategy.shuffle_join``), a partial+final aggregate on
 (seed, id) that collapses multi-edges map-side, then the per-seed cap as a
 ``row_number`` filter that Spark turns into a partial ``WindowGroupLimit`` in
 front of the shuffle. Each hop is materialised in the checkpoint folder
