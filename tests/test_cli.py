@@ -42,3 +42,21 @@ def test_cli_jobs(spark):
           "--out", f"{d}/explore", "--start", "0", "--end", "100", "--fraction", "1.0"])
     ids = sorted(r.id for r in spark.read.parquet(f"{d}/explore/star_vertices").collect())
     assert ids == ["A", "C", "S", "T"]  # S two-way star, T out-star
+
+
+def test_study_rerun_with_missing_mode_is_idempotent(spark):
+    d = tempfile.mkdtemp(prefix="hoplens-cli-")
+    _write(f"{d}/raw.csv", HEADER + "\n" + "\n".join(
+        f"{t},{a},{b},ETH,{v},0x{t},1,2,0.1,eoa,eoa,call,0,1" for t, a, b, v in ROWS) + "\n")
+    _write(f"{d}/seeds.csv", "id\nS\nT\n")
+    _write(f"{d}/black.csv", "id,blacklist\n1,B\n1,S\n")
+    main(["clean", "--raw", f"{d}/raw.csv", "--out", f"{d}/ledger", "--start", "0", "--end", "100"])
+    args = ["study", "--ledger", f"{d}/ledger", "--seeds", f"{d}/seeds.csv",
+            "--blacklist", f"{d}/black.csv", "--out", f"{d}/study", "--mode", "missing",
+            "--recent-start", "0", "--recent-end", "100"]
+    main(args)
+    first = {n: spark.read.parquet(f"{d}/study/{n}").count()
+             for n in ("neighbour_transactions", "neighbours", "seed_report", "trend_day")}
+    main(args)  # a rerun writes only what is missing: nothing
+    again = {n: spark.read.parquet(f"{d}/study/{n}").count() for n in first}
+    assert first == again and first["neighbour_transactions"] > 0
