@@ -1,22 +1,22 @@
 """Exact deduplication by deterministic block naming (operator 7, native).
 
 A text is cut into blocks of a fixed number of bytes. Equal blocks are brought
-together (grouped, joined by sort) and get one integer name: the place of their
-smallest occurrence. Then adjacent pairs of names are named in the same way,
+together by sorting and get one integer name: the place of their smallest
+occurrence. Then adjacent pairs of names are named in the same way,
 level by level, until each document has a single name. Names of a level are
 equal exactly if the bytes below them are, so the last name is the document's
 identity without collisions; a document that ends at another level has another
 number of blocks.
 
-Only DataFrame functions are used. Names are grouped minima with map-side
-combine, and names come back to their places by a join of plain columns, which
-Spark splits where one block has a large share of the rows. The bytes travel
-twice (to name blocks and to fetch names); above the first level only integers.
+Only DataFrame functions are used. Equal blocks of one input partition travel as
+one row with their places, and meet those of other partitions in a second step
+that gives them their name, so no task gets all places of a block that many
+documents share. The bytes travel twice; above the first level only integers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoplens.llm.common import stage, with_identity
@@ -32,11 +32,20 @@ _END = -(2 ** 121)
 
 def _named(rows: DataFrame, content: list[str]) -> DataFrame:
     """Replace the columns ``content`` of each place by the name of their value:
-    the smallest place that has it, as one integer."""
+    the smallest place that has it, as one integer.
+
+    Places are gathered per value and input partition first, with map-side
+    combine, so a value in a third of all rows travels once per partition and a
+    gathered row holds no more than a partition's places. Then the few rows of
+    a value meet and take the smallest place among them.
+    """
     place = ((F.col("_k").cast(_NAME) * (1 << PLACE_BITS)).cast(_NAME) + F.col("at").cast(_NAME)
              + F.col("_dup").cast(_NAME) * F.lit(str(2 ** 95)).cast(_NAME)).cast(_NAME)
-    names = rows.groupBy(*content).agg(F.min(place).alias("name"))
-    return rows.join(names, content).drop(*content)
+    others = [c for c in rows.columns if c not in content]
+    local = (rows.withColumn("_part", F.spark_partition_id()).groupBy(*content, "_part")
+             .agg(F.collect_list(F.struct(*others)).alias("places"), F.min(place).alias("least")))
+    return (local.withColumn("name", F.min("least").over(Window.partitionBy(*content)))
+            .select(F.inline("places"), "name"))
 
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -67,7 +76,7 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
                       F.coalesce(F.max(F.when(odd, F.col("name"))),
                                  F.lit(str(_END)).cast(_NAME)).alias("right"),
                       F.ceil(F.max("n") / 2).cast("int").alias("n")))
-        named_pairs = stage(_named(stage(pairs, "pairs"), ["left", "right"]), f"names{level}")
+        named_pairs = stage(_named(pairs, ["left", "right"]), f"names{level}")
         levels.append(named_pairs.where("n = 1").select("_k", "_dup", F.lit(level).alias("level"), "name"))
         rows = named_pairs.where("n > 1")
     names = levels[0]
