@@ -108,6 +108,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
+def small(batches, column: int, limit: int = 4 << 20):
+    """Cut Arrow batches into slices with at most about ``limit`` bytes of text
+    in ``column`` (one row at least), so that the arrays built over a slice
+    stay small whatever the batch."""
+    for b in batches:
+        offs = utf8(b.column(column))[1]
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import stage, with_identity, word_counts
+from hoplens.llm.common import small, stage, with_identity, word_counts
 
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -37,7 +37,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """(_k, _dup, doc_id, source, size) of all documents; size = words of the
     whole text, 0 for null."""
     def count(batches):
-        for b in batches:
+        for b in small(batches, 4):
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array(word_counts(b.column(4)), pa.int64())],
                 names=["_k", "_dup", "doc_id", "source", "size"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import stage, with_identity, word_counts
+from hoplens.llm.common import small, stage, with_identity, word_counts
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, capacities=CAPACITIES) -> DataFrame:
     top = max(capacities)
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches, 3):
             n = word_counts(b.column(3))
             many = np.maximum(1, -(-n // top))
             row = np.repeat(np.arange(len(n)), many)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import connected_components, mix, stage, utf8, with_identity, word_hashes
+from hoplens.llm.common import connected_components, mix, small, stage, utf8, with_identity, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99993.
@@ -95,7 +95,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(_k, _dup, doc_id, words, bands): a key of the sequence of words (null
     without words) and the bands' values, of every whole text."""
     def sign(batches):
-        for b in batches:
+        for b in small(batches, 3):
             data, offs = utf8(b.column(3))
             hashes, first = word_hashes(data, offs)
             keys, values = [], []
@@ -136,7 +136,7 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
 
     def compare(batches):
         hub, base = None, None
-        for b in batches:
+        for b in small(batches, 4):
             data, offs = utf8(b.column(4))
             hashes, first = word_hashes(data, offs)
             out = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import SPACES, mix, utf8, word_bounds, word_hashes
+from hoplens.llm.common import SPACES, small, utf8, word_bounds, word_hashes
 
 #: Hashed words; bins of each statistic; rank of the pairwise part.
 WORDS, BINS, RANK = 1 << 16, 16, 8
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
             .join(F.broadcast(known), "_id").select("_id", "_y", "text", "n_chars"))  # max_train rows
 
     def sparse(batches):
-        for b in batches:
+        for b in small(batches, 2):
             declared = b.column(3).to_numpy(zero_copy_only=False).astype(float)
             at, bucket, value, stats = features(b.column(2), declared)
             cut = lambda x, kind: [x[at[i]:at[i + 1]].astype(kind).tobytes() for i in range(len(at) - 1)]
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_tr
     model = train(docs, labels, max_train, seed)
 
     def score(batches):
-        for b in batches:
+        for b in small(batches, 1):
             got = features(b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(float))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(*got), pa.float64())],
                                              names=["doc_id", "score"])
@@ -244,7 +244,7 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT, **p
     names = docs.columns
 
     def keep(batches):
-        for b in batches:
+        for b in small(batches, 0):
             got = features(b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float))
             rest = pa.RecordBatch.from_arrays(b.columns[2:], names=names)
             yield rest.filter(pa.array(model.scores(*got) >= cut))
