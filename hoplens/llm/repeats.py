@@ -15,13 +15,16 @@ windows in far fewer rows.
 Dictionary and parse. Distinct phrases are the dictionary, the occurrences the
 parse. The order of the corpus is needed only as far as LENGTH bytes, so:
 1. occurrences are sorted by (trigger, phrase, document, place). All windows
-   of an occurrence that isn't its phrase's first are repeats.
-2. Where a trigger has several phrases, the suffixes of these dictionary
-   strings are sorted by their first LENGTH bytes (by a 128-bit name of
-   them); of equal suffixes all but that of the earliest place are repeats.
-Both sorts are one shuffle, after a combine inside each task: of the equal rows
-of a task only the first travels, so a string in a third of all documents is a
-row per task. The sorted rows are streamed, and no group is held.
+   of an occurrence that isn't its phrase's first are repeats. Of the equal
+   occurrences in a task only the first travels, so a string in a third of all
+   documents is a row per task.
+2. Where a trigger has several phrases, their bytes are fetched and the
+   suffixes of these dictionary strings are sorted by their first LENGTH bytes
+   (by a 128-bit name of them); of equal suffixes all but that of the earliest
+   place are repeats. Equal suffixes have the same trigger, so a trigger's
+   phrases are sorted together; a trigger with more suffixes than one task
+   should hold has them sorted across tasks instead.
+Sorted rows are streamed, no group is held whole. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import prefix_hash, span_hash, stage, utf8, with_identity
+from hoplens.llm.common import mix, prefix_hash, span_hash, stage, utf8, with_identity
 
 LENGTH, GRAM = 100, 32
-#: Bytes parsed at once; rows combined at once.
-CHUNK, COMBINE = 1 << 20, 1 << 19
+#: Bytes parsed at once; rows combined at once; bytes of a trigger's phrases in one task.
+CHUNK, COMBINE, SUFFIXES = 1 << 20, 1 << 19, 1 << 22
 _AT = np.uint64((1 << 21) - 1)
 _SEED, _SEED2 = 11, 12
 
@@ -117,52 +121,39 @@ def _combine(rows: list[np.ndarray], content: int):
     return rows, ~same
 
 
-_SPANS = "kind int, a long, b long, _k long, _dup int, start long, last long"
+#: Rows that travel. span >= 0: the windows start ... start + span of a phrase
+#: (a: trigger, b: phrase) or one window (a, b: its name). span = -1: the bytes
+#: start ... b are removed; a deals such rows out.
+_ROWS = "a long, b long, _k long, start long, _dup int, span int"
+_NAMES = ["a", "b", "_k", "start", "_dup", "span"]
 
 
-def _batch(kind: int, a, b, k, dup, start, last) -> pa.RecordBatch:
-    n = len(k)
-    whole = lambda c: pa.array(np.asarray(c).astype(np.int64, copy=False) if c is not None
-                               else np.zeros(n, np.int64))
-    view = lambda c: None if c is None else np.ascontiguousarray(c).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), whole(view(a)), whole(view(b)), whole(k),
-         pa.array(np.asarray(dup).astype(np.int32)), whole(start), whole(last)],
-        names=["kind", "a", "b", "_k", "_dup", "start", "last"])
+def _batch(a, b, k, start, dup, span) -> pa.RecordBatch:
+    long = lambda c: pa.array(np.ascontiguousarray(c).view(np.int64))
+    small_ = lambda c: pa.array(np.asarray(c).astype(np.int32))
+    return pa.RecordBatch.from_arrays([long(a), long(b), long(k), long(start), small_(dup), small_(span)], names=_NAMES)
 
 
-def _spans(k, dup, start, last, length) -> pa.RecordBatch:
-    """Removed byte ranges [start, last) of documents, joined (kind 0)."""
-    pair = np.stack([k, dup], 1)
-    ids, doc = np.unique(pair, axis=0, return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
-    d, s, e = merged(doc.ravel(), start, last + length)
-    return _batch(0, None, None, ids[d, 0], ids[d, 1], s, e)
+def _removed(k, dup, start, end) -> pa.RecordBatch:
+    """Byte ranges [start, end) of documents, joined where they touch."""
+    order = np.lexsort((start, dup, k))
+    k, dup, start, end = k[order], dup[order], start[order], end[order]
+    doc = np.cumsum(np.r_[False, (k[1:] != k[:-1]) | (dup[1:] != dup[:-1])]) if len(k) else k
+    at, s, e = merged(doc, start, end)
+    first = np.searchsorted(doc, at)
+    return _batch(mix(k[first].view(np.uint64) + s.view(np.uint64)), e, k[first], s, dup[first], np.full(len(s), -1))
 
 
-def _emit(rows: list[np.ndarray], length: int):
-    """Combine: later rows of equal content are repeats, the first travel."""
-    (a, b, k, dup, start, last), first = _combine(rows, 2)
-    yield _batch(1, a[first], b[first], k[first], dup[first], start[first], last[first])
+def _combined(rows: list[np.ndarray], length: int):
+    """Of rows with the same (a, b) the first travels, the rest is removed."""
+    (a, b, k, dup, start, span), first = _combine(rows, 2)
+    yield _batch(a[first], b[first], k[first], start[first], dup[first], span[first])
     if not first.all():
-        yield _spans(k[~first], dup[~first], start[~first], last[~first], length)
-
-
-def _collect(source, length: int):
-    """Batch up rows from ``source`` and emit them combined."""
-    held, size = [], 0
-    for rows in source:
-        held.append(rows)
-        size += len(rows[0])
-        if size >= COMBINE:
-            yield from _emit([np.concatenate(c) for c in zip(*held)], length)
-            held, size = [], 0
-    if held:
-        yield from _emit([np.concatenate(c) for c in zip(*held)], length)
+        yield _removed(k[~first], dup[~first], start[~first], start[~first] + span[~first] + length)
 
 
 def phrases(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Occurrences (kind 1) that are first of their phrase in a task, and byte
-    ranges (kind 0) that are repeats already. ``rows``: _k, _dup, text."""
+    """Occurrences of phrases, combined inside a task. ``rows``: _k, _dup, text."""
     def scan(batches):
         for batch in batches:
             data, offs = utf8(batch.column(2))
@@ -174,31 +165,40 @@ def phrases(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 ends = np.cumsum(hi - lo)
                 starts = ends - (hi - lo)
                 h, p, part, s1, s2 = parse(text, starts, ends, length, gram)
-                shift = base[part] - starts[part]
-                yield h, p, k[t[part]], dup[t[part]], s1 + shift, s2 + shift
-
-    return rows.mapInArrow(lambda batches: _collect(scan(batches), length), _SPANS)
-
+                yield h, p, k[t[part]], dup[t[part]], s1 + (base - starts)[part], s2 - s1
+
+    def run(batches):
+        held, size = [], 0
+        for rows_ in scan(batches):
+            held.append(rows_)
+            size += len(rows_[0])
+            if size >= COMBINE:
+                yield from _combined([np.concatenate(c) for c in zip(*held)], length)
+                held, size = [], 0
+        if held:
+            yield from _combined([np.concatenate(c) for c in zip(*held)], length)
 
-def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions("a", "b", "_k", "_dup", "start")
+    return rows.mapInArrow(run, _ROWS)
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(c).to_numpy() for c in ("a", "b", "_k", "_dup", "start", "last")]
+    return [batch.column(c).to_numpy() for c in _NAMES]
 
 
 def first_occurrences(occurrences: DataFrame, length: int) -> DataFrame:
-    """Stream the sorted occurrences: of each phrase all but the first are
-    repeats (kind 0); the firsts of triggers with several phrases go on (kind 2)."""
+    """Stream the sorted occurrences: all but the first of a phrase are removed;
+    the firsts of triggers with several phrases go on. Ranges pass through."""
     def stream(batches):
-        prev = None  # the last first-of-phrase: its row, and whether it went on
+        prev = None  # the last first of a phrase, and whether it went on
         for batch in batches:
             cols = _columns(batch)
-            if not len(cols[0]):
-                continue
-            a, b, k, dup, start, last = cols
+            done = cols[5] < 0
+            if done.any():
+                yield _batch(*[c[done] for c in cols])
+            a, b, k, start, dup, span = cols = [c[~done] for c in cols]
             n = len(a)
+            if not n:
+                continue
             new_a, new_b = np.ones(n, bool), np.ones(n, bool)
             new_a[1:] = a[1:] != a[:-1]
             new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
@@ -207,90 +207,171 @@ def first_occurrences(occurrences: DataFrame, length: int) -> DataFrame:
                 new_b[0] = new_a[0] or b[0] != prev[0][1]
             first = np.flatnonzero(new_b)
             # a first goes on if its trigger has another phrase before or after it
-            starts_group = new_a[first]
-            goes = ~starts_group
-            goes[:-1] |= ~starts_group[1:]
-            if prev is not None and len(first) and not starts_group[0] and not prev[1]:
-                yield _batch(2, *[np.array([x]) for x in prev[0]])
+            opens = new_a[first]
+            goes = ~opens
+            goes[:-1] |= ~opens[1:]
+            if prev is not None and len(first) and not opens[0] and not prev[1]:
+                yield _batch(*[np.array([x]) for x in prev[0]])
             rest = ~new_b
             if rest.any():
-                yield _spans(k[rest], dup[rest], start[rest], last[rest], length)
+                yield _removed(k[rest], dup[rest].astype(np.int64), start[rest], start[rest] + span[rest] + length)
             if len(first):
-                # the last first of this batch waits: the next batch may bring another phrase
-                out = first[:-1][goes[:-1]]
+                out = first[goes]
                 if len(out):
-                    yield _batch(2, a[out], b[out], k[out], dup[out], start[out], last[out])
-                i = first[-1]
-                row = tuple(c[i] for c in cols)
-                if goes[-1]:
-                    yield _batch(2, *[np.array([x]) for x in row])
-                prev = row, bool(goes[-1])
+                    yield _batch(*[c[out] for c in cols])
+                # the last first may go on when the next batch brings another phrase
+                prev = tuple(c[first[-1]] for c in cols), bool(goes[-1])
 
-    return sorted_by(occurrences, "a").mapInArrow(stream, _SPANS)
+    return (occurrences.repartition("a").sortWithinPartitions("a", "b", "_k", "_dup", "start")
+            .mapInArrow(stream, _ROWS))
 
 
-def suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """Windows of dictionary phrases by their 128-bit names (kind 1, combined),
-    and ranges found to be repeats (kind 0). ``rows``: _k, _dup, text, runs."""
-    def scan(batches):
+def packed(rows: DataFrame) -> DataFrame:
+    """Replace the last column, text, by its compressed bytes (z): what travels
+    in a shuffle is about a third of the text."""
+    names = rows.columns[:-1]
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data, offs = utf8(b.column(len(names)))
+            z = [press.compress(data[lo:hi].data) for lo, hi in zip(offs[:-1], offs[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z, pa.binary())], names=[*names, "z"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(pack, f"{schema}, z binary")
+
+
+def phrase_bytes(rows: DataFrame, length: int) -> DataFrame:
+    """(a, _k, _dup, start, bytes) of the phrases in ``runs``: _k, _dup, z, runs."""
+    def cut(batches):
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            for i, found in enumerate(b.column(3).to_pylist()):
+                text = press.decompress(b.column(2)[i].as_py())
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["a"] for r in found], pa.int64()), b.column(0).take(pa.array([i] * n)),
+                     b.column(1).take(pa.array([i] * n)), pa.array([r["start"] for r in found], pa.int64()),
+                     pa.array([text[r["start"]:r["start"] + r["span"] + length] for r in found], pa.binary())],
+                    names=["a", "_k", "_dup", "start", "bytes"])
+
+    def joined(batches):  # one batch per few documents
+        held, size = [], 0
+        for b in cut(batches):
+            held.append(b)
+            size += b.nbytes
+            if size >= CHUNK:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return rows.mapInArrow(joined, "a long, _k long, _dup int, start long, bytes binary")
+
+
+def windows(rows: pa.RecordBatch, length: int) -> list[np.ndarray]:
+    """Names (a, b) and places of all windows of the phrases in ``rows``."""
+    data, offs = utf8(rows.column("bytes"))
+    n = np.diff(offs) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    lo = offs[:-1][row] + at
+    one, two = (span_hash(prefix_hash(data, seed), lo, lo + length) for seed in (_SEED, _SEED2))
+    k, start = rows.column("_k").to_numpy()[row], rows.column("start").to_numpy()[row] + at
+    return [one, two, k, rows.column("_dup").to_numpy()[row].astype(np.int64), start, np.zeros(len(row), np.int64)]
+
+
+def sorted_suffixes(rows: DataFrame, length: int) -> DataFrame:
+    """Stream phrases by trigger: of equal windows all but the first are removed.
+    Windows of a trigger with more than SUFFIXES bytes of phrases go on, to be
+    sorted across tasks."""
+    def resolve(part: pa.RecordBatch):
+        (a, b, k, dup, start, _), first = _combine(windows(part, length), 2)
+        if not first.all():
+            yield _removed(k[~first], dup[~first], start[~first], start[~first] + length)
+
+    def pieces(part: pa.RecordBatch):
+        for at in range(0, len(part), 4096):
+            yield part.slice(at, 4096)
+
+    def stream(batches):
+        held, large = None, None
         for batch in batches:
-            data, offs = utf8(batch.column(2))
-            k = batch.column(0).to_numpy()
-            dup = batch.column(1).to_numpy().astype(np.int64)
-            runs = batch.column(3)
-            for t, found in enumerate(runs.to_pylist()):
-                spans = np.array(sorted((r["start"], r["last"]) for r in found), np.int64)
-                at = 0
-                while at < len(spans):  # runs near each other share their hashes
-                    to = at + 1
-                    while to < len(spans) and spans[to, 1] - spans[at, 0] < CHUNK:
-                        to += 1
-                    lo, hi = spans[at, 0], spans[at:to, 1].max() + length
-                    text = data[offs[t] + lo:offs[t] + hi]
-                    size = spans[at:to, 1] - spans[at:to, 0] + 1
-                    w = np.repeat(spans[at:to, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    a = span_hash(prefix_hash(text, _SEED), w - lo, w - lo + length)
-                    b = span_hash(prefix_hash(text, _SEED2), w - lo, w - lo + length)
-                    yield a, b, np.full(len(w), k[t]), np.full(len(w), dup[t]), w, w
-                    at = to
-
-    return rows.mapInArrow(lambda batches: _collect(scan(batches), length), _SPANS)
-
-
-def later_suffixes(windows: DataFrame, length: int) -> DataFrame:
-    """Stream the sorted windows: all but the first of equal ones are repeats."""
+            if not len(batch):
+                continue
+            rows_ = batch if held is None else pa.concat_batches([held, batch])
+            a = rows_.column("a").to_numpy()
+            if large is not None:
+                n = int(np.searchsorted(a != large, True))
+                for part in pieces(rows_.slice(0, n)):
+                    yield from _combined(windows(part, length), length)
+                rows_, a = rows_.slice(n), a[n:]
+            if not len(rows_):
+                held = None
+                continue
+            large = None
+            last = int(np.searchsorted(a, a[-1]))
+            for part in whole_groups(rows_.slice(0, last), a[:last]):
+                yield from resolve(part)
+            held = rows_.slice(last)
+            if held.nbytes > SUFFIXES:
+                large = a[-1]
+                for part in pieces(held):
+                    yield from _combined(windows(part, length), length)
+                held = None
+        if held is not None and len(held):
+            yield from resolve(held)
+
+    return (rows.repartition("a").sortWithinPartitions("a", "_k", "_dup", "start")
+            .mapInArrow(stream, _ROWS))
+
+
+def whole_groups(rows: pa.RecordBatch, a: np.ndarray, size: int = 4096):
+    """Slices of about ``size`` rows that cut no group of equal ``a``."""
+    at = 0
+    while at < len(a):
+        to = min(len(a), at + size)
+        to = int(np.searchsorted(a, a[to - 1], "right"))
+        yield rows.slice(at, to - at)
+        at = to
+
+
+def later_windows(rows: DataFrame, length: int) -> DataFrame:
+    """Stream the sorted windows: all but the first of equal ones are removed."""
     def stream(batches):
         prev = None
         for batch in batches:
-            cols = _columns(batch)
-            if not len(cols[0]):
+            a, b, k, start, dup, _ = _columns(batch)
+            if not len(a):
                 continue
-            a, b, k, dup, start, last = cols
             same = np.zeros(len(a), bool)
             same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
             same[0] = prev == (a[0], b[0])
             prev = a[-1], b[-1]
             if same.any():
-                yield _spans(k[same], dup[same], start[same], last[same], length)
+                yield _removed(k[same], dup[same].astype(np.int64), start[same], start[same] + length)
 
-    return sorted_by(windows, "a", "b").mapInArrow(stream, _SPANS)
+    return (rows.repartition("a", "b").sortWithinPartitions("a", "b", "_k", "_dup", "start")
+            .mapInArrow(stream, _ROWS))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_k, _dup, start, last): byte ranges [start, last) of documents that
-    repeats cover; they may overlap. Stored."""
+    repeats cover; they may overlap."""
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
     rows = with_identity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
                          "doc_id", "text").select("_k", "_dup", "text")
-    parsed = stage(phrases(rows, length, gram), "phrases")
-    ordered = stage(first_occurrences(parsed.where("kind = 1"), length), "occurrences")
-    runs = (ordered.where("kind = 2").groupBy("_k", "_dup")
-            .agg(F.collect_list(F.struct("start", "last")).alias("runs")))
-    named = stage(suffixes(rows.join(runs, ["_k", "_dup"]).select("_k", "_dup", "text", "runs"), length), "suffixes")
-    later = later_suffixes(named.where("kind = 1"), length)
-    found = [f.where("kind = 0").select("_k", "_dup", "start", "last") for f in (parsed, ordered, named, later)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    ordered = stage(first_occurrences(phrases(rows, length, gram), length), "occurrences")
+    runs = (ordered.where("span >= 0").groupBy("_k", "_dup")
+            .agg(F.collect_list(F.struct("a", "start", "span")).alias("runs")))
+    fetched = phrase_bytes(packed(rows).join(runs, ["_k", "_dup"]).select("_k", "_dup", "z", "runs"), length)
+    sorted_ = stage(sorted_suffixes(fetched, length), "suffixes")
+    later = later_windows(sorted_.where("span >= 0"), length)
+    found = [f.where("span < 0").select("_k", "_dup", "start", F.col("b").alias("last"))
+             for f in (ordered, sorted_, later)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -308,25 +389,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
               .agg(F.collect_list(F.struct("start", "last")).alias("ranges")))
 
     def cut(batches):
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            data, offs = utf8(batch.column(1))
-            removed, spans, digests = [], [], []
+            size, removed, spans, digests = [], [], [], []
             for t, found in enumerate(batch.column(2).to_pylist()):
-                text = data[offs[t]:offs[t + 1]]
+                text = press.decompress(batch.column(1)[t].as_py())
                 pairs = np.array([(r["start"], r["last"]) for r in found or ()], np.int64).reshape(-1, 2)
                 _, s, e = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
                 sha, at = hashlib.sha256(), 0
                 for x, y in zip(s, e):
-                    sha.update(text[at:x].tobytes())
+                    sha.update(text[at:x])
                     at = y
-                sha.update(text[at:].tobytes())
+                sha.update(text[at:])
+                size.append(len(text))
                 removed.append(int((e - s).sum()))
                 spans.append(len(s))
                 digests.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offs)), pa.array(removed, pa.int64()),
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return (rows.join(ranges, ["_k", "_dup"], "left").select("doc_id", "text", "ranges")
+    return (packed(rows).join(ranges, ["_k", "_dup"], "left").select("doc_id", "z", "ranges")
             .mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
