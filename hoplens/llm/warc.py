@@ -121,7 +121,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
                            none("string").alias("html")).unionByName(
         rows.select("_k", "_dup", F.lit(1).alias("_kind"), none("long").alias("_rk"), none("int").alias("_rdup"),
                     "url", "html"))
-    dealt = (both.withColumn("_shard", shard_of("_k")).repartition(len(bounds) + 1, "_shard")
+    dealt = (both.withColumn("_shard", shard_of("_k")).repartitionById(len(bounds) + 1, F.col("_shard"))
              .sortWithinPartitions("_shard", "_k", "_dup", "_kind"))
     work = f"{path.rstrip('/')}/_temporary"
 
