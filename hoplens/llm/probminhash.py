@@ -9,11 +9,13 @@ probability Jaccard similarity of their weighted shingles.
 
 Documents with the same words are one class. Classes that agree in a band of
 registers are candidates. A band's bucket is not expanded into all pairs: its
-members are compared with the bucket's smallest class, in the exact probability
-Jaccard similarity; links that are found join groups (distributed components);
-and only members of a bucket that are still in different groups are compared
-with each other, without exception. The groups are those of all pairs: a pair
-that is left out has both ends in one group already.
+members are compared with the bucket's most central class (that whose buckets
+are the largest), in the exact probability Jaccard similarity; links that are
+found join groups (distributed components). Where a bucket still has members of
+different groups, each that is outside the bucket's largest group is compared
+with all members of other groups, exactly and without exception, in blocks of
+bounded size. The groups are those of all pairs: a pair that is left out has
+both ends in one group already.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import connected_components, mix, small, stage, utf8, with_identity, word_hashes
+from hoplens.llm.common import (connected_components, mix, packed, small, stage, unpacked, utf8,
+                                with_identity, word_hashes)
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99993.
 BANDS, ROWS = 24, 5
-#: Documents that one group of a verification holds beside the one they are compared with.
-FAN = 256
+#: Documents that are compared with one other in a group, and with each other in a block.
+FAN, BLOCK = 256, 256
+#: Bytes of compressed text that a task opens at once.
+SLICE = 1 << 18
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +52,7 @@ def shingles(words: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]
 
 
 def _draws(elements: np.ndarray, seed: int) -> np.ndarray:
-    return mix(elements ^ mix(np.array([seed * 2 + 1], np.uint64)))
+    return mix(elements ^ np.uint64(seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & (1 << 64) - 1))
 
 
 def probminhash(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
@@ -125,19 +130,19 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
 
     Each b meets the text of its a in a group of at most about FAN: a hub's
     partners are dealt to as many groups as they need, each with a copy of the
-    hub's text. ``texts`` has (id, text) of the classes.
+    hub's text. ``texts`` has (id, z) of the documents.
     """
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(
         dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).distinct())
-    rows = (texts.join(wanted, "id").select("a", "part", "role", "id", "text")
+    rows = (texts.join(wanted, "id").select("a", "part", "role", "id", "z")
             .repartition("a", "part").sortWithinPartitions("a", "part", "role", "id"))
 
     def compare(batches):
         hub, base = None, None
-        for b in small(batches, 4):
-            data, offs = utf8(b.column(4))
+        for b in small(batches, 4, SLICE):
+            data, offs = unpacked(b.column(4))
             hashes, first = word_hashes(data, offs)
             out = []
             for i, (a, part, role, id_) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
@@ -146,12 +151,102 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
                     hub, base = (a, part), own
                 elif hub == (a, part) and probability_jaccard(*base, *own) >= threshold - 1e-9:
                     out.append((a, id_))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
-                                              pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            yield pairs_batch(out)
 
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def block_links(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of ``left`` and ``right`` in different groups that are similar
+    enough. Entries are (id, group, shingles, weights). For one left document
+    its shingles are marked, and one pass over all right shingles gives the
+    shared weight of every right document: with all weights 1 that is the
+    similarity, else a bound of it (no document shares more than the part of
+    its weight that is shared), and the few above the bound are computed."""
+    if not left or not right:
+        return []
+    ids = np.array([r[0] for r in right])
+    groups = np.array([r[1] for r in right])
+    sizes = np.array([len(r[2]) for r in right])
+    weights = np.concatenate([r[3] for r in right])
+    known, code = np.unique(np.concatenate([r[2] for r in right]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    total = np.add.reduceat(weights, starts)
+    plain = total == sizes
+    out = []
+    for id_, group, own, weight in left:
+        other = (groups != group) & (ids != id_)
+        if not other.any():
+            continue
+        at = np.searchsorted(known, own)
+        at[at == len(known)] = 0
+        hit = known[at] == own
+        mark = np.zeros(len(known))
+        mark[at[hit]] = weight[hit]
+        shared = np.add.reduceat(np.where(mark[code] > 0, weights, 0.0), starts)
+        mass = weight.sum()
+        if mass == len(own):  # set against sets: exact
+            sim = shared / (mass + sizes - shared)
+            out += [(id_, int(x)) for x in ids[other & plain & (sim >= threshold - 1e-9)]]
+            other &= ~plain
+        reach = np.add.reduceat(mark[code], starts) / mass  # the left document's shared part
+        for r in np.flatnonzero(other & (np.minimum(shared / total, reach) >= threshold - 1e-9)):
+            if probability_jaccard(own, weight, right[r][2], right[r][3]) >= threshold - 1e-9:
+                out.append((id_, int(ids[r])))
+    return out
+
+
+def verified_blocks(texts: DataFrame, open_: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different groups.
+
+    ``open_``: band, value, id, group, minor (not in the bucket's largest
+    group). Minor members are the rows and all members the columns of a grid of
+    blocks; a cell of the grid is compared in one go and holds at most two
+    blocks of texts.
+    """
+    key = ["band", "value"]
+    size = open_.groupBy(*key).agg(F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK).cast("int").alias("rows"),
+                                   F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"))
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = open_.join(size, key).withColumn("own_row", F.when(F.col("minor"), spot("rows")).otherwise(-1)) \
+        .withColumn("own_col", spot("cols"))
+    as_col = F.transform(cells("rows"), lambda r: F.struct(r.alias("row"), F.col("own_col").alias("col")))
+    as_row = F.transform(cells("cols"), lambda c: F.struct(F.col("own_row").alias("row"), c.alias("col")))
+    cell = F.explode(F.when(F.col("minor"), F.array_union(as_col, as_row)).otherwise(as_col)).alias("cell")
+    spread = placed.select(*key, "id", "group", "own_row", "own_col", cell).select(
+        *key, "cell.row", "cell.col", "id", "group", (F.col("own_row") == F.col("cell.row")).alias("is_row"),
+        (F.col("own_col") == F.col("cell.col")).alias("is_col"))
+    sort = [*key, "row", "col"]
+    rows = (texts.join(spread, "id").select(*sort, "id", "group", "is_row", "is_col", "z")
+            .repartition(*sort).sortWithinPartitions(*sort, "id"))
+
+    def compare(batches):
+        at, left, right = None, [], []
+        for b in small(batches, 8, SLICE):
+            data, offs = unpacked(b.column(8))
+            hashes, first = word_hashes(data, offs)
+            out = []
+            for i, (*spot_, id_, group, is_row, is_col) in enumerate(zip(*(b.column(c).to_pylist() for c in range(8)))):
+                if spot_ != at:
+                    out += block_links(left, right, threshold)
+                    at, left, right = spot_, [], []
+                entry = id_, group, *shingles(hashes[first[i]:first[i + 1]])
+                if is_row:
+                    left.append(entry)
+                if is_col:
+                    right.append(entry)
+            yield pairs_batch(out)
+        yield pairs_batch(block_links(left, right, threshold))
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
+                                       pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
                           rows: int = ROWS) -> DataFrame:
     """One row per document: _k, _dup, doc_id, copy_id (smallest doc_id with the
@@ -171,25 +266,28 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
     classes = stage(seen.where("words is not null").groupBy("words").agg(first)
                     .select("words", F.col("first.id").alias("id"), F.col("first.bands").alias("bands")), "classes")
     members = stage(classes.select("id", F.posexplode("bands").alias("band", "value")), "bands")
-    buckets = members.groupBy("band", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = stage(buckets, "buckets")
-    shared = stage(members.join(buckets, ["band", "value"]).select("band", "value", "a", "id"), "shared")
+    buckets = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(members.join(stage(buckets, "buckets"), ["band", "value"]), "shared")
+    central = stage(shared.groupBy("id").agg(F.sum("n").alias("central")), "central")
+    lead = (shared.join(central, "id").groupBy("band", "value")
+            .agg((-F.max(F.struct("central", (-F.col("id")).alias("id")))["id"]).alias("a")))
+    shared = shared.join(stage(lead, "lead"), ["band", "value"]).select("band", "value", "a", "id")
     star = stage(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star")
     texts = (with_identity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", "text")
              .withColumn("id", number).select("id", "text"))
+    texts = packed(texts)
     links = stage(verified(texts, star, threshold), "links")
     groups = stage(connected_components(links), "groups")
     # members of a bucket that are still apart
     placed = stage(shared.join(groups, "id", "left")
                    .select("band", "value", "id", F.coalesce("component", "id").alias("group")), "placed")
-    split = (placed.groupBy("band", "value").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-             .where("low < high").select("band", "value"))
-    open_ = stage(placed.join(split, ["band", "value"]), "open")
-    other = open_.select("band", "value", F.col("id").alias("id2"), F.col("group").alias("group2"))
-    apart = (open_.join(other, ["band", "value"]).where("id < id2 and group <> group2")
-             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = stage(verified(texts, stage(apart, "apart"), threshold), "more")
+    key = ["band", "value"]
+    held = placed.groupBy(*key, "group").agg(F.count("*").alias("n"))
+    split = (held.groupBy(*key).agg(F.max(F.struct("n", "group"))["group"].alias("largest"),
+                                    F.count("*").alias("groups")).where("groups > 1").drop("groups"))
+    open_ = stage(placed.join(stage(split, "split"), key)
+                  .withColumn("minor", F.col("group") != F.col("largest")).drop("largest"), "open")
+    more = stage(verified_blocks(texts, open_, threshold), "more")
     if not more.isEmpty():
         groups = stage(connected_components(links.unionByName(more)), "groups")
     placed = stage(classes.select("words", "id").join(groups, "id", "left")

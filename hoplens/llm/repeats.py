@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import mix, prefix_hash, span_hash, stage, utf8, with_identity
+from hoplens.llm.common import mix, packed, prefix_hash, span_hash, stage, utf8, with_identity
 
 LENGTH, GRAM = 100, 32
 #: Bytes parsed at once; rows combined at once; bytes of a trigger's phrases in one task.
@@ -226,22 +226,6 @@ def first_occurrences(occurrences: DataFrame, length: int) -> DataFrame:
             .mapInArrow(stream, _ROWS))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Replace the last column, text, by its compressed bytes (z): what travels
-    in a shuffle is about a third of the text."""
-    names = rows.columns[:-1]
-
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            data, offs = utf8(b.column(len(names)))
-            z = [press.compress(data[lo:hi].data) for lo, hi in zip(offs[:-1], offs[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z, pa.binary())], names=[*names, "z"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(pack, f"{schema}, z binary")
-
-
 def phrase_bytes(rows: DataFrame, length: int) -> DataFrame:
     """(a, _k, _dup, start, bytes) of the phrases in ``runs``: _k, _dup, z, runs."""
     def cut(batches):
