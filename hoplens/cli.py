@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from hoplens.functions.time import STUDY_LAST_MONTH, STUDY_YEAR
 from hoplens.operators.clean import clean_ledger, time_window, write_clean_ledger
-from hoplens.operators.expand import DEFAULT_CAPS
 from hoplens.plans.pipeline import (StudyConfig, explore_study, ratio_study, run_study,
                                     write_all)
 from hoplens.sources.ledger import RAW_LEDGER_SCHEMA, read_accounts, read_ledger
@@ -64,7 +63,7 @@ def _parser() -> argparse.ArgumentParser:
     s = sub.add_parser("study", help="k-hop neighbourhood, flags, transactions, trends")
     common(s)
     s.add_argument("--hops", type=int, default=4)
-    s.add_argument("--caps", default=",".join(map(str, DEFAULT_CAPS)))
+    s.add_argument("--caps", help="per-hop caps, e.g. 30,25,20,10; none by default")
     s.add_argument("--recent-start", type=int, default=STUDY_LAST_MONTH[0])
     s.add_argument("--recent-end", type=int, default=STUDY_LAST_MONTH[1])
     s.add_argument("--tz")
@@ -76,7 +75,7 @@ def _parser() -> argparse.ArgumentParser:
     e = sub.add_parser("explore", help="star and ball subgraphs around the first seeds")
     common(e, "--graph", STUDY_YEAR)  # the prototype windows the raw export
     e.add_argument("--fraction", type=float)
-    e.add_argument("--sample-method", default="bernoulli")
+    e.add_argument("--sample-method", default="hash")
     return p
 
 

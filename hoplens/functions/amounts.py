@@ -10,14 +10,14 @@ def amount_sum(c: Column | str, scale: int | None = None) -> Column:
     """Sum of transfer values.
 
     ``scale=None`` sums doubles, as the ledger stores them. With a scale the
-    values are summed as ``decimal(18, scale)`` and returned as double: the sum
+    values are summed as ``decimal(38, scale)`` and returned as double: the sum
     is then exact and independent of the order in which partitions combine,
     so reruns after an executor loss give bit-identical totals.
     """
     col = F.col(c) if isinstance(c, str) else c
     if scale is None:
         return F.sum(col)
-    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(col.cast(f"decimal(38,{scale})")).cast("double")
 
 
 def amount_sum_exact(c: Column | str, scale: int | None = None) -> Column:
@@ -25,7 +25,7 @@ def amount_sum_exact(c: Column | str, scale: int | None = None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     if scale is None:
         return F.sum(col)
-    return F.sum(col.cast(f"decimal(18,{scale})"))
+    return F.sum(col.cast(f"decimal(38,{scale})"))
 
 
 def safe_ratio(num: Column | str, den: Column | str) -> Column:

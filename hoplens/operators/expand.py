@@ -36,7 +36,7 @@ from hoplens.operators.labels import gate_seeds, seed_frame
 from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
                                     shuffle_join)
 
-# Fixed caps per hop of the main pipeline (hops 1..4).
+# Caps per hop (1..4) for callers who ask for a capped frontier; never a default.
 DEFAULT_CAPS = (30, 25, 20, 10)
 
 NEIGHBOUR_COLUMNS = ("seed_id", "id", "originalAddress", "label")
@@ -125,7 +125,7 @@ def _caps_for(hops: int, caps: Sequence[int | None] | None) -> list[int | None]:
 
 
 def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
-         hops: int = 4, caps: Sequence[int | None] | None = DEFAULT_CAPS,
+         hops: int = 4, caps: Sequence[int | None] | None = None,
          require_labelled: bool = True, checkpoint: bool = True,
          max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """C6/C7 — neighbourhood up to ``hops`` of every seed.
@@ -133,7 +133,7 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     ``edges``: ledger rows with ``from``/``to`` (window and zero filter applied
     by the caller). ``seeds``: DataFrame[id] or [seed_id]. ``labels``: the label
     set; with ``require_labelled`` only seeds in it are expanded (C3).
-    ``caps``: per-hop cap per seed, ``None`` for uncapped.
+    ``caps``: per-hop cap per seed (keeps the smallest ids); by default none.
     """
     if hops < 1:
         raise ValueError("hops must be >= 1")

@@ -43,14 +43,18 @@ def _seeds(spark, d):
     return fx.seeds(spark, d)
 
 
-def _khop(spark, d, hops=4, caps=expand.DEFAULT_CAPS):
+def _khop(spark, d, hops=4, caps=None):
     return expand.khop(_ledger(spark, d), _seeds(spark, d), labels=_labels(spark, d),
                        hops=hops, caps=caps)
 
 
-def _hop1_capped(spark, d):
-    """The materialised hop-1 frontier (seed_id, id, parent) with the hop-1 cap."""
-    k = _khop(spark, d, hops=1, caps=expand.DEFAULT_CAPS[:1])
+def _gated(spark, d):
+    return labels.gate_seeds(_seeds(spark, d), _labels(spark, d))
+
+
+def _hop1(spark, d):
+    """The materialised hop-1 frontier (seed_id, id, parent)."""
+    k = _khop(spark, d, hops=1)
     return k.select("seed_id", "id", F.col("originalAddress").alias("parent"))
 
 
@@ -86,7 +90,7 @@ def q_hop1(spark, d):
 
 
 def _hop2_pairs(spark, d, direction):
-    pairs = expand.hop_pairs(_ledger(spark, d), _hop1_capped(spark, d), direction)
+    pairs = expand.hop_pairs(_ledger(spark, d), _hop1(spark, d), direction)
     return pairs.select("seed_id", "originalAddress", "id", F.lit(2).alias("label"))
 
 
@@ -99,13 +103,13 @@ def q_hop2_in(spark, d):
 
 
 def q_hop2_frontier(spark, d):
-    level = expand.expand_hop(_ledger(spark, d), _hop1_capped(spark, d),
-                              cap=expand.DEFAULT_CAPS[1])
+    level = expand.expand_hop(_ledger(spark, d), _hop1(spark, d), cap=None)
     return _as_neighbours(level, 2)
 
 
 def q_khop_capped(spark, d):
-    return _khop(spark, d)
+    # the hop cap itself (T2); nothing else is built on a capped neighbourhood
+    return _khop(spark, d, caps=expand.DEFAULT_CAPS)
 
 
 def q_khop2_uncapped(spark, d):
@@ -177,11 +181,15 @@ def q_seed_report(spark, d):
     return report.seed_report(flagged, _recent(spark, d, flagged), _seeds(spark, d))
 
 
+# a share that leaves rows on every test table
+STAR_FRACTION = 0.5
+
+
 def _stars(spark, d):
-    s = _seeds(spark, d)
+    s = _seeds(spark, d).join(_gated(spark, d).withColumnRenamed("seed_id", "id"), "id", "left_semi")
     return explore.star_export(
         _graph(spark, d), s.where(F.col("seed_no") == 1), s.where(F.col("seed_no") == 2),
-        s.where(F.col("seed_no") == 3), _labels(spark, d), method="hash")
+        s.where(F.col("seed_no") == 3), _labels(spark, d), fraction=STAR_FRACTION, method="hash")
 
 
 def q_star_vertices(spark, d):
@@ -205,7 +213,7 @@ def q_star_sampled_bernoulli(spark, d):
 
 
 def _n1(spark, d):
-    centres = labels.seed_frame(_seeds(spark, d)).select("seed_id", F.col("seed_id").alias("id"))
+    centres = _gated(spark, d).select("seed_id", F.col("seed_id").alias("id"))
     return explore.out_neighbours(_graph(spark, d), centres)
 
 
@@ -218,7 +226,7 @@ def q_multi_edge(spark, d):
 
 
 def _balls(spark, d):
-    return explore.ball_levels(_graph(spark, d), _seeds(spark, d))
+    return explore.ball_levels(_graph(spark, d), _gated(spark, d))
 
 
 def q_ball2(spark, d):

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from hoplens.operators.expand import DEFAULT_CAPS, khop
+from hoplens.operators.expand import khop
 from hoplens.operators.flows import (neighbour_flows, recent_summary, seed_accounts,
                                      tracked_accounts, transactions, trends)
 from hoplens.operators.labels import FLAG, blacklist_ratio, flag, label_set
@@ -36,7 +36,7 @@ from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize, rows
 @dataclass
 class StudyConfig:
     hops: int = 4
-    caps: Sequence[int | None] | None = DEFAULT_CAPS
+    caps: Sequence[int | None] | None = None
     require_labelled: bool = True
     recent_start: int | None = None
     recent_end: int | None = None

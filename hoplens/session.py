@@ -61,6 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         except Exception:
             root = None
+    if not root:
+        try:
+            root = spark.sparkContext.getCheckpointDir()  # set by the caller
+        except Exception:
+            root = None
     if not root:
         if not _local_master(spark):
             raise RuntimeError(

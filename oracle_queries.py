@@ -11,7 +11,7 @@ from __future__ import annotations
 YEAR = (873072000, 904608000)
 RECENT = (901929600, 904608000)
 CAPS = (30, 25, 20, 10)
-SAMPLE_FRACTION = 0.0005
+SAMPLE_FRACTION = 0.5
 SAMPLE_SEED = 10
 COMPONENT = 1
 
@@ -74,10 +74,15 @@ khop_capped AS (
   UNION ALL SELECT seed_id, id, parent, 2 FROM c2
   UNION ALL SELECT seed_id, id, parent, 3 FROM c3
   UNION ALL SELECT seed_id, id, parent, 4 FROM c4),
+khop AS (
+  SELECT seed_id, id, parent AS "originalAddress", 1 AS label FROM u1
+  UNION ALL SELECT seed_id, id, parent, 2 FROM u2
+  UNION ALL SELECT seed_id, id, parent, 3 FROM u3
+  UNION ALL SELECT seed_id, id, parent, 4 FROM u4),
 flagged AS (
   SELECT k.seed_id, k.id, k."originalAddress", k.label,
          k.id IN (SELECT id FROM blacklist) AS "isInBlackListResult"
-  FROM khop_capped k),
+  FROM khop k),
 nf AS (SELECT DISTINCT seed_id, id, "isInBlackListResult" FROM flagged),
 nflows AS (
   SELECT n.seed_id, n."isInBlackListResult", 'from' AS direction, l."timestamp", l.value
@@ -114,20 +119,21 @@ _HASH = ("CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(g.\"timestamp\"
          "g.\"from\", g.\"to\")), 1, 8) AS BIGINT) / 4294967296.0").format(seed=SAMPLE_SEED)
 
 EXPLORE = f"""
+gseeds AS (SELECT * FROM seeds WHERE seed_id IN (SELECT seed_id FROM gated)),
 star_rows AS (
   SELECT s.seed_id, g."timestamp", g."from", g."to", 0 AS sampled
-  FROM seeds s JOIN graph g ON g."from" = s.seed_id WHERE s.seed_no = 1
+  FROM gseeds s JOIN graph g ON g."from" = s.seed_id WHERE s.seed_no = 1
   UNION ALL
   SELECT s.seed_id, g."timestamp", g."from", g."to", 0
-  FROM seeds s JOIN graph g ON g."to" = s.seed_id WHERE s.seed_no = 1
+  FROM gseeds s JOIN graph g ON g."to" = s.seed_id WHERE s.seed_no = 1
   UNION ALL
   SELECT s.seed_id, g."timestamp", g."from", g."to", 0
-  FROM seeds s JOIN graph g ON g."from" = s.seed_id WHERE s.seed_no = 2
+  FROM gseeds s JOIN graph g ON g."from" = s.seed_id WHERE s.seed_no = 2
   UNION ALL
   SELECT s.seed_id, g."timestamp", g."from", g."to", 1
-  FROM seeds s JOIN graph g ON g."from" = s.seed_id
+  FROM gseeds s JOIN graph g ON g."from" = s.seed_id
   WHERE s.seed_no = 3 AND {_HASH} < {SAMPLE_FRACTION}),
-n1 AS (SELECT DISTINCT s.seed_id, g."to" AS id FROM seeds s JOIN graph g ON g."from" = s.seed_id
+n1 AS (SELECT DISTINCT s.seed_id, g."to" AS id FROM gseeds s JOIN graph g ON g."from" = s.seed_id
        WHERE g."to" IS NOT NULL),
 b2 AS (SELECT DISTINCT n.seed_id, g."to" AS id FROM n1 n JOIN graph g ON g."from" = n.id
        WHERE g."to" IS NOT NULL),
@@ -173,13 +179,13 @@ SQL: dict[str, str] = {
     "hop1": _with(BASE, HOPS) + 'SELECT seed_id, id, parent AS "originalAddress", 1 AS label FROM u1',
     "hop2_out": _with(BASE, HOPS) + """
 SELECT DISTINCT f.seed_id, f.id AS "originalAddress", l."to" AS id, 2 AS label
-FROM c1 f JOIN ledger l ON l."from" = f.id
+FROM u1 f JOIN ledger l ON l."from" = f.id
 WHERE l."to" IS NOT NULL AND l."to" <> f.parent""",
     "hop2_in": _with(BASE, HOPS) + """
 SELECT DISTINCT f.seed_id, f.id AS "originalAddress", l."from" AS id, 2 AS label
-FROM c1 f JOIN ledger l ON l."to" = f.id
+FROM u1 f JOIN ledger l ON l."to" = f.id
 WHERE l."from" IS NOT NULL AND l."from" <> f.parent""",
-    "hop2_frontier": _with(BASE, HOPS) + 'SELECT seed_id, id, parent AS "originalAddress", 2 AS label FROM c2',
+    "hop2_frontier": _with(BASE, HOPS) + 'SELECT seed_id, id, parent AS "originalAddress", 2 AS label FROM u2',
     "khop_capped": _with(BASE, HOPS) + "SELECT * FROM khop_capped",
     "khop2_uncapped": _with(BASE, HOPS) + 'SELECT seed_id, id, parent AS "originalAddress", 2 AS label FROM u2',
     "khop4_uncapped": _with(BASE, HOPS) + """
@@ -246,7 +252,7 @@ LEFT JOIN recent r ON r.seed_id = s.seed_id""",
 SELECT v.id, coalesce(ls.label, 0) AS label FROM (
   SELECT DISTINCT id FROM (
     SELECT "from" AS id FROM star_rows UNION ALL SELECT "to" FROM star_rows
-    UNION ALL SELECT seed_id FROM seeds WHERE seed_no <= 3) WHERE id IS NOT NULL) v
+    UNION ALL SELECT seed_id FROM gseeds WHERE seed_no <= 3) WHERE id IS NOT NULL) v
 LEFT JOIN label_set ls ON ls.id = v.id""",
     "star_edges": _with(BASE, EXPLORE) + 'SELECT DISTINCT "from", "to" FROM star_rows',
     "star_sampled": _with(BASE, EXPLORE) + 'SELECT "from", "to" FROM star_rows WHERE sampled = 1',

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
 
 SAME = {
-    "neighbours": "khop_capped",
+    "neighbours": "khop4_uncapped",
     "neighbours_flagged": "neighbours_flagged",
     "recent_summary": "recent_summary",
     "seed_report": "seed_report",
