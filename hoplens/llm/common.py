@@ -22,6 +22,8 @@ from hoplens.session import checkpoint_dir
 MIN_LONG = -(2 ** 63)
 #: Bytes of text worked on at once by the vectorised helpers.
 PIECE = 1 << 20
+#: Longs in the bit table of ``sieved``: 64 million bits, some 50 MB in a task at most.
+CELLS = 1 << 20
 _POWERS: dict = {}
 
 
@@ -54,6 +56,19 @@ def with_identity(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     return out.withColumn("_dup", F.row_number().over(w) - 1)
 
 
+def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``on`` do not occur in
+    ``keys``; none that occurs is lost, so a join may follow. A bit table with
+    one bit for each hash, of at most CELLS longs whatever the input, goes to
+    all tasks; rows that it stops never enter the join's shuffle. The more keys,
+    the more rows pass it by chance (n keys: about n in 64 * CELLS)."""
+    spot = F.pmod(F.xxhash64(*on), F.lit(64 * CELLS))
+    marks = [F.shiftright(spot, 6).alias("_sieve_cell"), F.pmod(spot, F.lit(64)).cast("int").alias("_sieve_bit")]
+    bits = keys.select(*marks).groupBy("_sieve_cell").agg(F.bit_or(F.expr("shiftleft(1L, _sieve_bit)")).alias("_sieve_bits"))
+    return (rows.select("*", *marks).join(F.broadcast(bits), "_sieve_cell")
+            .where(F.getbit("_sieve_bits", "_sieve_bit") == 1).select(*rows.columns))
+
+
 def same_edges(a: DataFrame, b: DataFrame) -> bool:
     """True if two sets of edges are equal, by their counts and hash sums."""
     def sums(e: DataFrame):

@@ -15,7 +15,8 @@ found join groups (distributed components). Where a bucket still has members of
 different groups, each that is outside the bucket's largest group is compared
 with all members of other groups, exactly and without exception, in blocks of
 bounded size. The groups are those of all pairs: a pair that is left out has
-both ends in one group already.
+both ends in one group already. Only texts of classes that are compared, and
+bands of shared buckets, enter a shuffle (``sieved``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import (connected_components, mix, packed, small, stage, unpacked, utf8,
+from hoplens.llm.common import (connected_components, mix, packed, sieved, small, stage, unpacked, utf8,
                                 with_identity, word_hashes)
 
 WORDS, THRESHOLD = 5, 0.8
@@ -267,7 +268,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
                     .select("words", F.col("first.id").alias("id"), F.col("first.bands").alias("bands")), "classes")
     members = stage(classes.select("id", F.posexplode("bands").alias("band", "value")), "bands")
     buckets = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(members.join(stage(buckets, "buckets"), ["band", "value"]), "shared")
+    buckets = stage(buckets, "buckets")
+    shared = stage(sieved(members, buckets, "band", "value").join(buckets, ["band", "value"]), "shared")
     central = stage(shared.groupBy("id").agg(F.sum("n").alias("central")), "central")
     lead = (shared.join(central, "id").groupBy("band", "value")
             .agg((-F.max(F.struct("central", (-F.col("id")).alias("id")))["id"]).alias("a")))
@@ -275,8 +277,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
     star = stage(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star")
     texts = (with_identity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", "text")
              .withColumn("id", number).select("id", "text"))
-    texts = packed(texts)
-    links = stage(verified(texts, star, threshold), "links")
+    ids = star.select(F.col("a").alias("id")).union(star.select("b"))
+    links = stage(verified(packed(sieved(texts, ids, "id")), star, threshold), "links")
     groups = stage(connected_components(links), "groups")
     # members of a bucket that are still apart
     placed = stage(shared.join(groups, "id", "left")
@@ -287,7 +289,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
                                     F.count("*").alias("groups")).where("groups > 1").drop("groups"))
     open_ = stage(placed.join(stage(split, "split"), key)
                   .withColumn("minor", F.col("group") != F.col("largest")).drop("largest"), "open")
-    more = stage(verified_blocks(texts, open_, threshold), "more")
+    more = stage(verified_blocks(packed(sieved(texts, open_, "id")), open_, threshold), "more")
     if not more.isEmpty():
         groups = stage(connected_components(links.unionByName(more)), "groups")
     placed = stage(classes.select("words", "id").join(groups, "id", "left")

@@ -328,3 +328,18 @@ def test_word_bounds_split_where_spaces_are():
     s, e, first = common.word_bounds(data, offs)
     words = [data[a:b].tobytes().decode() for a, b in zip(s, e)]
     assert words == ["a", "b", "c", "é", "x"] and list(np.diff(first)) == [0, 2, 1, 0, 2, 0]
+
+
+@pytest.mark.parametrize("cells", [1, 4, 1 << 20])
+def test_sieve_loses_no_row(spark, monkeypatch, cells):
+    monkeypatch.setattr(common, "CELLS", cells)
+    rows = spark.range(4000).selectExpr("if(id % 50 = 0, null, id % 500) AS id", "id AS _bit", "id AS v")
+    keys = spark.range(0, 500, 7).selectExpr("id").union(spark.sql("SELECT CAST(null AS long)"))
+    got = common.sieved(rows, keys, "id")
+    assert got.columns == ["id", "_bit", "v"]
+    wanted = {r.v for r in rows.collect() if r.id is None or r.id % 7 == 0}
+    have = [r.v for r in got.collect()]
+    assert len(have) == len(set(have)) and wanted <= set(have)
+    if cells > 4:
+        assert len(have) < 1000
+    assert common.sieved(rows, keys.limit(0), "id").isEmpty()
