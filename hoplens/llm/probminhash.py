@@ -135,8 +135,9 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
     """
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    hubs = fan.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).distinct())
+        hubs.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")))
     rows = (texts.join(wanted, "id").select("a", "part", "role", "id", "z")
             .repartition("a", "part").sortWithinPartitions("a", "part", "role", "id"))
 
