@@ -133,7 +133,7 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
     partners are dealt to as many groups as they need, each with a copy of the
     hub's text. ``texts`` has (id, z) of the documents.
     """
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+    fan = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts")), "fan")
     dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     hubs = fan.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(
@@ -211,7 +211,7 @@ def verified_blocks(texts: DataFrame, open_: DataFrame, threshold: float = THRES
                                    F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"))
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    placed = open_.join(size, key).withColumn("own_row", F.when(F.col("minor"), spot("rows")).otherwise(-1)) \
+    placed = open_.join(stage(size, "sizes"), key).withColumn("own_row", F.when(F.col("minor"), spot("rows")).otherwise(-1)) \
         .withColumn("own_col", spot("cols"))
     as_col = F.transform(cells("rows"), lambda r: F.struct(r.alias("row"), F.col("own_col").alias("col")))
     as_row = F.transform(cells("cols"), lambda c: F.struct(F.col("own_row").alias("row"), c.alias("col")))
