@@ -43,6 +43,14 @@ CLEAN_LEDGER_SCHEMA = T.StructType([
 LEDGER_COLUMNS = ("timestamp", "from", "to", "value")
 
 
+def _by_header(names: list[str], schema: T.StructType) -> T.StructType:
+    missing = [c for c in LEDGER_COLUMNS if c in schema.names and c not in names]
+    if missing:
+        raise ValueError(f"ledger has no column {', '.join(missing)}; its header is {', '.join(names)}")
+    types = {f.name: f.dataType for f in schema}
+    return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+
+
 def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
                 schema: T.StructType | None = None, header: bool = True,
                 infer_schema: bool = False) -> DataFrame:
@@ -50,6 +58,8 @@ def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "parquet"
 
     CSV takes a schema (``RAW_LEDGER_SCHEMA`` for the 14-column export,
     ``CLEAN_LEDGER_SCHEMA`` by default for the cleaned four columns);
+    with a header line the columns are matched by name, other columns are read
+    as text, and a ledger column that is absent is an error.
     ``infer_schema=True`` infers types instead, at the price of an extra pass
     over the files. Parquet and ORC carry their own schema.
     """
@@ -62,7 +72,11 @@ def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "parquet"
             if "timestamp" in df.columns:
                 df = df.withColumn("timestamp", df["timestamp"].cast("long"))
             return df
-        return reader.schema(schema or CLEAN_LEDGER_SCHEMA).csv(paths)
+        schema = schema or CLEAN_LEDGER_SCHEMA
+        if header:  # columns go by their names; a file with another header fails
+            schema = _by_header(reader.csv(paths).columns, schema)
+            reader = reader.option("enforceSchema", False)
+        return reader.schema(schema).csv(paths)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(paths)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from hoplens.operators.clean import write_clean_ledger
 from hoplens.plans.pipeline import StudyConfig, neighbourhood_study, run_study
 from hoplens.sources.ledger import RAW_LEDGER_SCHEMA, read_accounts, read_ledger
@@ -91,3 +93,15 @@ def test_read_csv_inferred(spark):
     led = read_ledger(spark, os.path.join(d, "clean.csv"), "csv", infer_schema=True)
     types = dict(led.dtypes)
     assert types["timestamp"] == "bigint" and types["value"] == "double"
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([(5, "A", "B", 1.5), (6, "B", "C", 2.0)],
+                                 "timestamp long, from string, to string, value double")
+    rows.write.option("header", True).csv(str(tmp_path / "clean"))
+    names = ["timestamp", "from", "to", "value"]
+    got = read_ledger(spark, str(tmp_path / "clean"), "csv", RAW_LEDGER_SCHEMA).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    rows.drop("value").write.option("header", True).csv(str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="value"):
+        read_ledger(spark, str(tmp_path / "short"), "csv", RAW_LEDGER_SCHEMA)
