@@ -11,23 +11,26 @@
 ``ratio`` read a ledger already cleaned and do not re-window unless asked.
 Paths may use any Hadoop scheme (``hdfs://``, ``file://``, object stores).
 Ledgers are Parquet unless ``--ledger-format csv``; account lists are header
-CSV files (``id`` for seeds, ``account`` for labelled, ``blacklist`` for the
-blacklist). The session comes from ``spark-submit``/defaults; the library
-only adds AQE settings if none were given.
+CSV files (``account`` for labelled, ``blacklist`` for the blacklist; seeds
+come from ``blacklist``, ``account`` or ``id``, the first that the file has, so
+a blacklist serves as the seed list). ``explore`` takes each seed's star from
+a column ``role`` of the seed file (``two_way``, ``out`` or ``sampled``);
+without that column every seed has all three. The session and its settings
+come from ``spark-submit``/defaults.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from hoplens.functions.time import STUDY_LAST_MONTH, STUDY_YEAR
 from hoplens.operators.clean import clean_ledger, time_window, write_clean_ledger
 from hoplens.plans.pipeline import (StudyConfig, explore_study, ratio_study, run_study,
                                     write_all)
-from hoplens.sources.ledger import RAW_LEDGER_SCHEMA, read_accounts, read_ledger
+from hoplens.sources.ledger import RAW_LEDGER_SCHEMA, account_ids, read_accounts, read_ledger
 
 
 def _caps(text: str | None):
@@ -59,6 +62,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--start", type=int, default=STUDY_YEAR[0])
     c.add_argument("--end", type=int, default=STUDY_YEAR[1])
     c.add_argument("--mode", default="errorifexists")
+    c.add_argument("--format", default="parquet", choices=("parquet", "orc", "csv"))
 
     s = sub.add_parser("study", help="k-hop neighbourhood, flags, transactions, trends")
     common(s)
@@ -72,7 +76,7 @@ def _parser() -> argparse.ArgumentParser:
     r = sub.add_parser("ratio", help="share of blacklisted accounts among hop-2 neighbours")
     common(r)
 
-    e = sub.add_parser("explore", help="star and ball subgraphs around the first seeds")
+    e = sub.add_parser("explore", help="star and ball subgraphs around the seeds")
     common(e, "--graph", STUDY_YEAR)  # the prototype windows the raw export
     e.add_argument("--fraction", type=float)
     e.add_argument("--sample-method", default="hash")
@@ -85,13 +89,13 @@ def main(argv=None) -> None:
     if args.job == "clean":
         schema = RAW_LEDGER_SCHEMA if args.raw_format == "csv" else None
         raw = read_ledger(spark, args.raw, args.raw_format, schema)
-        write_clean_ledger(clean_ledger(raw, args.start, args.end), args.out, args.mode)
+        write_clean_ledger(clean_ledger(raw, args.start, args.end), args.out, args.mode, args.format)
         return
     fmt = args.ledger_format
     src = args.graph if args.job == "explore" else args.ledger
     schema = RAW_LEDGER_SCHEMA if fmt == "csv" else None
     ledger = read_ledger(spark, src, fmt, schema)
-    seeds = read_accounts(spark, args.seeds, "id")
+    seeds = read_accounts(spark, args.seeds)
     labelled = read_accounts(spark, args.labelled, "account") if args.labelled else None
     blacklist = read_accounts(spark, args.blacklist, "blacklist")
     if args.job == "study":
@@ -105,10 +109,9 @@ def main(argv=None) -> None:
         write_all(outs, args.out, args.format, args.mode)
     else:
         graph = time_window(ledger, args.start, args.end)
-        # seed file order is not kept by a distributed read: roles by account order
-        first3 = seeds.select("id").distinct().orderBy("id").limit(3)
-        ranked = first3.withColumn("seed_no", F.row_number().over(Window.orderBy("id")))
-        role = [ranked.where(F.col("seed_no") == i).select("id") for i in (1, 2, 3)]
+        listed = spark.read.option("header", True).csv(args.seeds)
+        role = [account_ids(listed.where(F.col("role") == r)) if "role" in listed.columns else seeds
+                for r in ("two_way", "out", "sampled")]
         outs = explore_study(graph, role[0], role[1], role[2], seeds, labelled, blacklist,
                              args.fraction, args.sample_method)
         write_all(outs, args.out, args.format, args.mode)

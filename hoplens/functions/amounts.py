@@ -36,6 +36,7 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
 
 
 def percent_text(ratio: Column | str, digits: int = 2) -> Column:
-    """Render a ratio as ``"12.34%"`` (the report lines of the ratio job)."""
+    """Render a ratio as ``"12.34%"`` (the report lines of the ratio job);
+    null for a null ratio."""
     r = F.col(ratio) if isinstance(ratio, str) else ratio
-    return F.format_string(f"%.{digits}f%%", r * F.lit(100.0))
+    return F.when(r.isNotNull(), F.format_string(f"%.{digits}f%%", r * F.lit(100.0)))

@@ -93,7 +93,8 @@ def star_export(edges: DataFrame, two_way: DataFrame, out_only: DataFrame,
     vertices. Returns (vertices, edges, sampled edges).
 
     One scan of the ledger serves the three stars: each centre is tagged with
-    its role and the side(s) it matches on.
+    its role and the side(s) it matches on. The rows are stored once, after
+    the sample is drawn, so the three outputs hold the same sample.
     """
     def role(df, name, directions):
         c = _centres(df)
@@ -111,13 +112,13 @@ def star_export(edges: DataFrame, two_way: DataFrame, out_only: DataFrame,
                      ("timestamp", "from", "to"))
     plain = rows.where(F.col("role") != "sampled")
     smp = sample_rows(rows.where(F.col("role") == "sampled"), fraction, seed, method)
-    all_edges = plain.unionByName(smp)
+    all_edges = materialize(plain.unionByName(smp).select("role", "from", "to"), name="stars")
     centres = roles.select("id")
     vertex_ids = (all_edges.select(F.explode(F.array(F.col("from"), F.col("to"))).alias("id"))
                   .unionByName(centres).where(F.col("id").isNotNull()).distinct())
     vertices = with_labels(vertex_ids, labels)
     edge_pairs = all_edges.select("from", "to").distinct()
-    return vertices, edge_pairs, smp.select("from", "to")
+    return vertices, edge_pairs, all_edges.where(F.col("role") == "sampled").select("from", "to")
 
 
 def out_neighbours(edges: DataFrame, ids: DataFrame,
@@ -137,19 +138,18 @@ def grow(edges: DataFrame, ball: DataFrame,
 
 
 def ball_levels(edges: DataFrame, centres: DataFrame, checkpoint: bool = True,
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
-                ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """C15/C16 — (N1, B2, B3, B4) per centre.
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                levels: int = 4) -> tuple[DataFrame, ...]:
+    """C15/C16 — the first ``levels`` of (N1, B2, B3, B4) per centre.
 
     N1 = out-neighbours of the centre; B2 = out-neighbours of N1;
     B3 = in(B2) ∪ out(B2) ∪ B2; B4 = in(B3) ∪ out(B3) ∪ B3.
     """
     c = _centres(centres).select("seed_id", F.col("seed_id").alias("id"))
-    n1 = materialize(out_neighbours(edges, c, max_broadcast_rows), checkpoint)
-    b2 = materialize(out_neighbours(edges, n1, max_broadcast_rows), checkpoint)
-    b3 = materialize(grow(edges, b2, max_broadcast_rows), checkpoint)
-    b4 = materialize(grow(edges, b3, max_broadcast_rows), checkpoint)
-    return n1, b2, b3, b4
+    found = [c]
+    for step in (out_neighbours, out_neighbours, grow, grow)[:levels]:
+        found.append(materialize(step(edges, found[-1], max_broadcast_rows), checkpoint))
+    return tuple(found[1:])
 
 
 def ball_edges(edges: DataFrame, ball: DataFrame,

@@ -183,7 +183,7 @@ def neighbour_flows(ledger: DataFrame, flagged: DataFrame,
     """
     acc = tracked_accounts(flagged, ("seed_id", FLAG))
     return account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows,
-                         accounts_bound=rows_bound(flagged, max_broadcast_rows))
+                         accounts_bound=rows_bound(flagged))
 
 
 def neighbour_trend(ledger: DataFrame, flagged: DataFrame, unit: str = "day",
@@ -209,7 +209,7 @@ def neighbour_account_trend(ledger: DataFrame, flagged: DataFrame, unit: str = "
     (seed_id, id) — one plan for all neighbours of all seeds."""
     acc = tracked_accounts(flagged, ("seed_id",))
     flows = account_flows(ledger, acc, max_broadcast_rows=max_broadcast_rows,
-                          accounts_bound=rows_bound(flagged, max_broadcast_rows))
+                          accounts_bound=rows_bound(flagged))
     return trend(flows, unit, ("seed_id", "id", "direction"), tz, amount_scale)
 
 
@@ -224,7 +224,7 @@ def recent_summary(ledger: DataFrame, flagged: DataFrame, start: int | None,
     """
     black = tracked_accounts(flagged.where(F.col(FLAG)), ("seed_id",))
     flows = account_flows(ledger, black, DIRECTIONS, start, end, max_broadcast_rows,
-                          accounts_bound=rows_bound(flagged, max_broadcast_rows))
+                          accounts_bound=rows_bound(flagged))
     agg = flows.groupBy("seed_id").agg(amount_sum("value", amount_scale).alias("total_amount"),
                                        F.count(F.lit(1)).alias("tx_count"))
     if seeds is None:

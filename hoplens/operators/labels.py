@@ -63,7 +63,7 @@ def flag(neighbours: DataFrame, blacklist: DataFrame,
     ids = neighbours.select("id").distinct()
     # the neighbour rows bound the distinct ids: no shuffle to size the ids
     small_ids, is_small = bounded_broadcast(ids, max_broadcast_rows,
-                                            rows_bound(neighbours, max_broadcast_rows))
+                                            rows_bound(neighbours))
     if is_small:
         hits = F.broadcast(bl.join(small_ids, "id", "left_semi").distinct()
                            .withColumn("_hit", F.lit(True)))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplens.operators import clean, expand, explore, flows, labels, report
+from hoplens.plans.sinks import with_percent
 from hoplens.plans.strategy import materialize, rows_bound
 from hoplens.sources import fixtures as fx
 
@@ -135,6 +136,10 @@ def q_blacklist_ratio(spark, d):
     return labels.blacklist_ratio(flagged, _seeds(spark, d))
 
 
+def q_blacklist_percent(spark, d):
+    return with_percent(q_blacklist_ratio(spark, d)).select("seed_id", "percent")
+
+
 def q_account_transactions(spark, d):
     tx = flows.transactions(_ledger(spark, d), flows.seed_accounts(_seeds(spark, d)), tz=TZ)
     return tx.select("seed_id", "timestamp", "time", "from", "to", "value")
@@ -225,28 +230,29 @@ def q_multi_edge(spark, d):
     return explore.multi_edges(explore.out_degree(_graph(spark, d), _n1(spark, d)))
 
 
-def _balls(spark, d):
-    return explore.ball_levels(_graph(spark, d), _gated(spark, d))
+def _ball(spark, d, level):
+    """Level 2, 3 or 4 of the balls."""
+    return explore.ball_levels(_graph(spark, d), _gated(spark, d), levels=level)[-1]
 
 
 def q_ball2(spark, d):
-    return _balls(spark, d)[1]
+    return _ball(spark, d, 2)
 
 
 def q_ball3(spark, d):
-    return explore.with_labels(_balls(spark, d)[2], _labels(spark, d))
+    return explore.with_labels(_ball(spark, d, 3), _labels(spark, d))
 
 
 def q_ball4(spark, d):
-    return explore.with_labels(_balls(spark, d)[3], _labels(spark, d))
+    return explore.with_labels(_ball(spark, d, 4), _labels(spark, d))
 
 
 def q_ball4_edges(spark, d):
-    return explore.ball_edges(_graph(spark, d), _balls(spark, d)[2])
+    return explore.ball_edges(_graph(spark, d), _ball(spark, d, 3))
 
 
 def q_ball_black_count(spark, d):
-    ball4 = explore.with_labels(_balls(spark, d)[3], _labels(spark, d))
+    ball4 = explore.with_labels(_ball(spark, d, 4), _labels(spark, d))
     return explore.labelled_count(ball4, _seeds(spark, d))
 
 
@@ -273,6 +279,7 @@ QUERIES: dict[str, Query] = {
     "neighbours_flagged": q_neighbours_flagged,
     "black_neighbours": q_black_neighbours,
     "blacklist_ratio": q_blacklist_ratio,
+    "blacklist_percent": q_blacklist_percent,
     "account_transactions": q_account_transactions,
     "neighbour_transactions": q_neighbour_transactions,
     "trend_daily": _neighbour_trend("day"),

@@ -3,7 +3,7 @@
 For all seeds at once (``seed_id`` is a key column, not a loop):
 
 1. transactions of every seed account;
-2. capped k-hop neighbourhood of every labelled seed (materialised per hop);
+2. k-hop neighbourhood of every labelled seed (materialised per hop);
 3. blacklist flag of every neighbour;
 4. transactions of every neighbour, written as ``seed_id=/id=`` folders;
 5. recent-window totals of the blacklisted neighbours;
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from hoplens.operators.expand import khop
 from hoplens.operators.flows import (neighbour_flows, recent_summary, seed_accounts,
                                      tracked_accounts, transactions, trends)
-from hoplens.operators.labels import FLAG, blacklist_ratio, flag, label_set
+from hoplens.operators.labels import FLAG, blacklist_ratio, flag, gate_seeds, label_set, seed_frame
 from hoplens.operators.report import seed_report
-from hoplens.plans.sinks import write_table
+from hoplens.plans.sinks import existing_keys, with_percent, write_table
 from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize, rows_bound
 
 
@@ -58,9 +58,9 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
                       require_labelled=cfg.require_labelled,
                       max_broadcast_rows=cfg.max_broadcast_rows)
     flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged",
-                          bound=rows_bound(neighbours, cfg.max_broadcast_rows))
-    summary = recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
-                             cfg.amount_scale, cfg.max_broadcast_rows)
+                          bound=rows_bound(neighbours))
+    summary = materialize(recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
+                                         cfg.amount_scale, cfg.max_broadcast_rows), name="summary")
     out = {
         "seed_transactions": transactions(ledger, seed_accounts(seeds), cfg.tz,
                                           max_broadcast_rows=cfg.max_broadcast_rows),
@@ -69,16 +69,17 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
         "neighbour_transactions": transactions(
             ledger, tracked_accounts(flagged, ("seed_id",)), cfg.tz,
             max_broadcast_rows=cfg.max_broadcast_rows,
-            accounts_bound=rows_bound(flagged, cfg.max_broadcast_rows)),
+            accounts_bound=rows_bound(flagged)),
         "recent_summary": summary,
         "blacklist_ratio": blacklist_ratio(flagged, seeds),
-        "seed_report": seed_report(flagged, summary, seeds, cfg.hops),
     }
     # one scan and one hourly aggregate serve every trend granularity
     flows = neighbour_flows(ledger, flagged, cfg.max_broadcast_rows)
     for unit, df in trends(flows, cfg.units, ("seed_id", FLAG, "direction"), cfg.tz,
                            cfg.amount_scale).items():
         out[f"trend_{unit}"] = df
+    # written last: its rows tell which seeds are complete
+    out["seed_report"] = seed_report(flagged, summary, seeds, cfg.hops)
     return out
 
 
@@ -94,8 +95,18 @@ LAYOUT = {
 def run_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
               blacklist: DataFrame, out_dir: str, cfg: StudyConfig | None = None
               ) -> dict[str, str]:
-    """Write every output under ``out_dir``; returns name -> path."""
+    """Write every output under ``out_dir``; returns name -> path.
+
+    In mode 'missing' seeds that have a row in ``seed_report`` (written last)
+    are complete and not computed again; the others are added to every output.
+    """
     cfg = cfg or StudyConfig()
+    if cfg.mode == "missing":
+        seeds = seed_frame(seeds)
+        done = existing_keys(seeds.select("seed_id"), f"{out_dir.rstrip('/')}/seed_report",
+                             ("seed_id",), cfg.fmt)
+        if done is not None:
+            seeds = materialize(seeds.join(done, "seed_id", "left_anti"), name="pending")
     outputs = neighbourhood_study(ledger, seeds, labelled, blacklist, cfg)
     return write_all(outputs, out_dir, cfg.fmt, cfg.mode)
 
@@ -104,30 +115,35 @@ def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
                 blacklist: DataFrame, require_labelled: bool = True,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> dict[str, DataFrame]:
     """The neighbour-ratio job: uncapped two-hop expansion, hop-2 neighbours
-    flagged, and the blacklisted share per seed."""
+    flagged, the blacklisted share per seed, and that share as text."""
     labels = label_set(labelled, blacklist)
     hop2 = khop(ledger, seeds, labels=labels, hops=2, caps=None,
                 require_labelled=require_labelled, max_broadcast_rows=max_broadcast_rows)
     hop2 = hop2.where(hop2.label == 2)
     flagged = materialize(flag(hop2, blacklist, max_broadcast_rows), name="flagged",
-                          bound=rows_bound(hop2, max_broadcast_rows))
-    return {"hop2_flagged": flagged, "blacklist_ratio": blacklist_ratio(flagged, seeds)}
+                          bound=rows_bound(hop2))
+    ratio = blacklist_ratio(flagged, seeds)
+    return {"hop2_flagged": flagged, "blacklist_ratio": ratio,
+            "blacklist_percent": with_percent(ratio).select("seed_id", "percent")}
 
 
 def explore_study(graph: DataFrame, two_way: DataFrame, out_only: DataFrame,
                   sampled: DataFrame, ball_centres: DataFrame, labelled: DataFrame | None,
                   blacklist: DataFrame, fraction: float | None = None,
-                  method: str = "bernoulli") -> dict[str, DataFrame]:
+                  method: str = "hash", require_labelled: bool = True) -> dict[str, DataFrame]:
     """The graph prototype: three stars with vertex labels, then out-degrees
     of the ball centres' direct neighbours and the ball growth to four steps.
-    ``graph`` is the windowed ledger with zero-value rows kept."""
+    ``graph`` is the windowed ledger with zero-value rows kept. Only centres in
+    the label set are explored (``require_labelled``)."""
     from hoplens.operators import explore
 
     labels = label_set(labelled, blacklist)
     kwargs = {} if fraction is None else {"fraction": fraction}
+    two_way, out_only, sampled, gated = (gate_seeds(c, labels, require_labelled)
+                                         for c in (two_way, out_only, sampled, ball_centres))
     vertices, edges, sampled_edges = explore.star_export(graph, two_way, out_only, sampled,
                                                          labels, method=method, **kwargs)
-    n1, _, b3, b4 = explore.ball_levels(graph, ball_centres)
+    n1, _, b3, b4 = explore.ball_levels(graph, gated)
     degrees = explore.out_degree(graph, n1)
     b4_labelled = explore.with_labels(b4, labels)
     return {
@@ -145,7 +161,8 @@ def explore_study(graph: DataFrame, two_way: DataFrame, out_only: DataFrame,
 
 # outputs with at most one row per seed: one file each, as the original's
 # single-file reports (never used for transaction-sized outputs)
-SINGLE_FILE = {"seed_report", "recent_summary", "blacklist_ratio", "ball_black_count"}
+SINGLE_FILE = {"seed_report", "recent_summary", "blacklist_ratio", "blacklist_percent",
+               "ball_black_count"}
 
 
 def write_all(outputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
@@ -153,6 +170,7 @@ def write_all(outputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
     paths = {}
     for name, df in outputs.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df, path, fmt, mode, LAYOUT.get(name), single_file=name in SINGLE_FILE)
+        keys = LAYOUT.get(name) or (("seed_id",) if "seed_id" in df.columns else None)
+        write_table(df, path, fmt, mode, LAYOUT.get(name), single_file=name in SINGLE_FILE, keys=keys)
         paths[name] = path
     return paths

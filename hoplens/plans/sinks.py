@@ -2,11 +2,15 @@
 
 * save modes replace the driver-side ``rmtree`` / path checks: 'errorifexists'
   (default), 'overwrite' (replace), 'ignore' (skip when present), and
-  'missing': append only the partitions (e.g. seed / neighbour folders) that
-  are not written yet, so a rerun after a failure redoes only what is absent;
+  'missing': append only the keys (e.g. seed / neighbour folders, or the rows
+  of seeds in a report) that are not written yet, so a rerun redoes only what
+  is absent; an output without a key is written anew, never left stale;
 * ``partition_by`` lays out per-seed / per-neighbour folders in one write
-  (``seed_id=<seed>/id=<neighbour>/``) instead of one job per account;
-* ``single_file`` coalesces to one partition for small reports only.
+  (``seed_id=<seed>/id=<neighbour>/``) instead of one job per account; rows are
+  first brought together by those keys (a key that is too large is split), so
+  a folder gets few files;
+* ``single_file`` gathers the rows of small reports, after their last stage,
+  in one partition.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ SAVE_MODES = ("errorifexists", "error", "overwrite", "ignore", "append", "missin
 
 def existing_keys(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
                   header: bool = True) -> DataFrame | None:
-    """Distinct partition keys already written under ``path`` (None if nothing).
+    """Distinct keys already written under ``path`` (None if there is no such path).
 
     Read with ``df``'s own schema, so partition values keep their types (no
     discovery turning an account like ``0001`` into the number 1).
@@ -33,26 +37,30 @@ def existing_keys(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "par
         if fmt == "csv":
             reader = reader.option("header", header)
         return reader.load(path).select(*keys).distinct()
-    except AnalysisException:  # path absent or empty
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 partition_by: Sequence[str] | None = None, single_file: bool = False,
-                header: bool = True) -> None:
+                header: bool = True, keys: Sequence[str] | None = None) -> None:
+    """Write ``df``. ``keys`` (by default ``partition_by``) are what mode
+    'missing' looks for."""
     if mode not in SAVE_MODES:
         raise ValueError(f"mode must be one of {SAVE_MODES}, not {mode!r}")
     if mode == "missing":
-        if not partition_by:
-            mode = "ignore"
-        else:
-            done = existing_keys(df, path, partition_by, fmt, header)
-            if done is not None:
-                cond = [df[k].eqNullSafe(done[k]) for k in partition_by]
-                df = df.join(done, cond, "left_anti")
-            mode = "append"
+        keys = keys or partition_by
+        mode = "append" if keys else "overwrite"
+        done = existing_keys(df, path, keys, fmt, header) if keys else None
+        if done is not None:
+            cond = [df[k].eqNullSafe(done[k]) for k in keys]
+            df = df.join(done, cond, "left_anti")
     if single_file:
-        df = df.coalesce(1)
+        df = df.repartition(1)
+    elif partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", header)

@@ -27,17 +27,11 @@ from hoplens.session import checkpoint_dir
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads at most limit+1."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def rows_bound(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> int | None:
-    """Row count of ``df`` if at most ``max_rows`` (reading at most one row
-    more), else None. On a materialised frame this is cheap and bounds any
-    projection or distinct of it."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
+def rows_bound(df: DataFrame) -> int:
+    """Row count of ``df``, counted per partition (a limit would send its rows
+    to one task). On a materialised frame Parquet footers answer it; it bounds
+    any projection or distinct of the frame."""
+    return df.count()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
@@ -45,16 +39,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     """Return (side, broadcast?) with a broadcast hint only for a proven size.
 
     The bound comes from the caller (``known_bound``, e.g. seeds x cap for a
-    capped frontier) or from counting at most ``max_rows + 1`` rows.
+    capped frontier, or the rows of the frame a distinct comes from); where it
+    is absent or above the limit the rows of ``df`` itself are counted.
     """
     if max_rows <= 0:
         return df, False
-    bound = known_bound
-    if bound is not None and bound <= max_rows:
-        return F.broadcast(df), True
-    if row_count_at_most(df, max_rows):
+    if known_bound is not None and known_bound <= max_rows:
         return F.broadcast(df), True
-    return df, False
+    return (F.broadcast(df), True) if rows_bound(df) <= max_rows else (df, False)
 
 
 # Salts of the explicit skew split (used only when AQE's split is off).

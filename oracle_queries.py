@@ -279,3 +279,7 @@ FROM (SELECT 'a' || CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS component F
 JOIN label_set ls ON ls.id = c.id
 WHERE c.component = {COMPONENT} AND c.id IN (SELECT id FROM vertices)""",
 }
+
+SQL["blacklist_percent"] = f"""
+SELECT seed_id, CASE WHEN ratio IS NOT NULL THEN printf('%.2f%%', ratio * 100) END AS percent
+FROM ({SQL["blacklist_ratio"]})"""

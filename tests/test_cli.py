@@ -13,6 +13,15 @@ ROWS = [(10, "S", "A", 1.0), (20, "A", "B", 2.0), (30, "B", "C", 0.0), (40, "C",
         (50, "T", "A", 5.0), (60, "A", "A", 6.0), (999, "S", "Z", 1.0)]
 
 
+OUTPUTS = ("neighbours", "neighbours_flagged", "seed_transactions", "neighbour_transactions",
+           "recent_summary", "blacklist_ratio", "trend_day", "trend_hour", "seed_report")
+
+
+def _rows(spark, path):
+    df = spark.read.parquet(path)
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
 def _write(path, text):
     with open(path, "w") as f:
         f.write(text)
@@ -41,7 +50,49 @@ def test_cli_jobs(spark):
     main(["explore", "--graph", f"{d}/raw.csv", "--ledger-format", "csv", *acc,
           "--out", f"{d}/explore", "--start", "0", "--end", "100", "--fraction", "1.0"])
     ids = sorted(r.id for r in spark.read.parquet(f"{d}/explore/star_vertices").collect())
-    assert ids == ["A", "C", "S", "T"]  # S two-way star, T out-star
+    assert ids == ["A", "C", "S"]  # S is labelled; T is not, so it has no star
+    assert spark.read.parquet(f"{d}/explore/ball4").where("seed_id = 'T'").isEmpty()
+    percent = {r.seed_id: r.percent for r in spark.read.parquet(f"{d}/ratio/blacklist_percent").collect()}
+    assert percent["S"].endswith("%") and percent["T"] is None
+    _write(f"{d}/roles.csv", "id,role\nS,out\nB,two_way\n")
+    main(["explore", "--graph", f"{d}/raw.csv", "--ledger-format", "csv", "--seeds", f"{d}/roles.csv",
+          *acc[2:], "--out", f"{d}/roles", "--start", "0", "--end", "100", "--fraction", "1.0"])
+    stars = {(r["from"], r["to"]) for r in spark.read.parquet(f"{d}/roles/star_edges").collect()}
+    assert stars == {("S", "A"), ("A", "B"), ("B", "C")}  # out-star of S, two-way star of B
+    assert spark.read.parquet(f"{d}/roles/star_sampled").isEmpty()
+
+
+def test_csv_ledger_gives_the_study_of_the_parquet_ledger(spark):
+    d = tempfile.mkdtemp(prefix="hoplens-cli-")
+    _write(f"{d}/raw.csv", HEADER + "\n" + "\n".join(
+        f"{t},{a},{b},ETH,{v},0x{t},1,2,0.1,eoa,eoa,call,0,1" for t, a, b, v in ROWS) + "\n")
+    _write(f"{d}/black.csv", "id,blacklist\n1,B\n2,S\n")
+    got = {}
+    for fmt in ("csv", "parquet"):
+        main(["clean", "--raw", f"{d}/raw.csv", "--out", f"{d}/{fmt}", "--format", fmt,
+              "--start", "0", "--end", "100"])
+        main(["study", "--ledger", f"{d}/{fmt}", "--ledger-format", fmt, "--seeds", f"{d}/black.csv",
+              "--blacklist", f"{d}/black.csv", "--out", f"{d}/out-{fmt}", "--tz", "UTC",
+              "--recent-start", "0", "--recent-end", "100"])
+        got[fmt] = [_rows(spark, f"{d}/out-{fmt}/{n}") for n in OUTPUTS]
+    assert got["csv"] == got["parquet"]
+    assert {r[-1] for r in got["csv"][0]} and len(got["csv"][OUTPUTS.index("seed_report")]) == 2
+
+
+def test_a_second_seed_list_is_added_to_every_output(spark):
+    d = tempfile.mkdtemp(prefix="hoplens-cli-")
+    _write(f"{d}/raw.csv", HEADER + "\n" + "\n".join(
+        f"{t},{a},{b},ETH,{v},0x{t},1,2,0.1,eoa,eoa,call,0,1" for t, a, b, v in ROWS) + "\n")
+    _write(f"{d}/black.csv", "id,blacklist\n1,B\n2,S\n")
+    _write(f"{d}/one.csv", "id\nS\n")
+    _write(f"{d}/both.csv", "id\nS\nB\n")
+    main(["clean", "--raw", f"{d}/raw.csv", "--out", f"{d}/ledger", "--start", "0", "--end", "100"])
+    for seeds, out in (("one", "steps"), ("both", "steps"), ("both", "once")):
+        main(["study", "--ledger", f"{d}/ledger", "--seeds", f"{d}/{seeds}.csv", "--blacklist",
+              f"{d}/black.csv", "--out", f"{d}/{out}", "--mode", "missing", "--tz", "UTC",
+              "--recent-start", "0", "--recent-end", "100"])
+    for name in OUTPUTS:
+        assert _rows(spark, f"{d}/steps/{name}") == _rows(spark, f"{d}/once/{name}"), name
 
 
 def test_study_rerun_with_missing_mode_is_idempotent(spark):
