@@ -1,4 +1,4 @@
-"""Readers, sinks, the end-to-end study and the streaming cleaner."""
+"""Readers, sinks and the end-to-end study."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ import pytest
 from hoplens.operators.clean import write_clean_ledger
 from hoplens.plans.pipeline import StudyConfig, neighbourhood_study, run_study
 from hoplens.sources.ledger import RAW_LEDGER_SCHEMA, read_accounts, read_ledger
-from hoplens.streaming.ledger_stream import (clean_ledger_stream, read_ledger_stream,
-                                             start_clean_sink)
 
 RAW_HEADER = ",".join(f.name for f in RAW_LEDGER_SCHEMA.fields)
 
@@ -59,21 +57,6 @@ def test_study_writes_partitioned_outputs(spark, ledger_of, ids_of):
     assert spark.read.parquet(paths["trend_day"]).count() > 0
 
 
-def test_streaming_clean_ledger(spark):
-    d = _scratch()
-    src = os.path.join(d, "in")
-    os.makedirs(src)
-    with open(os.path.join(src, "part1.csv"), "w") as f:
-        f.write(RAW_HEADER + "\n" + "\n".join([_raw_line(10, "A", "B", 1.0),
-                                               _raw_line(11, "A", "B", 0.0),
-                                               _raw_line(99, "A", "C", 2.0)]) + "\n")
-    stream = clean_ledger_stream(read_ledger_stream(spark, src), 0, 50)
-    q = start_clean_sink(stream, os.path.join(d, "out"), os.path.join(d, "chk"))
-    q.awaitTermination(120)
-    got = spark.read.parquet(os.path.join(d, "out")).collect()
-    assert [(r.timestamp, r["from"], r["to"], r.value) for r in got] == [(10, "A", "B", 1.0)]
-
-
 def test_write_missing_appends_only_new_partitions(spark):
     from hoplens.plans.sinks import write_table
 
