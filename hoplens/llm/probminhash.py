@@ -273,7 +273,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
     shared = stage(sieved(members, buckets, "band", "value").join(buckets, ["band", "value"]), "shared")
     central = stage(shared.groupBy("id").agg(F.sum("n").alias("central")), "central")
     lead = (shared.join(central, "id").groupBy("band", "value")
-            .agg((-F.max(F.struct("central", (-F.col("id")).alias("id")))["id"]).alias("a")))
+            .agg(F.min(F.struct((-F.col("central")).alias("most"), "id"))["id"].alias("a")))  # -id overflows for a null id
     shared = shared.join(stage(lead, "lead"), ["band", "value"]).select("band", "value", "a", "id")
     star = stage(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "star")
     texts = (with_identity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", "text")

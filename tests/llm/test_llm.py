@@ -128,6 +128,18 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
                                             {1005}}) + len([1 for r in out if r.doc_id == 1005 and r.kept])
 
 
+def test_near_duplicates_of_a_null_id(spark):
+    words = [f"n{i}" for i in range(120)]
+    rows = [(None, " ".join(words)), (7, " ".join(words) + " end"), (8, "start " + " ".join(words)),
+            (3, " ".join(words) + " end"), (9, BASE)]
+    out = {r.doc_id: r for r in probminhash.near_duplicate_groups(docs_of(spark, rows)).collect()}
+    assert {i: (r.class_id, r.class_size, r.copy_id, r.kept) for i, r in out.items()} == {
+        None: (None, 4, None, True), 3: (None, 4, 3, False), 7: (None, 4, 3, False), 8: (None, 4, 8, False),
+        9: (9, 1, 9, True)}
+    left = probminhash.drop_near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, rows[0][1]), (9, BASE)]
+
+
 def test_probminhash_estimates_probability_jaccard():
     a, b = np.arange(200, dtype=np.uint64), np.arange(60, 260, dtype=np.uint64)
     a, b = common.mix(a), common.mix(b)
