@@ -99,13 +99,13 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     Of three undecided documents there is a direction u that keeps both sums,
     sum(u) = 0 and sum(u * size) = 0: the cross product of the constraint
     rows, (s2 - s1, s0 - s2, s1 - s0). The step along u or -u goes on to the
-    wall of the cube, with probabilities that keep the expectation. Large
-    documents come first, so what is left is small.
+    wall of the cube, with probabilities that keep the expectation. The entry
+    that meets the wall is set to it, so each step decides one at least, and a
+    probability however near to 0 or 1 is undecided until then. Large documents
+    come first, so what is left is small.
     """
-    pi = pi.copy()
-    tiny = 1e-9
     order = np.lexsort((np.arange(len(pi)), -size))
-    todo = [int(i) for i in order if tiny < pi[i] < 1 - tiny]
+    todo = [int(i) for i in order if 0 < pi[i] < 1]
     draws = rng.random(len(todo) + 1)
     p, s = pi.tolist(), size.tolist()
     hand, at, step = todo[:3], 3, 0
@@ -114,22 +114,19 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
         u = (float(s[c] - s[b]), float(s[a] - s[c]), float(s[b] - s[a]))
         if u == (0.0, 0.0, 0.0):
             u = (1.0, -1.0, 0.0)
-        up = down = math.inf
-        for i, x in zip(hand, u):
-            if x > 0:
-                up, down = min(up, (1 - p[i]) / x), min(down, p[i] / x)
-            elif x < 0:
-                up, down = min(up, p[i] / -x), min(down, (1 - p[i]) / -x)
-        move = up if draws[step] * (up + down) < down else -down
+        ways = [((1 - p[i]) / x, p[i] / x) if x > 0 else (p[i] / -x, (1 - p[i]) / -x) if x < 0
+                else (math.inf, math.inf) for i, x in zip(hand, u)]
+        up, down = min(w[0] for w in ways), min(w[1] for w in ways)
+        rise = draws[step] * (up + down) < down
+        move = up if rise else -down
         step += 1
         left = []
-        for i, x in zip(hand, u):
-            p[i] += move * x
-            if p[i] <= tiny:
-                p[i] = 0.0
-            elif p[i] >= 1 - tiny:
-                p[i] = 1.0
+        for i, x, way in zip(hand, u, ways):
+            if way[0 if rise else 1] == abs(move):
+                p[i] = 1.0 if (x > 0) == rise else 0.0
             else:
+                p[i] = min(1.0, max(0.0, p[i] + move * x))
+            if 0 < p[i] < 1:
                 left.append(i)
         hand = left
         while len(hand) < 3 and at < len(todo):
@@ -142,6 +139,7 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Round the last fractions so that the words stay nearest their expectation."""
     out = pi.copy()
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
+    assert len(open_) <= 2, f"{len(open_)} documents are undecided after the flight"
     if len(open_):
         want = float((pi[open_] * size[open_]).sum())
         best = min(range(1 << len(open_)), key=lambda m: (abs(sum(

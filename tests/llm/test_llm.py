@@ -203,6 +203,30 @@ def test_mix_meets_targets(spark):
     assert copies.count() == sum(r.copies for r in out) and "kept" in copies.columns
 
 
+@pytest.mark.parametrize("pi", [1 - 1e-10, 1e-10, 1 - 2.0 ** -53, 0.3])
+def test_flight_leaves_at_most_two_undecided(pi):
+    size = np.array([5.0, 5.0, 5.0, 1.0, 0.0] * 200 + list(range(200)))
+    out = mixing.flight(np.full(len(size), pi), size, np.random.default_rng(0))
+    open_ = (out > 0) & (out < 1)
+    assert open_.sum() <= 2 and out.min() >= 0 and out.max() <= 1
+    assert abs(out.sum() - pi * len(size)) < 1e-6 and abs((out * size).sum() - pi * size.sum()) < 1e-6
+    assert not ((landed := mixing.land(out, size)) % 1).any()
+    assert abs((landed * size).sum() - pi * size.sum()) <= size.max()
+    with pytest.raises(AssertionError):
+        mixing.land(np.full(3, 0.5), np.ones(3))
+
+
+def test_mix_of_a_source_wanted_almost_whole(spark):
+    rows = [(i, "w " * 10, "en", "a") for i in range(20)] + [(20 + i, "w " * (1 + i), "en", "b") for i in range(4)]
+    out = mixing.cube_mix(docs_of(spark, rows), weights=(1.0, 100.0), cap=1 + 1e-9, block=8).collect()
+    share = {r.source: r.target / r.source_size for r in out}
+    assert 1 - 1e-9 < share["a"] < 1 < share["b"] and len(out) == len(rows)
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    assert abs(taken["a"] - 200) <= 10 and abs(taken["b"] - 10) <= 4
+
+
 def test_packing_places_every_word_once(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(0, 150, 400))] + ODD
