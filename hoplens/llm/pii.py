@@ -9,24 +9,31 @@ The CRF is trained on the small labelled table below, once per query, on the
 driver. Only words that hold a digit or an at sign may have a state other than
 "none"; a word with one possible state separates the chain, so each run of such
 words is decoded on its own, exactly as in the whole text. Runs of equal length
-are decoded together by Viterbi in numpy. Every whole text is read where it
-lies; nothing is shuffled.
+are decoded together by Viterbi in numpy; a long run is decoded in pieces that
+hand their scores over. Every whole text is read where it lies; nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hoplens.llm.common import small
+
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("none", "email", "ip", "card", "card+", "phone", "phone+")
 #: Least posterior of every word of an added span.
 SURE = 0.9
+#: Words of a run that are worked on at once, and words of runs that are decoded together.
+PIECE, TOGETHER = 4096, 1 << 16
 
 #: Labelled table: one line of text per row, personal data as {kind|text}.
 LABELLED = """
@@ -232,15 +239,38 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def forward(emit: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Forward scores of each word's states; ``before``: those of the word before, if any."""
+    fwd = np.zeros(emit.shape)
+    for t in range(emit.shape[1]):
+        if t == 0 and before is None:
+            fwd[:, 0] = emit[:, 0] + trans[-1]
+        else:
+            fwd[:, t] = _lse((fwd[:, t - 1] if t else before)[:, :, None] + trans[:-1], 1) + emit[:, t]
+    return fwd
+
+
+def backward(emit: np.ndarray, trans: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Backward scores likewise; ``after``: emission plus backward score of the word after, if any."""
+    bwd = np.zeros(emit.shape)
+    for t in range(emit.shape[1] - 1, -1, -1):
+        if t + 1 < emit.shape[1]:
+            after = emit[:, t + 1] + bwd[:, t + 1]
+        if after is not None:
+            bwd[:, t] = _lse(trans[:-1] + after[:, None, :], 2)
+    return bwd
+
+
+def word_posteriors(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Posterior of each word's states."""
+    fwd = forward(emit, trans)
+    return np.exp(fwd + backward(emit, trans) - _lse(fwd[:, -1], 1)[:, None, None])
+
+
 def posteriors(emit: np.ndarray, trans: np.ndarray):
-    """Posterior of each word's states, and of each step's pairs of states."""
-    n, length, states = emit.shape
-    fwd, bwd = np.zeros(emit.shape), np.zeros(emit.shape)
-    fwd[:, 0] = emit[:, 0] + trans[-1]
-    for t in range(1, length):
-        fwd[:, t] = _lse(fwd[:, t - 1, :, None] + trans[:-1], 1) + emit[:, t]
-    for t in range(length - 2, -1, -1):
-        bwd[:, t] = _lse(trans[:-1] + (emit[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
+    """Posterior of each word's states, and of each step's pairs of states (for
+    training)."""
+    fwd, bwd = forward(emit, trans), backward(emit, trans)
     total = _lse(fwd[:, -1], 1)
     word = np.exp(fwd + bwd - total[:, None, None])
     pairs = np.exp(fwd[:, :-1, :, None] + trans[:-1] + (emit[:, 1:] + bwd[:, 1:])[:, :, None, :]
@@ -326,41 +356,147 @@ def trained_chain(table: str = LABELLED) -> Chain:
     return Chain().fit(labelled_rows(table))
 
 
+def hinted(text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """Runs of words that may be personal data: (start of the word before or of
+    the run, 1 if there is one before, start, words, end of the run). Words are
+    read one by one and not kept."""
+    prev = first = None
+    n = end = 0
+    for m in _WORD.finditer(text):
+        if _HINT.search(m[0]):
+            if not n:
+                first = m.start()
+            n, end = n + 1, m.end()
+            continue
+        if n:
+            yield first if prev is None else prev, int(prev is not None), first, n, end
+        prev, n = m.start(), 0
+    if n:
+        yield first if prev is None else prev, int(prev is not None), first, n, end
+
+
+def _piece(chain: Chain, text: str, at: int, shift: int, n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Emissions and places of ``n`` words; the word at ``at`` is the first of
+    them (shift 0) or the one before it (shift 1)."""
+    words = []
+    for m in _WORD.finditer(text, at):
+        words.append(m)
+        if len(words) == shift + n + 1:  # and the word after
+            break
+    emit = chain.emissions([m[0] for m in words], shift, shift + n)
+    return emit, [m.span() for m in words[shift:shift + n]]
+
+
+def decoded(chain: Chain, text: str, at: int, shift: int, n: int, piece: int):
+    """Best states and their posteriors of one long run, in pieces. Forward, the
+    scores of the last word go from piece to piece and one row a piece is kept;
+    backward, a piece is scored again from its row. All scores are those of the
+    whole run; what is kept for each word is 9 bytes."""
+    trans, cuts = chain.trans, []
+    best = fwd = None
+    for lo in range(0, n, piece):
+        hi = min(lo + piece, n)
+        cuts.append((lo, hi, at, shift, best, fwd))
+        emit, places = _piece(chain, text, at, shift, hi - lo)
+        for t in range(hi - lo):
+            best = emit[t] + (trans[-1] if best is None else (best[:, None] + trans[:-1]).max(0))
+        fwd = forward(emit[None], trans, fwd)[:, -1].copy()
+        at, shift = places[-1][0], 1
+    total = _lse(fwd, 1)[0]
+    path, chance = np.zeros(n, np.int8), np.zeros(n)
+    state, after = int(best.argmax()), None
+    for lo, hi, at, shift, best, fwd in reversed(cuts):
+        emit, _ = _piece(chain, text, at, shift, hi - lo)
+        back = np.zeros(emit.shape, np.int8)
+        for t in range(hi - lo):
+            if best is None:
+                best = emit[t] + trans[-1]
+                continue
+            step = best[:, None] + trans[:-1]
+            back[t] = step.argmax(0)
+            best = step.max(0) + emit[t]
+        for t in range(hi - lo - 1, -1, -1):
+            path[lo + t] = state
+            state = int(back[t, state])
+        bwd = backward(emit[None], trans, after)
+        word = np.exp(forward(emit[None], trans, fwd) + bwd - total)[0]
+        chance[lo:hi] = np.take_along_axis(word, path[lo:hi, None].astype(np.int64), 1)[:, 0]
+        after = emit[None, 0] + bwd[:, 0]
+    return path, chance
+
+
+def overlaps(known: list[tuple[str, int, int]]):
+    """Whether (start, end) overlaps a known span, by binary search: of the
+    spans that start before ``end``, the largest end tells."""
+    rows = sorted((x, y) for _, x, y in known)
+    starts = [x for x, _ in rows]
+    ends = np.maximum.accumulate([y for _, y in rows]).tolist() if rows else []
+
+    def hit(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k > 0 and ends[k - 1] > start
+
+    return hit
+
+
+def state_spans(text: str, places, states, chance, hit, sure: float):
+    """Spans of one run: ``places`` gives the words' places in order."""
+    kind = None
+    for (s, e), state, p in zip(places, states, chance):
+        name = STATES[state]
+        if kind is not None:
+            if name == kind + "+":
+                end, least = e, min(least, p)
+                continue
+            yield from _span(text, kind, start, end, least, hit, sure)
+        kind, start, end, least = (name.rstrip("+"), s, e, p) if name != "none" else (None, s, e, p)
+    if kind is not None:
+        yield from _span(text, kind, start, end, least, hit, sure)
+
+
+def _span(text: str, kind: str, start: int, end: int, least: float, hit, sure: float):
+    while end > start and text[end - 1] in ".,;:!?\"'":
+        end -= 1
+    while start < end and text[start] in "\"'":
+        start += 1
+    if least >= sure and start < end and not hit(start, end):
+        yield kind, start, end
+
+
 def added_spans(texts: list[str], known: list[list[tuple[str, int, int]]], chain: Chain,
-                sure: float = SURE) -> list[list[tuple[str, int, int]]]:
-    """Spans that the chain finds in each text beside the known ones."""
+                sure: float = SURE, piece: int = PIECE) -> list[list[tuple[str, int, int]]]:
+    """Spans that the chain finds in each text beside the known ones. Runs of
+    up to ``piece`` words are decoded together by length, longer ones alone."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    hits = [overlaps(spans) for spans in known]
     packs: dict[int, list] = {}
+    held = 0
+
+    def flush():
+        for members in packs.values():
+            emit = np.stack([m[2] for m in members])
+            path = viterbi(emit, chain.trans)
+            chance = np.take_along_axis(word_posteriors(emit, chain.trans), path[:, :, None], 2)[:, :, 0]
+            for (i, places, _), states, p in zip(members, path, chance):
+                out[i] += state_spans(texts[i], places, states, p, hits[i], sure)
+        packs.clear()
+
     for i, text in enumerate(texts):
-        if _HINT.search(text):
-            for words, lo, hi in runs(text):
-                strings = [m[0] for m in words[max(0, lo - 1):hi + 1]]
-                shift = min(lo, 1)
-                emit = chain.emissions(strings, shift, shift + hi - lo)
-                packs.setdefault(hi - lo, []).append((i, [m.span() for m in words[lo:hi]], emit))
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for length, members in packs.items():
-        emit = np.stack([m[2] for m in members])
-        path = viterbi(emit, chain.trans)
-        word, _ = posteriors(emit, chain.trans)
-        chance = np.take_along_axis(word, path[:, :, None], 2)[:, :, 0]
-        for (i, places, _), states, p in zip(members, path, chance):
-            t = 0
-            while t < length:
-                kind = STATES[states[t]]
-                if kind == "none":
-                    t += 1
-                    continue
-                e = t + 1
-                while e < length and STATES[states[e]] == kind.rstrip("+") + "+":
-                    e += 1
-                start, end = places[t][0], places[e - 1][1]
-                while end > start and texts[i][end - 1] in ".,;:!?\"'":
-                    end -= 1
-                while start < end and texts[i][start] in "\"'":
-                    start += 1
-                if p[t:e].min() >= sure and start < end and all(x >= end or y <= start for _, x, y in known[i]):
-                    out[i].append((kind.rstrip("+"), start, end))
-                t = e
+        if not _HINT.search(text):
+            continue
+        for at, shift, first, n, end in hinted(text):
+            if n > piece:
+                path, chance = decoded(chain, text, at, shift, n, piece)
+                places = (m.span() for m in _WORD.finditer(text, first, end))
+                out[i] += state_spans(text, places, path, chance, hits[i], sure)
+                continue
+            emit, places = _piece(chain, text, at, shift, n)
+            packs.setdefault(n, []).append((i, places, emit))
+            held += n
+            if held >= TOGETHER:
+                flush()
+                held = 0
+    flush()
     return out
 
 
@@ -382,7 +518,7 @@ def find_personal_data(docs: DataFrame, sure: float = SURE, labelled: str = LABE
     chain = trained_chain(labelled)
 
     def find(batches):
-        for b in batches:
+        for b in small(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, chain, sure)

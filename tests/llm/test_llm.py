@@ -379,3 +379,40 @@ def test_sieve_loses_no_row(spark, monkeypatch, cells):
     if cells > 4:
         assert len(have) < 1000
     assert common.sieved(rows, keys.limit(0), "id").isEmpty()
+
+
+def number_text(n):
+    words = ["389-555-0177", "(212) 555-0142", "4111.1111.1111.1111", "fe80::1ff:fe23:4567:890a", "2020-01-15",
+             "info[at]shop24.example", "a.b@c.de", "12", "3.5", "(389)"]
+    return " ".join(" ".join(np.random.default_rng(6).choice(words, n)).split()[:n]) + " end"
+
+
+def test_pii_pieces_hand_their_scores_over():
+    chain = pii.trained_chain()
+    rng = np.random.default_rng(8)  # other weights, so that states change often
+    chain.weight, chain.trans = rng.standard_normal(chain.weight.shape), pii._allowed() + rng.standard_normal((8, 7))
+    text = "call " + number_text(1500)
+    known = pii.base_spans(text)
+    whole = {}
+    for sure in (0.9, 0.0):
+        words, lo, hi = next(pii.runs(text))
+        strings = [m[0] for m in words]
+        emit = chain.emissions(strings, lo, hi)[None]
+        path = pii.viterbi(emit, chain.trans)[0]
+        chance = pii.posteriors(emit, chain.trans)[0][0][np.arange(hi - lo), path]
+        got = pii.decoded(chain, text, 0, 1, hi - lo, 7)
+        assert (hi - lo, list(got[0])) == (1500, list(path)) and np.allclose(got[1], chance, atol=1e-9)
+        for piece in (1, 7, 10 ** 6):
+            whole[piece] = pii.added_spans([text, "x 1", text], [known, [], known], chain, sure, piece)
+        assert whole[1] == whole[7] == whole[10 ** 6] and len(whole[1][0]) > 50 * (sure == 0) and whole[1][0] == whole[1][2]
+        assert all(y <= a or x >= b for _, a, b in whole[1][0] for _, x, y in known)
+
+
+def test_pii_memory_of_a_long_run_is_bounded():
+    import tracemalloc
+    chain, text = pii.trained_chain(), number_text(20000)
+    tracemalloc.start()
+    pii.added_spans([text], [[]], chain, 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
