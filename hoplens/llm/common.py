@@ -56,6 +56,13 @@ def with_identity(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     return out.withColumn("_dup", F.row_number().over(w) - 1)
 
 
+def whole_rows(df: DataFrame, id_col: str, *order: str) -> DataFrame:
+    """(_row, _k, _dup): all columns of ``df`` as one struct beside its
+    identity, so that no helper column has the name of an input column;
+    ``select("_row.*")`` gives them back."""
+    return with_identity(df.select(F.struct("*").alias("_row")), f"_row.{id_col}", *[f"_row.{c}" for c in order])
+
+
 def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """``rows`` without most of those whose columns ``on`` do not occur in
     ``keys``; none that occurs is lost, so a join may follow. A bit table with

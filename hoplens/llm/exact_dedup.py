@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import stage, with_identity
+from hoplens.llm.common import stage, whole_rows, with_identity
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -107,7 +107,6 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that stay, with all columns of ``docs``."""
-    names = docs.columns
     kept = exact_duplicates(docs, block_bytes).where("kept").select("_k", "_dup")
-    rows = with_identity(docs, "doc_id", "text")
-    return rows.join(stage(kept, "kept"), ["_k", "_dup"], "left_semi").select(*names)
+    rows = whole_rows(docs, "doc_id", "text")
+    return rows.join(stage(kept, "kept"), ["_k", "_dup"], "left_semi").select("_row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import small, stage, with_identity, word_counts
+from hoplens.llm.common import small, stage, whole_rows, with_identity, word_counts
 
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -216,9 +216,8 @@ def cube_mix(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_REPEATS, block:
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix, each as often as it is taken; all columns of
     ``docs``, of any name, are kept as they are."""
-    names = docs.columns
     chosen = cube_mix(docs, **params).where("copies > 0").select("_k", "_dup", "copies")
-    rows = with_identity(docs, "doc_id", "text", "source")
+    rows = whole_rows(docs, "doc_id", "text", "source")
     out = rows.join(stage(chosen, "chosen"), ["_k", "_dup"])
     return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*names))
+            .select("_row.*"))

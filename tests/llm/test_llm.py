@@ -227,6 +227,19 @@ def test_mix_of_a_source_wanted_almost_whole(spark):
     assert abs(taken["a"] - 200) <= 10 and abs(taken["b"] - 10) <= 4
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "copies", "_copy", "_k", "_dup", "_row", "a.b", "id"]
+    rows = [(i, "w " * (5 + i), "s", f"c{i}", f"d{i}", f"k{i}", f"e{i}", f"r{i}", f"p{i}", f"i{i}") for i in range(4)]
+    rows += [(9, f"x{i} y z", "s", "c", "d", f"k{i}", "e", "r", "p", "i") for i in range(2)]  # a repeated id
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(
+        f"`{n}` string" for n in names[3:]))
+    for step in (mixing.mixed_documents, exact_dedup.drop_duplicates, probminhash.drop_near_duplicates):
+        out = step(df)
+        assert out.columns == names
+        got = {tuple(r) for r in out.collect()}
+        assert got and got <= set(rows) and (step is probminhash.drop_near_duplicates or len(got) == len(rows))
+
+
 def test_packing_places_every_word_once(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(0, 150, 400))] + ODD
