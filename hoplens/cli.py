@@ -78,13 +78,15 @@ def _parser() -> argparse.ArgumentParser:
 
     e = sub.add_parser("explore", help="star and ball subgraphs around the seeds")
     common(e, "--graph", STUDY_YEAR)  # the prototype windows the raw export
-    e.add_argument("--fraction", type=float)
+    e.add_argument("--fraction", type=float, help="part of the sampled star's edges; required where a seed is sampled "
+                   "(role 'sampled', or no role column)")
     e.add_argument("--sample-method", default="hash")
     return p
 
 
 def main(argv=None) -> None:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"hoplens-{args.job}").getOrCreate()
     if args.job == "clean":
         schema = RAW_LEDGER_SCHEMA if args.raw_format == "csv" else None
@@ -112,8 +114,11 @@ def main(argv=None) -> None:
         listed = spark.read.option("header", True).csv(args.seeds)
         role = [account_ids(listed.where(F.col("role") == r)) if "role" in listed.columns else seeds
                 for r in ("two_way", "out", "sampled")]
+        if args.fraction is None and not role[2].isEmpty():
+            parser.error("--fraction is required: some seeds' stars are sampled")
+        fraction = 1.0 if args.fraction is None else args.fraction  # without sampled seeds it thins nothing
         outs = explore_study(graph, role[0], role[1], role[2], seeds, labelled, blacklist,
-                             args.fraction, args.sample_method)
+                             fraction, args.sample_method)
         write_all(outs, args.out, args.format, args.mode)
 
 

@@ -84,13 +84,14 @@ def with_labels(ids: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_export(edges: DataFrame, two_way: DataFrame, out_only: DataFrame,
-                sampled: DataFrame, labels: DataFrame, fraction: float = SAMPLE_FRACTION,
+                sampled: DataFrame, labels: DataFrame, fraction: float,
                 seed: int = SAMPLE_SEED, method: str = "hash",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C14 — vertices (id, label) and edges (from, to) of three stars:
     a two-way star, an out-star and a sampled out-star. All centres are
-    vertices. Returns (vertices, edges, sampled edges).
+    vertices. Returns (vertices, edges, sampled edges). ``fraction`` also thins
+    the sampled star's part of the vertices and edges, so it has no default.
 
     One scan of the ledger serves the three stars: each centre is tagged with
     its role and the side(s) it matches on. The rows are stored once, after

@@ -214,7 +214,8 @@ def q_star_sampled_bernoulli(spark, d):
     s = _seeds(spark, d)
     return explore.star_export(
         _graph(spark, d), s.where(F.col("seed_no") == 1), s.where(F.col("seed_no") == 2),
-        s.where(F.col("seed_no") == 3), _labels(spark, d), method="bernoulli")[2]
+        s.where(F.col("seed_no") == 3), _labels(spark, d), explore.SAMPLE_FRACTION,
+        method="bernoulli")[2]
 
 
 def _n1(spark, d):

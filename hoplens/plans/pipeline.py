@@ -129,20 +129,20 @@ def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
 
 def explore_study(graph: DataFrame, two_way: DataFrame, out_only: DataFrame,
                   sampled: DataFrame, ball_centres: DataFrame, labelled: DataFrame | None,
-                  blacklist: DataFrame, fraction: float | None = None,
+                  blacklist: DataFrame, fraction: float,
                   method: str = "hash", require_labelled: bool = True) -> dict[str, DataFrame]:
     """The graph prototype: three stars with vertex labels, then out-degrees
     of the ball centres' direct neighbours and the ball growth to four steps.
     ``graph`` is the windowed ledger with zero-value rows kept. Only centres in
-    the label set are explored (``require_labelled``)."""
+    the label set are explored (``require_labelled``). Of the ``sampled`` centres'
+    edges a part of ``fraction`` enters the star outputs."""
     from hoplens.operators import explore
 
     labels = label_set(labelled, blacklist)
-    kwargs = {} if fraction is None else {"fraction": fraction}
     two_way, out_only, sampled, gated = (gate_seeds(c, labels, require_labelled)
                                          for c in (two_way, out_only, sampled, ball_centres))
     vertices, edges, sampled_edges = explore.star_export(graph, two_way, out_only, sampled,
-                                                         labels, method=method, **kwargs)
+                                                         labels, fraction, method=method)
     n1, _, b3, b4 = explore.ball_levels(graph, gated)
     degrees = explore.out_degree(graph, n1)
     b4_labelled = explore.with_labels(b4, labels)

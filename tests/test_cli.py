@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from hoplens.cli import main
 from hoplens.sources.ledger import RAW_LEDGER_SCHEMA
 
@@ -62,6 +64,19 @@ def test_cli_jobs(spark):
     assert spark.read.parquet(f"{d}/roles/star_sampled").isEmpty()
 
 
+def test_explore_samples_only_with_a_fraction(spark, capsys):
+    d = tempfile.mkdtemp(prefix="hoplens-cli-")
+    _write(f"{d}/raw.csv", HEADER + "\n" + "\n".join(
+        f"{t},{a},{b},ETH,{v},0x{t},1,2,0.1,eoa,eoa,call,0,1" for t, a, b, v in ROWS) + "\n")
+    _write(f"{d}/black.csv", "id,blacklist\n1,B\n2,S\n")
+    _write(f"{d}/roles.csv", "id,role\nS,sampled\nB,two_way\n")
+    for seeds in ("black", "roles"):
+        with pytest.raises(SystemExit):
+            main(["explore", "--graph", f"{d}/raw.csv", "--ledger-format", "csv", "--seeds", f"{d}/{seeds}.csv",
+                  "--blacklist", f"{d}/black.csv", "--out", f"{d}/{seeds}", "--start", "0", "--end", "100"])
+        assert "--fraction is required" in capsys.readouterr().err and not os.path.exists(f"{d}/{seeds}")
+
+
 def test_csv_ledger_gives_the_study_of_the_parquet_ledger(spark):
     d = tempfile.mkdtemp(prefix="hoplens-cli-")
     _write(f"{d}/raw.csv", HEADER + "\n" + "\n".join(
