@@ -11,8 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import hoplens.llm as package
-from hoplens.llm import (embedding_dedup, exact_dedup, language, mixing, packing, pii, probminhash,
-                         quality, repeats, warc)
+from hoplens.llm import (conversations, embedding_dedup, exact_dedup, language, mixing, packing, pii,
+                         probminhash, quality, repeats, toxicity, warc, whitening)
 
 # Functions of this subpackage travel to the executors with their code, so
 # that the executors need no installed copy of it.
@@ -67,6 +67,19 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_cube, op2_embedding_dedup, op3_quality_fm, op4_probminhash, op5_language_id,
-    op6_pack_variable, op7_exact_dedup, op8_warc, op9_prefix_free_repeats, op10_pii_crf)}
+    op6_pack_variable, op7_exact_dedup, op8_warc, op9_prefix_free_repeats, op10_pii_crf,
+    op11_toxicity_zstd, op12_conversation_repair, op13_whitening)}
