@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from hoplens.session import checkpoint_dir
 
@@ -63,19 +64,50 @@ def whole_rows(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     return with_identity(df.select(F.struct("*").alias("_row")), f"_row.{id_col}", *[f"_row.{c}" for c in order])
 
 
+def _sieve(rows: DataFrame, keys: DataFrame, on: tuple[str, ...], how: str) -> DataFrame:
+    spot = F.pmod(F.xxhash64(*on), F.lit(64 * CELLS))
+    marks = [F.shiftright(spot, 6).alias("_sieve_cell"), F.pmod(spot, F.lit(64)).cast("int").alias("_sieve_bit")]
+    bits = keys.select(*marks).groupBy("_sieve_cell").agg(F.bit_or(F.expr("shiftleft(1L, _sieve_bit)")).alias("_sieve_bits"))
+    return rows.select("*", *marks).join(F.broadcast(bits), "_sieve_cell", how)
+
+
 def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """``rows`` without most of those whose columns ``on`` do not occur in
     ``keys``; none that occurs is lost, so a join may follow. A bit table with
     one bit for each hash, of at most CELLS longs whatever the input, goes to
     all tasks; rows that it stops never enter the join's shuffle. The more keys,
     the more rows pass it by chance (n keys: about n in 64 * CELLS)."""
-    spot = F.pmod(F.xxhash64(*on), F.lit(64 * CELLS))
-    marks = [F.shiftright(spot, 6).alias("_sieve_cell"), F.pmod(spot, F.lit(64)).cast("int").alias("_sieve_bit")]
-    bits = keys.select(*marks).groupBy("_sieve_cell").agg(F.bit_or(F.expr("shiftleft(1L, _sieve_bit)")).alias("_sieve_bits"))
-    return (rows.select("*", *marks).join(F.broadcast(bits), "_sieve_cell")
+    return (_sieve(rows, keys, on, "inner")
             .where(F.getbit("_sieve_bits", "_sieve_bit") == 1).select(*rows.columns))
 
 
+def without(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """``rows`` whose columns ``on`` (not null) do not occur in ``keys`` (stored).
+    Rows that the bit table of ``sieved`` clears stay where they are; only the
+    others, the rows to go and few besides, are shuffled into an anti join."""
+    clear = _sieve(rows, keys, on, "left").where(
+        "_sieve_bits is null or getbit(_sieve_bits, _sieve_bit) = 0").select(*rows.columns)
+    return clear.unionByName(sieved(rows, keys, *on).join(keys, list(on), "left_anti"))
+
+
+#: Rows of the table that ``joined_hot`` broadcasts, at most.
+HOT = 1024
+
+
+def joined_hot(rows: DataFrame, values: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` left joined with ``values`` (stored, one row per key ``on``,
+    with the number of rows of the key in ``count``). Keys with a 1024th of the
+    counted rows, at most HOT of them, are joined by broadcast, and their rows
+    are not shuffled; no other key is large."""
+    total = values.agg(F.sum(count)).first()[0] or 0
+    more = [c for c in values.columns if c not in on]
+    hot = F.col(count) * HOT >= F.lit(total)
+    large = values.where(hot).select(*on, F.struct(*more).alias("_hot"))
+    first = rows.join(F.broadcast(large), on, "left")
+    rest = first.where("_hot is null").drop("_hot").join(values.where(~hot), on, "left")
+    return first.where("_hot is not null").select(*rows.columns, "_hot.*").unionByName(rest.select(*rows.columns, *more))
+
+
 def same_edges(a: DataFrame, b: DataFrame) -> bool:
     """True if two sets of edges are equal, by their counts and hash sums."""
     def sums(e: DataFrame):
@@ -156,8 +188,7 @@ def packed(rows: DataFrame) -> DataFrame:
             z = [press.compress(data[lo:hi].data) for lo, hi in zip(offs[:-1], offs[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z, pa.binary())], names=[*names, "z"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(pack, f"{schema}, z binary")
+    return rows.mapInArrow(pack, StructType([*rows.schema.fields[:-1], StructField("z", BinaryType())]))
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +198,21 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def opened(rows: DataFrame) -> DataFrame:
+    """The reverse of ``packed``: the last column, z, becomes text again. A few
+    rows at a time, as texts grow when they are opened."""
+    names = rows.columns[:-1]
+
+    def unpack(batches):
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            for part in small([b], len(names), 1 << 20):
+                texts = [press.decompress(z).decode() for z in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return rows.mapInArrow(unpack, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

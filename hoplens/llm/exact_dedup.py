@@ -1,25 +1,28 @@
 """Exact deduplication by deterministic block naming (operator 7, native).
 
-A text is cut into blocks of a fixed number of bytes. Equal blocks are brought
-together by sorting and get one integer name: the place of their smallest
-occurrence. Then adjacent pairs of names are named in the same way,
-level by level, until each document has a single name. Names of a level are
-equal exactly if the bytes below them are, so the last name is the document's
-identity without collisions; a document that ends at another level has another
-number of blocks.
-
-Only DataFrame functions are used. Equal blocks of one input partition travel as
-one row with their places, and meet those of other partitions in a second step
-that gives them their name, so no task gets all places of a block that many
-documents share. The bytes travel twice; above the first level only integers.
+A text is cut into blocks of a fixed number of bytes. Equal blocks get one
+integer name: the place of their smallest occurrence. Then adjacent pairs of
+names are named in the same way, level by level, until each document has a
+single name. Names of a level are equal exactly if the bytes below them are, so
+the last name is the document's identity without collisions; a document that
+ends at another level has another number of blocks.
+
+Only DataFrame functions are used, and few bytes travel. Blocks with different
+lengths or digests are different, so a block whose digest occurs once is named
+by its own place. Blocks that share a digest are grouped by their bytes, with
+map-side combine: of a block in a third of all rows each input partition sends
+one copy. A digest whose blocks all have the same bytes, as ever unless SHA-256
+collides, then names its places by a join on the digest; the places of a digest
+with several contents are named by their bytes. The few values that many places
+share are joined by broadcast, so no task gets all places of one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import stage, whole_rows, with_identity
+from hoplens.llm.common import joined_hot, sieved, stage, whole_rows, with_identity, without
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -30,22 +33,36 @@ _NAME = "decimal(38,0)"
 _END = -(2 ** 121)
 
 
-def _named(rows: DataFrame, content: list[str]) -> DataFrame:
-    """Replace the columns ``content`` of each place by the name of their value:
-    the smallest place that has it, as one integer.
+def _place():
+    return ((F.col("_k").cast(_NAME) * (1 << PLACE_BITS)).cast(_NAME) + F.col("at").cast(_NAME)
+            + F.col("_dup").cast(_NAME) * F.lit(str(2 ** 95)).cast(_NAME)).cast(_NAME)
 
-    Places are gathered per value and input partition first, with map-side
-    combine, so a value in a third of all rows travels once per partition and a
-    gathered row holds no more than a partition's places. Then the few rows of
-    a value meet and take the smallest place among them.
-    """
-    place = ((F.col("_k").cast(_NAME) * (1 << PLACE_BITS)).cast(_NAME) + F.col("at").cast(_NAME)
-             + F.col("_dup").cast(_NAME) * F.lit(str(2 ** 95)).cast(_NAME)).cast(_NAME)
-    others = [c for c in rows.columns if c not in content]
-    local = (rows.withColumn("_part", F.spark_partition_id()).groupBy(*content, "_part")
-             .agg(F.collect_list(F.struct(*others)).alias("places"), F.min(place).alias("least")))
-    return (local.withColumn("name", F.min("least").over(Window.partitionBy(*content)))
-            .select(F.inline("places"), "name"))
+
+def _least(rows: DataFrame, content: list[str], name: str) -> DataFrame:
+    """(content, least, copies): the smallest place of each value that has several. Stored."""
+    return stage(rows.groupBy(*content).agg(F.min(_place()).alias("least"), F.count("*").alias("copies")).where("copies > 1"), name)
+
+
+def _named(rows: DataFrame, content: list[str], names: DataFrame) -> DataFrame:
+    """Replace the columns ``content`` of each place by the name of their value."""
+    return (joined_hot(rows, names.select(*content, "least", "copies"), content, "copies")
+            .withColumn("name", F.coalesce("least", _place())).drop(*content, "least", "copies"))
+
+
+def _first_names(blocks: DataFrame) -> DataFrame:
+    """Names of the blocks themselves: ``blocks`` has the columns block (bytes),
+    size and digest besides those of the place."""
+    key = ["size", "digest"]
+    places = stage(blocks.drop("block"), "places")
+    shared = _least(places, key, "shared")
+    # one copy of the bytes for each partition that has them; those of other digests stay
+    contents = sieved(blocks, shared, *key).groupBy(*key, "block").agg(F.min(_place()).alias("least"))
+    clash = stage(contents.groupBy(*key).agg(F.count("*").alias("contents")).where("contents > 1").select(*key), "clash")
+    if clash.isEmpty():
+        return _named(places, key, shared)
+    one = _named(places.join(clash, key, "left_anti"), key, shared.join(clash, key, "left_anti"))
+    several = contents.join(clash, key, "left_semi").withColumn("copies", F.lit(1))
+    return one.unionByName(_named(blocks.join(clash, key, "left_semi"), [*key, "block"], several))
 
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -58,12 +75,13 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1),
                       lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
-    # the digest belongs to the document: only its first block carries it
+    # the digest of the text belongs to the document: only its first block carries it
     occ = (rows.withColumn("n", blocks)
            .select("_k", "_dup", "doc_id", "n", F.sha2(data, 256).alias("sha"),
                    F.posexplode(cut).alias("at", "block"))
-           .withColumn("sha", F.when(F.col("at") == 0, F.unhex("sha"))))
-    named = stage(_named(occ, ["block"]), "names0")
+           .withColumn("sha", F.when(F.col("at") == 0, F.unhex("sha")))
+           .withColumn("size", F.octet_length("block")).withColumn("digest", F.unhex(F.sha2("block", 256))))
+    named = stage(_first_names(occ), "names0")
     single = named.where("n = 1").select("_k", "_dup", F.lit(0).alias("level"), "name")
     levels = [single]
     most = named.agg(F.max("n")).first()[0] or 1
@@ -71,12 +89,13 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     while most > 1:
         level, most = level + 1, -(-most // 2)
         odd = F.col("at") % 2 == 1
-        pairs = (rows.groupBy("_k", "_dup", F.floor(F.col("at") / 2).cast("int").alias("at"))
-                 .agg(F.max(F.when(~odd, F.col("name"))).alias("left"),
-                      F.coalesce(F.max(F.when(odd, F.col("name"))),
-                                 F.lit(str(_END)).cast(_NAME)).alias("right"),
-                      F.ceil(F.max("n") / 2).cast("int").alias("n")))
-        named_pairs = stage(_named(pairs, ["left", "right"]), f"names{level}")
+        pairs = stage(rows.groupBy("_k", "_dup", F.floor(F.col("at") / 2).cast("int").alias("at"))
+                      .agg(F.max(F.when(~odd, F.col("name"))).alias("left"),
+                           F.coalesce(F.max(F.when(odd, F.col("name"))),
+                                      F.lit(str(_END)).cast(_NAME)).alias("right"),
+                           F.ceil(F.max("n") / 2).cast("int").alias("n")), f"pairs{level}")
+        value = ["left", "right"]
+        named_pairs = stage(_named(pairs, value, _least(pairs, value, f"least{level}")), f"names{level}")
         levels.append(named_pairs.where("n = 1").select("_k", "_dup", F.lit(level).alias("level"), "name"))
         rows = named_pairs.where("n > 1")
     names = levels[0]
@@ -97,16 +116,16 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     """
     names = document_names(docs, block_bytes)
     last = F.max(F.struct("_k", "_dup", "doc_id"))
-    groups = stage(names.groupBy("level", "name").agg(last.alias("_last"), F.count("*").alias("group_size")),
-                   "groups")
-    kept = (F.col("_k") == F.col("_last._k")) & (F.col("_dup") == F.col("_last._dup"))
-    return names.join(groups, ["level", "name"]).select(
-        "_k", "_dup", "doc_id", F.col("_last.doc_id").alias("keep_id"), "group_size",
-        kept.alias("kept"), "text_sha256")
+    groups = stage(names.groupBy("level", "name").agg(last.alias("_last"), F.count("*").alias("group_size"))
+                   .where("group_size > 1"), "groups")
+    alone = F.col("group_size").isNull()
+    kept = alone | (F.col("_k") == F.col("_last._k")) & (F.col("_dup") == F.col("_last._dup"))
+    return joined_hot(names, groups, ["level", "name"], "group_size").select(
+        "_k", "_dup", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_last.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that stay, with all columns of ``docs``."""
-    kept = exact_duplicates(docs, block_bytes).where("kept").select("_k", "_dup")
-    rows = whole_rows(docs, "doc_id", "text")
-    return rows.join(stage(kept, "kept"), ["_k", "_dup"], "left_semi").select("_row.*")
+    dropped = stage(exact_duplicates(docs, block_bytes).where("not kept").select("_k", "_dup"), "dropped")
+    return without(whole_rows(docs, "doc_id", "text"), dropped, "_k", "_dup").select("_row.*")

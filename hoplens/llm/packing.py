@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import small, stage, with_identity, word_counts
+from hoplens.llm.common import small, stage, word_counts
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -34,6 +34,10 @@ OVERHEAD = 16
 PRICES = (0.0, 0.5, 0.8, 0.9, 0.95, 1.0)
 #: Pieces packed together.
 BLOCK = 8192
+#: Partitions at most; each takes its blocks one after the other.
+PARTITIONS = 4096
+#: Equal pieces that are numbered at once.
+COPIES = 4096
 
 
 def bin_cost(capacity: int, overhead: int = OVERHEAD) -> int:
@@ -86,27 +90,30 @@ def pack_block(lengths, capacities=CAPACITIES, overhead: int = OVERHEAD, prices=
 
 
 def pieces(docs: DataFrame, capacities=CAPACITIES) -> DataFrame:
-    """(_k, _dup, doc_id, piece, first_word, n_words): whole documents, or
-    pieces of the largest capacity and a rest."""
+    """(doc_id, piece, first_word, n_words, copy): whole documents, or pieces of
+    the largest capacity and a rest. Equal pieces of rows that share an id are
+    counted before they are shuffled, and then numbered by ``copy``."""
     top = max(capacities)
 
     def cut(batches):
-        for b in small(batches, 3):
-            n = word_counts(b.column(3))
+        for b in small(batches, 1):
+            n = word_counts(b.column(1))
             many = np.maximum(1, -(-n // top))
             row = np.repeat(np.arange(len(n)), many)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             first = piece * top
-            ids = [c.take(pa.array(row)) for c in b.columns[:3]]
             yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array(piece, pa.int64()), pa.array(first, pa.int64()),
+                [b.column(0).take(pa.array(row)), pa.array(piece, pa.int64()), pa.array(first, pa.int64()),
                  pa.array(np.minimum(n[row] - first, top), pa.int64())],
-                names=["_k", "_dup", "doc_id", "piece", "first_word", "n_words"])
+                names=["doc_id", "piece", "first_word", "n_words"])
 
-    rows = with_identity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
-                         "doc_id", "text")
-    return rows.select("_k", "_dup", "doc_id", "text").mapInArrow(
-        cut, "_k long, _dup int, doc_id long, piece long, first_word long, n_words long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        cut, "doc_id long, piece long, first_word long, n_words long")
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    # in two steps, so that no array grows with the number of copies
+    some = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))).alias("lo"))
+    upto = F.least(F.col("lo") + COPIES, F.col("n")) - 1
+    return some.select(*rows.columns, F.explode(F.sequence(F.col("lo"), upto, F.lit(1))).alias("copy"))
 
 
 def pack_documents(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD,
@@ -125,9 +132,10 @@ def pack_documents(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERH
     rows = stage(pieces(docs, capacities), "pieces")
     full = rows.where("n_words > 0")
     shards = max(1, -(-full.count() // block))
-    shard = F.pmod(F.xxhash64("_k", "_dup", "piece"), F.lit(shards)).alias("_shard")
-    dealt = (full.select(shard, "*").repartition(shards, "_shard")
-             .sortWithinPartitions("_shard", "_k", "_dup", "piece"))
+    order = ["doc_id", "piece", "n_words", "copy"]
+    shard = F.pmod(F.xxhash64(*order), F.lit(shards)).alias("_shard")
+    dealt = (full.select(shard, "*").repartition(min(shards, PARTITIONS), "_shard")
+             .sortWithinPartitions("_shard", *order))
     names = ["doc_id", "piece", "first_word", "n_words", "bin_id", "bin_capacity", "bin_start"]
 
     def packed(pdf: pd.DataFrame, shard: int, first_bin: int) -> tuple[pd.DataFrame, int]:
@@ -157,7 +165,7 @@ def pack_documents(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERH
                     room = 2 * block - sum(map(len, held))
                     held.append(part.iloc[:room])
                     part = part.iloc[room:]
-                    if sum(map(len, held)) >= 2 * block:  # repeated ids fell into one shard
+                    if sum(map(len, held)) >= 2 * block:
                         yield flush()
         if held:
             yield flush()

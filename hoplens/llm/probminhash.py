@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplens.llm.common import (connected_components, mix, packed, sieved, small, stage, unpacked, utf8,
-                                whole_rows, with_identity, word_hashes)
+                                whole_rows, with_identity, without, word_hashes)
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99993.
@@ -310,6 +310,5 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """One document of each group, with all columns of ``docs``."""
-    kept = near_duplicate_groups(docs, **params).where("kept").select("_k", "_dup")
-    rows = whole_rows(docs, "doc_id", "text")
-    return rows.join(stage(kept, "kept"), ["_k", "_dup"], "left_semi").select("_row.*")
+    dropped = stage(near_duplicate_groups(docs, **params).where("not kept").select("_k", "_dup"), "dropped")
+    return without(whole_rows(docs, "doc_id", "text"), dropped, "_k", "_dup").select("_row.*")

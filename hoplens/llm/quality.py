@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hoplens.llm.common import SPACES, small, utf8, word_bounds, word_hashes
 
@@ -241,14 +242,13 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT, **p
     """The documents whose score reaches ``cut``, with all columns of ``docs``:
     the filter works on the batches themselves, so no join is needed."""
     model = train(docs, labels, **params)
-    names = docs.columns
 
     def keep(batches):
         for b in small(batches, 0):
             got = features(b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float))
-            rest = pa.RecordBatch.from_arrays(b.columns[2:], names=names)
-            yield rest.filter(pa.array(model.scores(*got) >= cut))
+            yield pa.RecordBatch.from_arrays([b.column(2)], names=["_row"]).filter(pa.array(model.scores(*got) >= cut))
 
-    out = docs.select(F.col("text").cast("string").alias("_text"), F.col("n_chars").cast("double").alias("_n"),
-                      *[F.col(f"`{c}`") for c in names])
-    return out.mapInArrow(keep, docs.schema)
+    # the row is one struct, so that no helper column has the name of an input column
+    out = docs.select(F.struct("*").alias("_row")).select(
+        F.col("_row.text").cast("string").alias("_text"), F.col("_row.n_chars").cast("double").alias("_n"), "_row")
+    return out.mapInArrow(keep, StructType([StructField("_row", docs.schema)])).select("_row.*")

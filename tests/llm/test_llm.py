@@ -429,3 +429,63 @@ def test_pii_memory_of_a_long_run_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_exact_dedup_where_half_of_all_rows_are_one_text(spark, monkeypatch):
+    """No task gets all places of a hot block: they are joined by broadcast."""
+    rows = [(i, "same " * 40 if i % 2 else f"text {i} " * 20) for i in range(4000)]
+    held = {}
+    plain = exact_dedup.stage
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "names0":
+            held["tasks"] = dict(out.where("name is not null").groupBy(common.F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "stage", seen)
+    docs = docs_of(spark, rows).repartition(16)
+    out = exact_dedup.exact_duplicates(docs, block_bytes=64).collect()
+    assert sum(r.kept for r in out) == 2001
+    assert {r.keep_id for r in out if r.doc_id % 2} == {3999}
+    assert max(held["tasks"].values()) < sum(held["tasks"].values()) / 4
+
+
+def test_exact_dedup_of_digests_that_collide(spark, monkeypatch):
+    """With a digest of one bit nearly all blocks share it, and the bytes decide."""
+    sha = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: (
+        common.F.substring(sha(c, n), 1, 2) if isinstance(c, str) else sha(c, n)))
+    rows = [(i, "ab" * (i % 37) + "x" * (i % 3)) for i in range(300)]
+    out = exact_dedup.exact_duplicates(docs_of(spark, rows), block_bytes=4).collect()
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    text = dict(rows)
+    assert all(r.keep_id == max(want[text[r.doc_id]]) and r.group_size == len(want[text[r.doc_id]]) for r in out)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "copies", "_copy", "_k", "_dup", "_row", "_text", "_n", "z", "_null", "kept"]
+    rows = [(i, None if i == 3 else f"{BASE} {i % 5} {i}", "en", f"s{i % 2}", 10, *range(10)) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    whole = {tuple(r) for r in docs.collect()}
+    for out in (quality.accepted_documents(docs, labels), exact_dedup.drop_duplicates(docs),
+                probminhash.drop_near_duplicates(docs), mixing.mixed_documents(docs)):
+        assert out.columns == names
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= whole
+
+
+def test_packing_repeated_pieces(spark):
+    rows = [(1, "a b c")] * 500 + [(None, "x y")] * 300 + [(2, BASE), (2, BASE + " end")]
+    out = packing.pack_documents(docs_of(spark, rows), capacities=(8, 16, 64), block=64).collect()
+    assert Counter((r.doc_id, r.n_words) for r in out) == Counter((i, len(t.split())) for i, t in rows)
+    fill = {}
+    for r in out:
+        fill.setdefault((r.bin_id, r.bin_capacity), []).append((r.bin_start, r.n_words))
+    assert len({b for b, _ in fill}) == len(fill)
+    for (_, capacity), held in fill.items():
+        ends = [s + n for s, n in sorted(held)]
+        assert [s for s, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= capacity
