@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from hoplens.session import checkpoint_dir
 
@@ -81,13 +81,17 @@ def sieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
             .where(F.getbit("_sieve_bits", "_sieve_bit") == 1).select(*rows.columns))
 
 
+def unsieved(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The ``rows`` that ``sieved`` stops: none of them occurs in ``keys``."""
+    return _sieve(rows, keys, on, "left").where(
+        "_sieve_bits is null or getbit(_sieve_bits, _sieve_bit) = 0").select(*rows.columns)
+
+
 def without(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """``rows`` whose columns ``on`` (not null) do not occur in ``keys`` (stored).
-    Rows that the bit table of ``sieved`` clears stay where they are; only the
-    others, the rows to go and few besides, are shuffled into an anti join."""
-    clear = _sieve(rows, keys, on, "left").where(
-        "_sieve_bits is null or getbit(_sieve_bits, _sieve_bit) = 0").select(*rows.columns)
-    return clear.unionByName(sieved(rows, keys, *on).join(keys, list(on), "left_anti"))
+    Rows that the sieve stops stay where they are; only the others, the rows to
+    go and few besides, are shuffled into an anti join."""
+    return unsieved(rows, keys, *on).unionByName(sieved(rows, keys, *on).join(keys, list(on), "left_anti"))
 
 
 #: Rows of the table that ``joined_hot`` broadcasts, at most.
@@ -163,7 +167,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def small(batches, column: int, limit: int = 4 << 20):
+def small(batches, column: int, limit: int = 1 << 20):
     """Cut Arrow batches into slices with at most about ``limit`` bytes of text
     in ``column`` (one row at least), so that the arrays built over a slice
     stay small whatever the batch."""
@@ -183,7 +187,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in small(batches, len(names)):
             data, offs = utf8(b.column(len(names)))
             z = [press.compress(data[lo:hi].data) for lo, hi in zip(offs[:-1], offs[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(z, pa.binary())], names=[*names, "z"])
@@ -198,21 +202,6 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def opened(rows: DataFrame) -> DataFrame:
-    """The reverse of ``packed``: the last column, z, becomes text again. A few
-    rows at a time, as texts grow when they are opened."""
-    names = rows.columns[:-1]
-
-    def unpack(batches):
-        press = zstandard.ZstdDecompressor()
-        for b in batches:
-            for part in small([b], len(names), 1 << 20):
-                texts = [press.decompress(z).decode() for z in part.column(len(names)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return rows.mapInArrow(unpack, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))
-
-
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

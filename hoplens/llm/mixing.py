@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplens.llm.common import opened, packed, small, stage, whole_rows, with_identity, word_counts
+from hoplens.llm.common import sieved, small, stage, unsieved, whole_rows, with_identity, word_counts
 
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -216,13 +216,10 @@ def cube_mix(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_REPEATS, block:
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix, each as often as it is taken; all columns of
     ``docs``, of any name, are kept as they are."""
-    chosen = cube_mix(docs, **params).where("copies > 0").select("_k", "_dup", "copies")
+    other = stage(cube_mix(docs, **params).where("copies <> 1").select("_k", "_dup", "copies"), "other")
     rows = whole_rows(docs, "doc_id", "text", "source")
-    apart = [c for c in docs.columns if c.lower() != "text"]
-    # texts are compressed while they travel; a null text stays null
-    sent = packed(rows.select("_k", "_dup", F.struct(*[f"_row.`{c}`" for c in apart]).alias("_row"),
-                              F.col("_row.text").isNull().alias("_null"), F.col("_row.text").cast("string").alias("text")))
-    out = opened(sent.join(stage(chosen, "chosen"), ["_k", "_dup"]).select("_row", "_null", "copies", "z"))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    text = F.when(~F.col("_null"), F.col("text")).cast(docs.schema["text"].dataType).alias("text")
-    return out.select(*[text if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    # most documents are taken once: only rows that are not, and few besides, are shuffled
+    moved = sieved(rows, other, "_k", "_dup").join(other, ["_k", "_dup"], "left").where("copies is null or copies > 0")
+    times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))
+    return unsieved(rows, other, "_k", "_dup").select("_row").unionByName(
+        moved.withColumn("_copy", F.explode(times)).select("_row")).select("_row.*")
