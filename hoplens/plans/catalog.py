@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplens.operators import clean, expand, explore, flows, labels, report
+from hoplens.operators import adjacency, clean, cube, expand, explore, flows, labels, report
 from hoplens.plans.sinks import with_percent
 from hoplens.plans.strategy import materialize, rows_bound
 from hoplens.sources import fixtures as fx
@@ -32,6 +32,10 @@ def _ledger(spark, d):
     return fx.ledger(spark, d)
 
 
+def _cube(spark, d):
+    return fx.flow_cube(spark, d, AMOUNT_SCALE)
+
+
 def _graph(spark, d):
     return fx.graph_edges(spark, d)
 
@@ -45,8 +49,7 @@ def _seeds(spark, d):
 
 
 def _khop(spark, d, hops=4, caps=None):
-    return expand.khop(_ledger(spark, d), _seeds(spark, d), labels=_labels(spark, d),
-                       hops=hops, caps=caps)
+    return adjacency.khop_shared(fx.transfer_graph(spark, d), _gated(spark, d), hops, caps)
 
 
 def _gated(spark, d):
@@ -54,21 +57,19 @@ def _gated(spark, d):
 
 
 def _hop1(spark, d):
-    """The materialised hop-1 frontier (seed_id, id, parent)."""
-    k = _khop(spark, d, hops=1)
+    """The hop-1 frontier (seed_id, id, parent), straight from the ledger."""
+    k = expand.khop(_ledger(spark, d), _seeds(spark, d), labels=_labels(spark, d), hops=1)
     return k.select("seed_id", "id", F.col("originalAddress").alias("parent"))
 
 
 def _flagged(spark, d):
-    # reused by several joins downstream: materialise once (one row per neighbour)
-    neighbours = _khop(spark, d)
-    return materialize(labels.flag(neighbours, fx.blacklist(spark, d)), name="flagged",
-                       bound=rows_bound(neighbours))
+    """The flagged neighbourhood, stored once per application for what is built on it."""
+    return fx._stored_table(spark, d, "flagged", lambda path: labels.flag(
+        materialize(_khop(spark, d), name="khop"), fx.blacklist(spark, d)).write.parquet(path))
 
 
-def _as_neighbours(level, h):
-    return level.select("seed_id", "id", F.col("parent").alias("originalAddress"),
-                        F.lit(h).alias("label"))
+def _balls(spark, d, levels):
+    return adjacency.grow_balls(fx.transfer_graph(spark, d, "graph"), _gated(spark, d), levels)
 
 
 # ---- queries -----------------------------------------------------------------
@@ -104,8 +105,9 @@ def q_hop2_in(spark, d):
 
 
 def q_hop2_frontier(spark, d):
+    # from the ledger itself; the other hop queries read the stored graph
     level = expand.expand_hop(_ledger(spark, d), _hop1(spark, d), cap=None)
-    return _as_neighbours(level, 2)
+    return level.select("seed_id", "id", F.col("parent").alias("originalAddress"), F.lit(2).alias("label"))
 
 
 def q_khop_capped(spark, d):
@@ -153,28 +155,28 @@ def q_neighbour_transactions(spark, d):
 
 def _neighbour_trend(unit):
     def q(spark, d):
-        return flows.neighbour_trend(_ledger(spark, d), _flagged(spark, d), unit, TZ, AMOUNT_SCALE)
+        accounts = flows.tracked_accounts(_flagged(spark, d), ("seed_id", labels.FLAG))
+        return cube.cube_trend(_cube(spark, d), accounts, unit, ("seed_id", labels.FLAG), TZ)
     q.__name__ = f"q_trend_{unit}"
     return q
 
 
 def q_account_daily(spark, d):
+    # straight from the ledger; the other trends read the cube
     return flows.account_trend(_ledger(spark, d), _seeds(spark, d), "day", TZ, AMOUNT_SCALE)
 
 
 def q_neighbour_account_daily(spark, d):
-    return flows.neighbour_account_trend(_ledger(spark, d), _flagged(spark, d), "day", TZ,
-                                         AMOUNT_SCALE)
+    accounts = flows.tracked_accounts(_flagged(spark, d), ("seed_id",))
+    return cube.cube_trend(_cube(spark, d), accounts, "day", ("seed_id", "id"), TZ)
 
 
 def q_account_hour_of_day(spark, d):
-    return flows.account_trend(_ledger(spark, d), _seeds(spark, d), "hour_of_day", TZ,
-                               AMOUNT_SCALE)
+    return cube.cube_trend(_cube(spark, d), flows.seed_accounts(_seeds(spark, d)), "hour_of_day", ("seed_id",), TZ)
 
 
 def _recent(spark, d, flagged):
-    return flows.recent_summary(_ledger(spark, d), flagged, fx.RECENT_START, fx.RECENT_END,
-                                _seeds(spark, d), AMOUNT_SCALE)
+    return cube.cube_recent(_cube(spark, d), flagged, fx.RECENT_START, fx.RECENT_END, _seeds(spark, d))
 
 
 def q_recent_summary(spark, d):
@@ -209,31 +211,17 @@ def q_star_sampled(spark, d):
     return _stars(spark, d)[2]
 
 
-def q_star_sampled_bernoulli(spark, d):
-    # DataFrame.sample, as the original draws it; no portable SQL equivalent
-    s = _seeds(spark, d)
-    return explore.star_export(
-        _graph(spark, d), s.where(F.col("seed_no") == 1), s.where(F.col("seed_no") == 2),
-        s.where(F.col("seed_no") == 3), _labels(spark, d), explore.SAMPLE_FRACTION,
-        method="bernoulli")[2]
-
-
-def _n1(spark, d):
-    centres = _gated(spark, d).select("seed_id", F.col("seed_id").alias("id"))
-    return explore.out_neighbours(_graph(spark, d), centres)
-
-
 def q_hop_out_degree(spark, d):
-    return explore.out_degree(_graph(spark, d), _n1(spark, d))
+    return adjacency.out_degrees(_balls(spark, d, 1))
 
 
 def q_multi_edge(spark, d):
-    return explore.multi_edges(explore.out_degree(_graph(spark, d), _n1(spark, d)))
+    return explore.multi_edges(adjacency.out_degrees(_balls(spark, d, 1)))
 
 
 def _ball(spark, d, level):
     """Level 2, 3 or 4 of the balls."""
-    return explore.ball_levels(_graph(spark, d), _gated(spark, d), levels=level)[-1]
+    return _balls(spark, d, level).level(level)
 
 
 def q_ball2(spark, d):
@@ -249,7 +237,7 @@ def q_ball4(spark, d):
 
 
 def q_ball4_edges(spark, d):
-    return explore.ball_edges(_graph(spark, d), _ball(spark, d, 3))
+    return _balls(spark, d, 4).edges()
 
 
 def q_ball_black_count(spark, d):
@@ -258,7 +246,7 @@ def q_ball_black_count(spark, d):
 
 
 def q_all_vertices(spark, d):
-    return explore.all_vertices(_graph(spark, d))
+    return fx.transfer_graph(spark, d, "graph").accounts.select("id")
 
 
 def q_component_labelled(spark, d):
@@ -294,7 +282,6 @@ QUERIES: dict[str, Query] = {
     "star_vertices": q_star_vertices,
     "star_edges": q_star_edges,
     "star_sampled": q_star_sampled,
-    "star_sampled_bernoulli": q_star_sampled_bernoulli,
     "hop_out_degree": q_hop_out_degree,
     "multi_edge": q_multi_edge,
     "ball2": q_ball2,

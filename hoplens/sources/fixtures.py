@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hoplens.functions.time import timestamp_to_epoch
+from hoplens.operators.adjacency import Graph, build_graph, open_graph
 from hoplens.operators.clean import clean_ledger, time_window, write_clean_ledger
+from hoplens.operators.cube import FlowCube, build_cube, open_cube
 from hoplens.session import checkpoint_dir
 
 # Fixed values of the fixture definition (epoch seconds, UTC).
@@ -30,7 +32,7 @@ N_BLACK_SEEDS = 5           # blacklisted seeds: the five smallest customer keys
 STAR_ROLES = 3              # seeds 1..3 centre the two-way, out and sampled stars
 COMPONENT = 1               # component whose labelled accounts are listed
 
-_lock = threading.Lock()
+_lock = threading.RLock()  # a stored table may be built from another one
 _stored: dict[tuple[str, str], str] = {}
 
 
@@ -59,7 +61,11 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` once per application into the checkpoint folder."""
+    return spark.read.parquet(_stored_path(spark, sf_dir, name, build))
+
+
+def _stored_path(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """Run ``build(path)`` once per application, in the checkpoint folder."""
     key = (spark.conf.get("spark.app.id", "app"), os.path.abspath(sf_dir), name)
     with _lock:
         path = _stored.get(key)
@@ -68,7 +74,7 @@ def _stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
             path = f"{checkpoint_dir(spark).rstrip('/')}/hoplens-{name}-{digest}"
             build(path)
             _stored[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +95,22 @@ def graph_edges(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFr
     return time_window(raw, YEAR_START, YEAR_END)
 
 
+def transfer_graph(spark: SparkSession, sf_dir: str, kind: str = "ledger") -> Graph:
+    """The stored graph of the ledger, or (``kind`` 'graph') of the prototype's
+    edges, built once per application."""
+    edges = ledger if kind == "ledger" else graph_edges
+    path = _stored_path(spark, sf_dir, f"{kind}-pairs", lambda path: build_graph(
+        edges(spark, sf_dir).select("from", "to"), path))
+    return open_graph(spark, path)
+
+
+def flow_cube(spark: SparkSession, sf_dir: str, amount_scale: int) -> FlowCube:
+    """The stored hourly flows of the ledger, built once per application."""
+    path = _stored_path(spark, sf_dir, f"cube{amount_scale}", lambda path: build_cube(
+        ledger(spark, sf_dir), path, amount_scale))
+    return open_cube(spark, path, f"decimal(38,{amount_scale})")
+
+
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a negative balance, as DataFrame[blacklist]."""
     c = _read(spark, sf_dir, "customer")
