@@ -60,7 +60,7 @@ def graph_pairs(edges: DataFrame, accounts: DataFrame) -> DataFrame:
     for end, key in (("from", "src"), ("to", "dst")):
         other = "to" if end == "from" else "src"
         names = accounts.select(F.col("id").alias(end), F.col("key").alias(key))
-        transfers = shuffle_join(transfers, names, [end], spread=(other,)).drop(end)
+        transfers = shuffle_join(transfers, names, [end], spread=(other,), sieve=False).drop(end)
     ways = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("n").alias("sent"),
                             F.lit(0).cast("long").alias("received")),
                    F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0).cast("long").alias("sent"),

@@ -28,6 +28,25 @@ def time_window(raw: DataFrame, start: int | None = None, end: int | None = None
     return raw.where(in_window("timestamp", start, end))
 
 
+def write_daily_ledger(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
+    """Store a ledger in one folder a day (``day``, days since 1970 in UTC), sorted
+    by time in each file. Rows of a day are brought together; a day that is too
+    large is written in several files. Rows without a timestamp have their own
+    folder, which no window opens."""
+    day = F.floor(F.col("timestamp") / 86400).cast("int")
+    (df.withColumn("day", day).hint("rebalance", "day").sortWithinPartitions("day", "timestamp")
+     .write.mode(mode).format(fmt).partitionBy("day").save(path))
+
+
+def read_daily_ledger(spark, path: str, start: int | None = None, end: int | None = None,
+                      fmt: str = "parquet") -> DataFrame:
+    """The window ``start <= timestamp < end`` of a ledger that
+    ``write_daily_ledger`` stored; only the folders of its days are opened."""
+    df = spark.read.format(fmt).load(path)
+    days = in_window("day", None if start is None else start // 86400, None if end is None else -(-end // 86400))
+    return df.where(days & in_window("timestamp", start, end)).drop("day")
+
+
 def write_clean_ledger(df: DataFrame, path: str, mode: str = "errorifexists",
                        fmt: str = "parquet") -> None:
     """Store a cleaned ledger for the analyses, sorted by time inside each file.

@@ -19,9 +19,9 @@ broadcast when its size is proven small; otherwise a shuffle join that splits
 a hot account, see ``strategy.shuffle_join``), a partial+final aggregate on
 (seed, id) that collapses multi-edges map-side, then the per-seed cap as a
 ``row_number`` filter that Spark turns into a partial ``WindowGroupLimit`` in
-front of the shuffle. Each hop is materialised in the checkpoint folder
-(``checkpoint()`` when the cap proves it small, a Parquet table otherwise),
-so hop h+1 reads hop h instead of recomputing the chain.
+front of the shuffle. Each hop is materialised in the checkpoint folder, so hop
+h+1 reads hop h instead of recomputing the chain. ``adjacency.khop_shared`` gives
+the same rows from a stored graph, without a scan of the ledger per hop.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def khop(edges: DataFrame, seeds: DataFrame, *, labels: DataFrame | None = None,
     for h, cap in enumerate(_caps_for(hops, caps), start=1):
         next_bound = n_input * cap if cap is not None else None
         frontier = materialize(expand_hop(edges, frontier, cap, max_broadcast_rows, bound),
-                               checkpoint, name=f"hop{h}", bound=next_bound)
+                               checkpoint, name=f"hop{h}")
         bound = next_bound
         levels.append(frontier.select("seed_id", "id", F.col("parent").alias("originalAddress"),
                                       F.lit(h).alias("label")))

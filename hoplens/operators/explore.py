@@ -22,6 +22,8 @@ from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcas
 # Fixed parameters of the sampled star: fraction and seed of the sample.
 SAMPLE_FRACTION = 0.0005
 SAMPLE_SEED = 10
+# Equal rows that are numbered at once.
+OCCURRENCES = 4096
 
 
 def _centres(seeds: DataFrame) -> DataFrame:
@@ -65,14 +67,21 @@ def sample_rows(df: DataFrame, fraction: float = SAMPLE_FRACTION, seed: int = SA
     """T3 — Bernoulli sample without replacement.
 
     'bernoulli' is ``DataFrame.sample`` (depends on the partitioning);
-    'hash' keeps a row when the MD5 of (seed, timestamp, from, to) falls under
-    the fraction: the same rows on every run, after any executor loss.
+    'hash' keeps a row when the MD5 of (seed, timestamp, from, to, occurrence)
+    falls under the fraction: the same rows on every run, after any executor
+    loss. Equal rows are counted first (a copy in a third of all rows travels
+    once per task) and then drawn one by one, each by its number.
     """
     if method == "bernoulli":
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
     if method == "hash":
-        h = hash_fraction(F.lit(str(seed)), F.col("timestamp"), F.col("from"), F.col("to"))
-        return df.where(h < F.lit(fraction))
+        counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+        # two steps, so that no array grows with the number of copies
+        some = counted.withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(OCCURRENCES))))
+        last = F.least(F.col("_lo") + OCCURRENCES, F.col("_n")) - 1
+        each = some.withColumn("_occurrence", F.explode(F.sequence(F.col("_lo"), last, F.lit(1))))
+        h = hash_fraction(F.lit(str(seed)), F.col("timestamp"), F.col("from"), F.col("to"), F.col("_occurrence"))
+        return each.where(h < F.lit(fraction)).select(*df.columns)
     raise ValueError(f"method must be bernoulli or hash, not {method!r}")
 
 
@@ -202,7 +211,7 @@ def component_labelled(components: DataFrame, labels: DataFrame, edges: DataFram
     if component is not None:
         c = c.where(F.col("component") == F.lit(component))
     lab = labels.select("id", "label").distinct()
-    members = c.join(lab, "id")
+    members = materialize(c.join(lab, "id"), name="members")  # joined once, used three times
     cand = members.select("id").distinct()
     small, is_small = bounded_broadcast(cand, max_broadcast_rows)
     spread = tuple(c for c in ("timestamp", "from", "to") if c in edges.columns)

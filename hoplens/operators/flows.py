@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoplens.functions.amounts import amount_sum, amount_sum_exact
-from hoplens.functions.time import bucket, in_window
+from hoplens.functions.amounts import amount_sum, amount_sum_exact, exact_sum
+from hoplens.functions.time import bucket, in_window, wall_clock
 from hoplens.operators.labels import FLAG, seed_frame
 from hoplens.plans.strategy import (DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize,
                                     rows_bound, shuffle_join)
@@ -84,28 +84,64 @@ def account_flows(ledger: DataFrame, accounts: DataFrame,
 def transactions(ledger: DataFrame, accounts: DataFrame, tz: str | None = None,
                  start: int | None = None, end: int | None = None,
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                 accounts_bound: int | None = None) -> DataFrame:
+                 accounts_bound: int | None = None, typed: bool = False) -> DataFrame:
     """C9 — transactions of tracked accounts, sender side ∪ receiver side.
 
     Output: keys..., id, timestamp (epoch seconds), time ('yyyy-MM-dd HH:mm:ss'
-    in ``tz`` or the session zone), from, to, value.
+    in ``tz`` or the session zone), from, to, value; with ``typed`` also ``at``,
+    the time as a timestamp (the wall clock in ``tz``, or the instant).
     """
     flows = account_flows(ledger, accounts, DIRECTIONS, start, end, max_broadcast_rows,
                           accounts_bound=accounts_bound)
     keys = [c for c in accounts.columns if c != "id"]
-    return flows.select(*keys, "id", "timestamp",
-                        bucket("timestamp", "datetime", tz).alias("time"),
-                        "from", "to", "value")
+    return _as_transactions(flows, keys, tz, typed)
+
+
+def _as_transactions(flows: DataFrame, keys: Sequence[str], tz: str | None, typed: bool) -> DataFrame:
+    at = [wall_clock("timestamp", tz).alias("at")] if typed else []
+    return flows.select(*keys, "id", "timestamp", bucket("timestamp", "datetime", tz).alias("time"),
+                        "from", "to", "value", *at)
+
+
+def store_touching(ledger: DataFrame, accounts: DataFrame, path: str, parts: int = 16,
+                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> None:
+    """C9 in two tables under ``path``: ``rows``, the ledger rows that touch any
+    account of ``accounts`` (seed_id, id), once per account and side and laid out
+    by a hash of the account; and ``accounts``, the (seed_id, id) themselves. Rows
+    don't multiply with the seeds that share an account. ``accounts`` is stored."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    ids = accounts.select("id").distinct()
+    rows = account_flows(ledger, ids, max_broadcast_rows=max_broadcast_rows, accounts_bound=rows_bound(accounts))
+    for name, df, order in (("rows", rows, ["part", "id", "timestamp"]), ("accounts", accounts.distinct(), ["part", "id"])):
+        (df.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions(*order)
+         .write.mode("overwrite").partitionBy("part").parquet(f"{path.rstrip('/')}/{name}"))
+
+
+def touching_transactions(spark, path: str, seeds: DataFrame | None = None, tz: str | None = None,
+                          typed: bool = False) -> DataFrame:
+    """The rows of ``transactions`` for every seed (or those of ``seeds``) from
+    the tables of ``store_touching``: a join on the account and its part, which
+    prunes the parts that are read where the accounts are few."""
+    base = path.rstrip("/")
+    rows = spark.read.schema("id string, direction string, timestamp long, `from` string, `to` string, "
+                             "value double, part int").parquet(f"{base}/rows")
+    accounts = spark.read.schema("seed_id string, id string, part int").parquet(f"{base}/accounts")
+    if seeds is not None:
+        accounts = accounts.join(seed_frame(seeds), "seed_id", "left_semi")
+    joined = rows.join(accounts.where("part >= 0"), ["part", "id"])
+    return _as_transactions(joined, ["seed_id"], tz, typed)
 
 
 def trend(flows: DataFrame, unit: str = "day", keys: Sequence[str] | None = None,
-          tz: str | None = None, amount_scale: int | None = None) -> DataFrame:
+          tz: str | None = None, amount_scale: int | str | None = None) -> DataFrame:
     """C12/C13 — per bucket: total_amount, count, previous count, growth.
 
     ``flows`` comes from ``account_flows``. ``keys`` default to every column
     before ``id`` plus ``direction``. The previous count is the previous bucket
     *that has rows* within the same keys (no calendar spine), null for the
-    first. Rows without a timestamp are dropped before grouping.
+    first. Rows without a timestamp are dropped before grouping. ``amount_scale``
+    is a number of places (decimal sums), None (doubles), or "exact" for sums of
+    doubles that do not depend on the order (``amounts.exact_sum``).
 
     Scale: the group-by runs partial aggregation before its shuffle, and the
     window is partitioned by the keys, each partition holding at most one row
@@ -121,8 +157,11 @@ def trend(flows: DataFrame, unit: str = "day", keys: Sequence[str] | None = None
     f = flows.where(F.col("timestamp").isNotNull())
     f = f.select(*keys, *[bucket("timestamp", u, tz).alias(n) for n, u in zip(names, units)],
                  "value")
-    g = f.groupBy(*keys, *names).agg(amount_sum("value", amount_scale).alias("total_amount"),
-                                     F.count(F.lit(1)).alias("count"))
+    if amount_scale == "exact":
+        g = exact_sum(f, [*keys, *names])
+    else:
+        g = f.groupBy(*keys, *names).agg(amount_sum("value", amount_scale).alias("total_amount"),
+                                         F.count(F.lit(1)).alias("count"))
     return _lagged(g, keys, names, lag_name)
 
 

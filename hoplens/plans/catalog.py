@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplens.operators import adjacency, clean, cube, expand, explore, flows, labels, report
-from hoplens.plans.sinks import with_percent
-from hoplens.plans.strategy import materialize, rows_bound
+from hoplens.functions.time import bucket
+from hoplens.plans.sinks import with_percent, write_table
+from hoplens.plans.strategy import materialize
 from hoplens.sources import fixtures as fx
+from hoplens.sources.ledger import read_accounts, read_ledger
 
 TZ = "UTC"
 AMOUNT_SCALE = 2
@@ -133,8 +135,7 @@ def q_black_neighbours(spark, d):
 
 def q_blacklist_ratio(spark, d):
     hop2 = expand.hop(_khop(spark, d, hops=2, caps=None), 2)
-    flagged = materialize(labels.flag(hop2, fx.blacklist(spark, d)), name="flagged",
-                          bound=rows_bound(hop2))
+    flagged = materialize(labels.flag(materialize(hop2, name="hop2"), fx.blacklist(spark, d)), name="flagged")
     return labels.blacklist_ratio(flagged, _seeds(spark, d))
 
 
@@ -148,9 +149,52 @@ def q_account_transactions(spark, d):
 
 
 def q_neighbour_transactions(spark, d):
-    flagged = _flagged(spark, d)
-    acc = flows.tracked_accounts(flagged, ("seed_id",))
-    return flows.transactions(_ledger(spark, d), acc, tz=TZ, accounts_bound=rows_bound(flagged))
+    # stored once per account, joined with the seeds' accounts
+    path = fx._stored_path(spark, d, "touching", lambda path: flows.store_touching(
+        _ledger(spark, d), materialize(flows.tracked_accounts(_flagged(spark, d), ("seed_id",)), name="tracked"), path))
+    return flows.touching_transactions(spark, path, tz=TZ)
+
+
+def q_account_transactions_typed(spark, d):
+    tx = flows.transactions(_ledger(spark, d), flows.seed_accounts(_seeds(spark, d)), tz=TZ, typed=True)
+    return tx.select("seed_id", "timestamp", "from", "to", "value", "at")
+
+
+def q_account_time_of_day(spark, d):
+    tx = flows.account_flows(_ledger(spark, d), flows.seed_accounts(_seeds(spark, d)))
+    return (tx.groupBy("seed_id", bucket("timestamp", "time_of_day", TZ).alias("time_of_day"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+def q_account_daily_exact(spark, d):
+    out = flows.account_trend(_ledger(spark, d), _seeds(spark, d), "day", TZ, "exact")
+    return out.withColumn("total_amount", F.round("total_amount", 2))
+
+
+def q_ledger_csv(spark, d):
+    # the cleaned ledger written as CSV with a header and read back by its names
+    path = fx._stored_path(spark, d, "ledger-csv", lambda path: clean.write_clean_ledger(
+        q_ledger_clean(spark, d), path, mode="overwrite", fmt="csv"))
+    return read_ledger(spark, path, "csv").select("timestamp", "from", "to", "value")
+
+
+def q_accounts_csv(spark, d):
+    path = fx._stored_path(spark, d, "accounts-csv", lambda path: write_table(
+        fx.blacklist(spark, d), path, "csv", "overwrite"))
+    return read_accounts(spark, path, "blacklist").distinct()
+
+
+def q_ledger_month(spark, d):
+    # one month of the raw ledger laid out by days
+    path = fx._stored_path(spark, d, "ledger-days", lambda path: clean.write_daily_ledger(
+        fx.ledger_raw(spark, d), path, mode="overwrite"))
+    return clean.read_daily_ledger(spark, path, fx.RECENT_START, fx.RECENT_END)
+
+
+def q_hub_sample(spark, d):
+    # the sample over the whole graph, equal rows drawn one by one
+    rows = explore.sample_rows(_graph(spark, d), STAR_FRACTION, method="hash")
+    return rows.groupBy("from").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _neighbour_trend(unit):
@@ -270,6 +314,13 @@ QUERIES: dict[str, Query] = {
     "blacklist_ratio": q_blacklist_ratio,
     "blacklist_percent": q_blacklist_percent,
     "account_transactions": q_account_transactions,
+    "account_transactions_typed": q_account_transactions_typed,
+    "account_time_of_day": q_account_time_of_day,
+    "account_daily_exact": q_account_daily_exact,
+    "ledger_csv": q_ledger_csv,
+    "accounts_csv": q_accounts_csv,
+    "ledger_month": q_ledger_month,
+    "hub_sample": q_hub_sample,
     "neighbour_transactions": q_neighbour_transactions,
     "trend_daily": _neighbour_trend("day"),
     "trend_hourly": _neighbour_trend("hour"),

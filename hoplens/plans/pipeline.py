@@ -11,26 +11,28 @@ For all seeds at once (``seed_id`` is a key column, not a loop):
    directions;
 7. one report row per seed.
 
-The flagged neighbourhood is materialised once and reused by steps 4-7; the
-trends of every granularity come from one hourly aggregate (materialised,
-at most seeds x flags x directions x hours rows), not from a stored copy of
-the neighbours' transactions.
+The flagged neighbourhood is materialised once and reused by steps 4-7; hops
+are found in the stored graph of the ledger, and the recent totals and the
+trends of every granularity in its stored hourly flows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 
+from hoplens.operators.adjacency import build_graph, khop_shared
+from hoplens.operators.cube import build_cube, cube_recent, cube_trend
 from hoplens.operators.expand import khop
-from hoplens.operators.flows import (neighbour_flows, recent_summary, seed_accounts,
-                                     tracked_accounts, transactions, trends)
+from hoplens.operators.flows import recent_summary, seed_accounts, tracked_accounts, transactions
 from hoplens.operators.labels import FLAG, blacklist_ratio, flag, gate_seeds, label_set, seed_frame
 from hoplens.operators.report import seed_report
-from hoplens.plans.sinks import existing_keys, with_percent, write_table
-from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize, rows_bound
+from hoplens.plans.sinks import pending_keys, with_percent, write_table
+from hoplens.plans.stages import StageStore, describe
+from hoplens.plans.strategy import DEFAULT_MAX_BROADCAST_ROWS, materialize, rows_bound, stage_path
 
 
 @dataclass
@@ -54,13 +56,18 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
     """Build every output of the study as DataFrames (materialised stages included)."""
     cfg = cfg or StudyConfig()
     labels = label_set(labelled, blacklist)
-    neighbours = khop(ledger, seeds, labels=labels, hops=cfg.hops, caps=cfg.caps,
-                      require_labelled=cfg.require_labelled,
-                      max_broadcast_rows=cfg.max_broadcast_rows)
-    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged",
-                          bound=rows_bound(neighbours))
-    summary = materialize(recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
-                                         cfg.amount_scale, cfg.max_broadcast_rows), name="summary")
+    gated = gate_seeds(seeds, labels, cfg.require_labelled, cfg.max_broadcast_rows)
+    graph = build_graph(ledger.select("from", "to"), stage_path(ledger.sparkSession, "graph"))
+    neighbours = materialize(khop_shared(graph, gated, cfg.hops, cfg.caps), name="neighbours")
+    flagged = materialize(flag(neighbours, blacklist, cfg.max_broadcast_rows), name="flagged")
+    # one hourly aggregate of the ledger serves the recent totals and every trend
+    cube = build_cube(ledger, stage_path(ledger.sparkSession, "cube"), cfg.amount_scale)
+    if any(b is not None and b % cube.step for b in (cfg.recent_start, cfg.recent_end)):
+        summary = recent_summary(ledger, flagged, cfg.recent_start, cfg.recent_end, seeds,
+                                 cfg.amount_scale, cfg.max_broadcast_rows)
+    else:
+        summary = cube_recent(cube, flagged, cfg.recent_start, cfg.recent_end, seeds)
+    summary = materialize(summary, name="summary")
     out = {
         "seed_transactions": transactions(ledger, seed_accounts(seeds), cfg.tz,
                                           max_broadcast_rows=cfg.max_broadcast_rows),
@@ -73,11 +80,9 @@ def neighbourhood_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame
         "recent_summary": summary,
         "blacklist_ratio": blacklist_ratio(flagged, seeds),
     }
-    # one scan and one hourly aggregate serve every trend granularity
-    flows = neighbour_flows(ledger, flagged, cfg.max_broadcast_rows)
-    for unit, df in trends(flows, cfg.units, ("seed_id", FLAG, "direction"), cfg.tz,
-                           cfg.amount_scale).items():
-        out[f"trend_{unit}"] = df
+    accounts = tracked_accounts(flagged, ("seed_id", FLAG))
+    for unit in cfg.units:
+        out[f"trend_{unit}"] = cube_trend(cube, accounts, unit, ("seed_id", FLAG), cfg.tz)
     # written last: its rows tell which seeds are complete
     out["seed_report"] = seed_report(flagged, summary, seeds, cfg.hops)
     return out
@@ -97,18 +102,29 @@ def run_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
               ) -> dict[str, str]:
     """Write every output under ``out_dir``; returns name -> path.
 
-    In mode 'missing' seeds that have a row in ``seed_report`` (written last)
-    are complete and not computed again; the others are added to every output.
+    In mode 'missing' seeds with a commit record of ``seed_report`` (written
+    last) are complete and not computed again; the others are added to every
+    output in an attempt of their own, and are recorded output by output.
+    The stages live as long as the job: they are removed when it ends, and read
+    again when a job that failed is run again on the same inputs and settings.
     """
     cfg = cfg or StudyConfig()
+    spark = ledger.sparkSession
     if cfg.mode == "missing":
-        seeds = seed_frame(seeds)
-        done = existing_keys(seeds.select("seed_id"), f"{out_dir.rstrip('/')}/seed_report",
-                             ("seed_id",), cfg.fmt)
-        if done is not None:
-            seeds = materialize(seeds.join(done, "seed_id", "left_anti"), name="pending")
-    outputs = neighbourhood_study(ledger, seeds, labelled, blacklist, cfg)
-    return write_all(outputs, out_dir, cfg.fmt, cfg.mode)
+        seeds = pending_keys(seed_frame(seeds), f"{out_dir.rstrip('/')}/seed_report", ("seed_id",))
+        if seeds.isEmpty():
+            return {name: f"{out_dir.rstrip('/')}/{name}" for name in outputs_of(cfg)}
+    inputs = [describe(df) for df in (ledger, seeds, labelled, blacklist) if df is not None]
+    with StageStore(spark, ["study", asdict(cfg), out_dir, inputs]):
+        seeds = materialize(seed_frame(seeds), name="pending")
+        outputs = neighbourhood_study(ledger, seeds, labelled, blacklist, cfg)
+        return write_all(outputs, out_dir, cfg.fmt, cfg.mode, seeds)
+
+
+def outputs_of(cfg: StudyConfig) -> list[str]:
+    """The names of a study's outputs, in the order in which they are written."""
+    return ["seed_transactions", "neighbours", "neighbours_flagged", "neighbour_transactions", "recent_summary",
+            "blacklist_ratio", *[f"trend_{u}" for u in cfg.units], "seed_report"]
 
 
 def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
@@ -120,8 +136,7 @@ def ratio_study(ledger: DataFrame, seeds: DataFrame, labelled: DataFrame | None,
     hop2 = khop(ledger, seeds, labels=labels, hops=2, caps=None,
                 require_labelled=require_labelled, max_broadcast_rows=max_broadcast_rows)
     hop2 = hop2.where(hop2.label == 2)
-    flagged = materialize(flag(hop2, blacklist, max_broadcast_rows), name="flagged",
-                          bound=rows_bound(hop2))
+    flagged = materialize(flag(hop2, blacklist, max_broadcast_rows), name="flagged")
     ratio = blacklist_ratio(flagged, seeds)
     return {"hop2_flagged": flagged, "blacklist_ratio": ratio,
             "blacklist_percent": with_percent(ratio).select("seed_id", "percent")}
@@ -166,11 +181,17 @@ SINGLE_FILE = {"seed_report", "recent_summary", "blacklist_ratio", "blacklist_pe
 
 
 def write_all(outputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-              mode: str = "errorifexists") -> dict[str, str]:
+              mode: str = "errorifexists", seeds: DataFrame | None = None) -> dict[str, str]:
+    """Write all outputs. In mode 'missing' they share an attempt, and ``seeds``
+    (pending ones) are complete in an output when it is written, with or without rows."""
     paths = {}
+    attempt = uuid.uuid4().hex
     for name, df in outputs.items():
         path = f"{out_dir.rstrip('/')}/{name}"
         keys = LAYOUT.get(name) or (("seed_id",) if "seed_id" in df.columns else None)
-        write_table(df, path, fmt, mode, LAYOUT.get(name), single_file=name in SINGLE_FILE, keys=keys)
+        by_seed = mode == "missing" and seeds is not None and "seed_id" in df.columns
+        write_table(df, path, fmt, mode, LAYOUT.get(name), single_file=name in SINGLE_FILE,
+                    keys=("seed_id",) if by_seed else keys,
+                    done=pending_keys(seeds, path, ("seed_id",)) if by_seed else None, attempt=attempt)
         paths[name] = path
     return paths

@@ -6,11 +6,13 @@
   ``shuffle_join`` joins by shuffling: AQE's skew-join split handles a hot key,
   or, when that rule is off, an explicit deterministic salt.
 * ``materialize`` — cut lineage in the shared folder named by
-  ``spark.checkpoint.dir``: a reliable ``checkpoint()`` for frames with a
-  proven small bound, otherwise a Parquet table written once and read back
+  ``spark.checkpoint.dir``: a Parquet table written once and read back
   (``checkpoint()`` would run the frame's last stage twice: once for the
-  action and once more to write the files). Either way the data survives
-  executor loss and later stages do not recompute earlier hops.
+  action and once more to write the files). The data survives executor loss
+  and later stages do not recompute earlier hops.
+* ``sieved`` — rows whose key cannot match are stopped by a bit table of bounded
+  size before a shuffle join, so the ledger rows that enter its exchange are
+  close to those that match.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hoplens.plans.stages import active_store
 from hoplens.session import checkpoint_dir
 
 # Broadcast limit in rows for id-sized sides: up to three account strings of
@@ -60,8 +63,24 @@ def aqe_splits_skew(spark) -> bool:
     return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
 
 
+# Longs in the bit table of ``sieved``: 64 million bits, some 50 MB in a task at most.
+CELLS = 1 << 20
+
+
+def sieved(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """``big`` without most of the rows whose key does not occur in ``small``;
+    none that occurs is lost. One bit for each hash of a key, in a table of at
+    most CELLS longs whatever the input, which is broadcast; n keys let about n
+    in 64 * CELLS other rows pass."""
+    spot = F.pmod(F.xxhash64(*on), F.lit(64 * CELLS))
+    cell, bit = F.shiftright(spot, 6).alias("_cell"), F.pmod(spot, F.lit(64)).cast("int").alias("_bit")
+    bits = small.select(cell, bit).groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return (big.select("*", cell, bit).join(F.broadcast(bits), "_cell")
+            .where(F.getbit("_bits", "_bit") == 1).select(*big.columns))
+
+
 def shuffle_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                 spread: tuple[str, ...] = (), salts: int = DEFAULT_SALTS) -> DataFrame:
+                 spread: tuple[str, ...] = (), salts: int = DEFAULT_SALTS, sieve: bool = True) -> DataFrame:
     """Shuffle join where one key of ``big`` may hold a large share of its rows.
 
     With AQE's skew-join rule on, a plain join: AQE splits an oversized
@@ -72,7 +91,10 @@ def shuffle_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     and each ``small`` row is replicated once per salt, so a hot key is spread
     over ``salts`` tasks. Every ``big`` row meets each matching ``small`` row
     exactly once, so inner, left-outer and left-semi results are unchanged.
+    Inner and semi joins sieve ``big`` first, unless nearly all of it matches.
     """
+    if sieve and how in ("inner", "left_semi"):
+        big = sieved(big, small, on)
     if not spread or aqe_splits_skew(big.sparkSession):
         return big.join(small, on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread], F.spark_partition_id()), F.lit(salts))
@@ -81,26 +103,25 @@ def shuffle_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return salted.join(copies, list(on) + ["_salt"], how).drop("_salt")
 
 
-# Frames proven to hold at most this many rows are cut with ``checkpoint()``.
-SMALL_ROWS = 1_000_000
-
+def stage_path(spark, name: str) -> str:
+    """A new path for a stage that writes itself: in the job's store, if any."""
+    store = active_store()
+    if store is not None:
+        return store.path(name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/hoplens-{name}-{uuid.uuid4().hex}"
 
-def materialize(df: DataFrame, enabled: bool = True, name: str = "stage",
-                bound: int | None = None) -> DataFrame:
-    """Cut lineage in the session's checkpoint folder (never a local checkpoint).
 
-    With a proven row ``bound`` up to ``SMALL_ROWS`` (e.g. a capped frontier)
-    the frame is ``checkpoint()``-ed: lowest fixed cost, and re-running its
-    last stage from shuffle files to write the checkpoint is negligible.
-    Otherwise it is written once as a Parquet table and read back: computed
-    once, columnar, with real file sizes for the planner.
-    """
+def materialize(df: DataFrame, enabled: bool = True, name: str = "stage") -> DataFrame:
+    """Cut lineage in the shared folder (never a local checkpoint): the frame is
+    written once as a Parquet table and read back, so it is computed once, is
+    columnar and has real file sizes for the planner. Inside a ``StageStore``
+    the table belongs to the job's stages."""
     if not enabled:
         return df
+    store = active_store()
+    if store is not None:
+        return store.table(df, name)
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if bound is not None and bound <= SMALL_ROWS:
-        return df.checkpoint(eager=True)
-    path = f"{folder.rstrip('/')}/hoplens-{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no inference job

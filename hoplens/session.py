@@ -4,13 +4,11 @@ The library never builds a session behind the caller's back; these helpers
 are for scripts, tests and the benchmark. ``checkpoint_dir`` is the one
 function the operators call: it reads ``spark.checkpoint.dir`` from the
 session and only invents a folder when the setting is absent on a local
-master (tests), never on a cluster.
+master (in the warehouse folder, as in tests), never on a cluster.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces small
@@ -48,12 +46,11 @@ def _local_master(spark: SparkSession) -> bool:
         return str(spark.conf.get("spark.master", "")).startswith("local")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """This application's folder for lineage cuts, under ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS,
-    object store); a machine-local temporary folder is only created for a local
-    master where the setting is absent, as in tests.
+    On a cluster it must be set (HDFS, object store). For a local master where
+    it is absent, as in tests, it is a folder of the session's warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -64,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not root:
         try:
             root = spark.sparkContext.getCheckpointDir()  # set by the caller
+            if root and "/hoplens-" in root:  # by checkpoint_dir below
+                root = root[:root.index("/hoplens-" + spark.conf.get("spark.app.id", "app"))]
         except Exception:
             root = None
     if not root:
@@ -71,7 +70,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
                 "(HDFS/object store) so materialised stages survive executor loss")
-        root = tempfile.mkdtemp(prefix="hoplens-ckpt-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/hoplens-checkpoints"
+    return root
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This application's folder for lineage cuts, in the shared folder."""
+    root = shared_root(spark)
     app = spark.conf.get("spark.app.id", "app")
     folder = f"{root.rstrip('/')}/hoplens-{app}"
     try:

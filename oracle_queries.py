@@ -116,7 +116,7 @@ recent AS (
     GROUP BY seed_id) x ON x.seed_id = s.seed_id)"""
 
 _HASH = ("CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(g.\"timestamp\" AS VARCHAR), "
-         "g.\"from\", g.\"to\")), 1, 8) AS BIGINT) / 4294967296.0").format(seed=SAMPLE_SEED)
+         "g.\"from\", g.\"to\", CAST(g.copy AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0").format(seed=SAMPLE_SEED)
 
 EXPLORE = f"""
 gseeds AS (SELECT * FROM seeds WHERE seed_id IN (SELECT seed_id FROM gated)),
@@ -131,7 +131,8 @@ star_rows AS (
   FROM gseeds s JOIN graph g ON g."from" = s.seed_id WHERE s.seed_no = 2
   UNION ALL
   SELECT s.seed_id, g."timestamp", g."from", g."to", 1
-  FROM gseeds s JOIN graph g ON g."from" = s.seed_id
+  FROM gseeds s JOIN (SELECT *, row_number() OVER (PARTITION BY "timestamp", "from", "to") - 1 AS copy FROM graph) g
+    ON g."from" = s.seed_id
   WHERE s.seed_no = 3 AND {_HASH} < {SAMPLE_FRACTION}),
 n1 AS (SELECT DISTINCT s.seed_id, g."to" AS id FROM gseeds s JOIN graph g ON g."from" = s.seed_id
        WHERE g."to" IS NOT NULL),
@@ -280,6 +281,30 @@ JOIN label_set ls ON ls.id = c.id
 WHERE c.component = {COMPONENT} AND c.id IN (SELECT id FROM vertices)""",
 }
 
+SQL["account_transactions_typed"] = _with(BASE) + """
+SELECT s.seed_id, l."timestamp", l."from", l."to", l.value,
+       CAST(make_timestamp(l."timestamp" * 1000000) AS TIMESTAMP) AS at
+FROM seeds s JOIN ledger l ON l."from" = s.seed_id OR l."to" = s.seed_id
+UNION ALL
+SELECT s.seed_id, l."timestamp", l."from", l."to", l.value, CAST(make_timestamp(l."timestamp" * 1000000) AS TIMESTAMP)
+FROM seeds s JOIN ledger l ON l."from" = s.seed_id AND l."to" = s.seed_id"""
+SQL["account_time_of_day"] = _with(BASE) + """
+SELECT seed_id, strftime(epoch_ms(ts * 1000), '%H:%M:%S') AS time_of_day, count(*) AS count FROM (
+  SELECT s.seed_id, l."timestamp" AS ts FROM seeds s JOIN ledger l ON l."from" = s.seed_id
+  UNION ALL SELECT s.seed_id, l."timestamp" FROM seeds s JOIN ledger l ON l."to" = s.seed_id)
+GROUP BY ALL"""
+SQL["account_daily_exact"] = (
+    "SELECT seed_id, direction, date, round(total_amount, 2) AS total_amount, count, yesterday_count, growth "
+    f"FROM ({SQL['account_daily']})")
+SQL["ledger_csv"] = SQL["ledger_clean"]
+SQL["accounts_csv"] = _with(BASE) + "SELECT DISTINCT id FROM blacklist"
+SQL["ledger_month"] = _with(BASE) + f"""
+SELECT * FROM ledger_raw WHERE "timestamp" >= {RECENT[0]} AND "timestamp" < {RECENT[1]}"""
+SQL["hub_sample"] = _with(BASE) + f"""
+SELECT "from", count(*) AS rows FROM (
+  SELECT g.* FROM (SELECT *, row_number() OVER (PARTITION BY "timestamp", "from", "to", value) - 1 AS copy FROM graph) g
+  WHERE {_HASH} < {SAMPLE_FRACTION}) GROUP BY "from\""""
+
 SQL["blacklist_percent"] = f"""
 SELECT seed_id, CASE WHEN ratio IS NOT NULL THEN printf('%.2f%%', ratio * 100) END AS percent
 FROM ({SQL["blacklist_ratio"]})"""
