@@ -65,6 +65,14 @@ fax {phone|(020) 7946-0958} on weekdays
 mobile {phone|555-010-9987} please
 tel {phone|415-555-2671} any time
 call {phone|(800) 555-0199} free
+reach {phone|+1 (415) 555-0123} {ip|10.1.2.3} at night
+from {phone|+1 (646) 555-0111} {ip|192.168.7.9} since noon
+my number is {phone|+1 (312) 555-0188} thanks
+line {phone|+44 (20) 7946-0991} {ip|172.16.4.5} shared
+caller {phone|+1 (917) 555-0163} was put through
+the node {ip|2001:db8::ab00:12:7711} went down
+gateway {ip|2001:db8::1f00:99:8a} replied
+ring {phone|0049-89-7654321} after work
 in 2019 there were 45 people
 the price is 19.99 today
 version 2.4.1 was released
@@ -160,7 +168,7 @@ def shape(word: str) -> str:
     """Letters as X or x, digits as d, other characters as they are; runs are
     cut to one, a run of digits keeps its length up to 9."""
     out, i, n = [], 0, len(word)
-    while i < n and len(out) < 24:
+    while i < n:
         c = word[i]
         kind = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         j = i + 1
@@ -185,7 +193,7 @@ def word_features(words: list[str], i: int) -> list[str]:
            f"at={'@' in w}", f"spelled={bool(_SPELLED.search(w))}",
            f"p={shape(before)}", f"q={shape(after)}"]
     if before.isalpha() or before == "^":
-        out.append(f"b={before[:12]}")
+        out.append(f"b={before}")
     return out
 
 
@@ -375,19 +383,26 @@ def hinted(text: str) -> Iterator[tuple[int, int, int, int, int]]:
         yield first if prev is None else prev, int(prev is not None), first, n, end
 
 
-def _piece(chain: Chain, text: str, at: int, shift: int, n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+#: What a state loses where a word cannot have it.
+_NEVER = 1e6
+
+
+def _piece(chain: Chain, text: str, at: int, shift: int, n: int, hit) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Emissions and places of ``n`` words; the word at ``at`` is the first of
-    them (shift 0) or the one before it (shift 1)."""
+    them (shift 0) or the one before it (shift 1). Words that a known span
+    covers are decoded as no part of another one."""
     words = []
     for m in _WORD.finditer(text, at):
         words.append(m)
         if len(words) == shift + n + 1:  # and the word after
             break
     emit = chain.emissions([m[0] for m in words], shift, shift + n)
-    return emit, [m.span() for m in words[shift:shift + n]]
+    places = [m.span() for m in words[shift:shift + n]]
+    emit[[j for j, (s, e) in enumerate(places) if hit(s, e)], 1:] -= _NEVER
+    return emit, places
 
 
-def decoded(chain: Chain, text: str, at: int, shift: int, n: int, piece: int):
+def decoded(chain: Chain, text: str, at: int, shift: int, n: int, piece: int, hit=lambda s, e: False):
     """Best states and their posteriors of one long run, in pieces. Forward, the
     scores of the last word go from piece to piece and one row a piece is kept;
     backward, a piece is scored again from its row. All scores are those of the
@@ -397,7 +412,7 @@ def decoded(chain: Chain, text: str, at: int, shift: int, n: int, piece: int):
     for lo in range(0, n, piece):
         hi = min(lo + piece, n)
         cuts.append((lo, hi, at, shift, best, fwd))
-        emit, places = _piece(chain, text, at, shift, hi - lo)
+        emit, places = _piece(chain, text, at, shift, hi - lo, hit)
         for t in range(hi - lo):
             best = emit[t] + (trans[-1] if best is None else (best[:, None] + trans[:-1]).max(0))
         fwd = forward(emit[None], trans, fwd)[:, -1].copy()
@@ -406,7 +421,7 @@ def decoded(chain: Chain, text: str, at: int, shift: int, n: int, piece: int):
     path, chance = np.zeros(n, np.int8), np.zeros(n)
     state, after = int(best.argmax()), None
     for lo, hi, at, shift, best, fwd in reversed(cuts):
-        emit, _ = _piece(chain, text, at, shift, hi - lo)
+        emit, _ = _piece(chain, text, at, shift, hi - lo, hit)
         back = np.zeros(emit.shape, np.int8)
         for t in range(hi - lo):
             if best is None:
@@ -486,11 +501,11 @@ def added_spans(texts: list[str], known: list[list[tuple[str, int, int]]], chain
             continue
         for at, shift, first, n, end in hinted(text):
             if n > piece:
-                path, chance = decoded(chain, text, at, shift, n, piece)
+                path, chance = decoded(chain, text, at, shift, n, piece, hits[i])
                 places = (m.span() for m in _WORD.finditer(text, first, end))
                 out[i] += state_spans(text, places, path, chance, hits[i], sure)
                 continue
-            emit, places = _piece(chain, text, at, shift, n)
+            emit, places = _piece(chain, text, at, shift, n, hits[i])
             packs.setdefault(n, []).append((i, places, emit))
             held += n
             if held >= TOGETHER:
