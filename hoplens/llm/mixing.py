@@ -31,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
 #: Documents of a source that one task decides on at once.
 BLOCK = 4096
+#: Documents of a source that the last flight leaves to the landing; it tries all their subsets.
+LANDING = 14
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -93,8 +95,8 @@ def mix_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = MAX_REPEATS) ->
                                              F.lit(cap) * F.col("source_size")))
 
 
-def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move ``pi`` until at most two entries are strictly between 0 and 1.
+def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move ``pi`` until at most ``leave`` (two or more) entries are strictly between 0 and 1.
 
     Of three undecided documents there is a direction u that keeps both sums,
     sum(u) = 0 and sum(u * size) = 0: the cross product of the constraint
@@ -109,7 +111,7 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     draws = rng.random(len(todo) + 1)
     p, s = pi.tolist(), size.tolist()
     hand, at, step = todo[:3], 3, 0
-    while len(hand) == 3:
+    while len(hand) == 3 and len(hand) + len(todo) - at > leave:
         a, b, c = hand
         u = (float(s[c] - s[b]), float(s[a] - s[c]), float(s[b] - s[a]))
         if u == (0.0, 0.0, 0.0):
@@ -136,15 +138,17 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last fractions so that the words stay nearest their expectation."""
+    """Land the problem that the flight left: of all subsets of the undecided
+    documents that whose words are nearest their expectation, then that whose
+    number is, then the first."""
     out = pi.copy()
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
-    assert len(open_) <= 2, f"{len(open_)} documents are undecided after the flight"
+    assert len(open_) <= LANDING, f"{len(open_)} documents are undecided after the flight"
     if len(open_):
-        want = float((pi[open_] * size[open_]).sum())
-        best = min(range(1 << len(open_)), key=lambda m: (abs(sum(
-            size[i] for k, i in enumerate(open_) if m >> k & 1) - want), m))
-        out[open_] = [best >> k & 1 for k in range(len(open_))]
+        taken = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        words = np.abs(taken @ size[open_] - (pi[open_] * size[open_]).sum())
+        number = np.abs(taken.sum(1) - pi[open_].sum())
+        out[open_] = taken[np.lexsort((number.round(9), words.round(6)))[0]]
     return out
 
 
@@ -156,7 +160,7 @@ def decision(seed: int, level: int, last: bool, keep: list[str]):
         salt = [ord(c) for c in key[0]] if key[0] is not None else [1 << 24]
         rng = np.random.default_rng([seed, level, int(key[1]), *salt])
         size = pdf["size"].to_numpy(np.float64)
-        pi = flight(pdf["pi"].to_numpy(np.float64), size, rng)
+        pi = flight(pdf["pi"].to_numpy(np.float64), size, rng, LANDING if last else 2)
         pdf["pi"] = land(pi, size) if last else pi
         return pdf[keep]
 

@@ -213,7 +213,7 @@ def test_flight_leaves_at_most_two_undecided(pi):
     assert not ((landed := mixing.land(out, size)) % 1).any()
     assert abs((landed * size).sum() - pi * size.sum()) <= size.max()
     with pytest.raises(AssertionError):
-        mixing.land(np.full(3, 0.5), np.ones(3))
+        mixing.land(np.full(mixing.LANDING + 1, 0.5), np.ones(mixing.LANDING + 1))
 
 
 def test_mix_of_a_source_wanted_almost_whole(spark):
@@ -489,3 +489,36 @@ def test_packing_repeated_pieces(spark):
     for (_, capacity), held in fill.items():
         ends = [s + n for s, n in sorted(held)]
         assert [s for s, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= capacity
+
+
+@pytest.mark.parametrize("docs", [5, 8, 11, 15])
+def test_landing_is_near_the_best_subset(spark, docs):
+    """The miss of a source of few documents against all its subsets."""
+    rng = np.random.default_rng(docs)
+    rows = [(1000 * s + i, "w " * int(rng.choice([3, 20, 150, 700]) + rng.integers(50)), "en", f"s{s}")
+            for s in range(6) for i in range(docs)]
+    out = mixing.cube_mix(docs_of(spark, rows)).collect()
+    for s in {r.source for r in out}:
+        mine = [r for r in out if r.source == s]
+        target, size = mine[0].target, np.array([r.size for r in mine])
+        share = target / size.sum()
+        sure, rest = int(share), np.arange(1 << docs)
+        best = np.abs((((rest[:, None] >> np.arange(docs)) & 1) @ size) + sure * size.sum() - target).min()
+        assert abs(sum(r.taken for r in mine) - target) <= best + (0 if docs <= mixing.LANDING else size.min() + 2)
+
+
+def test_the_field_adds_what_the_rules_miss(spark):
+    """Spans beside base spans, at query level: counts, digest and all spans."""
+    rows = [(1, "call +1 (826) 555-4081 190.137.223.204 now"), (2, "write to john(at)mail.example.com now"),
+            (3, "host 2001:db8::ff00:42:8329 is"), (4, "mail a.b@example.org or 10.0.0.1, +49 30 1234567."),
+            (5, "pay 4111 1111 1111 1111 or 4111.1111.1111.1111"), (6, "in 2019 there were 45 people"), (7, None)]
+    out = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    kinds = ("email", "ip", "card", "phone")
+    base = {1: [("ip", 23, 38)], 2: [], 3: [], 4: [("email", 5, 20), ("ip", 24, 32), ("phone", 34, 48)],
+            5: [("card", 4, 23)], 6: [], 7: []}
+    added = {1: [("phone", 5, 22)], 2: [("email", 9, 33)], 3: [("ip", 5, 27)], 4: [], 5: [("card", 27, 46)], 6: [], 7: []}
+    say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (kinds.index(x[0]), *x[1:])))
+    for i, r in out.items():
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base[i]) for k in kinds]
+        assert r.base_sha256 == hashlib.sha256(say(base[i]).encode()).hexdigest()
+        assert (r.spans, r.n_added) == (say(base[i] + added[i]), len(added[i]))
