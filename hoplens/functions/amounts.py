@@ -36,10 +36,11 @@ def exact_sum(df: DataFrame, keys: Sequence[str], value: str = "value", total: s
     the same bits for any order and partitioning.
 
     A value is v = (hi + lo / 2**54) * 2**(32 k) with integers hi and lo, which
-    loses nothing; hi and lo are added as decimals for each k (up to 10**20 rows),
-    and the few sums of a group are put together from the largest k down. Nulls
-    are left out of the sum (null where no value is left) but counted as rows; a
-    NaN or infinities of both signs give NaN, infinities of one sign that one.
+    loses nothing; they are added as decimals for each k (up to 10**11 rows of a
+    group). The few sums of a group are carried into digits of base 2**32, from
+    -2**31 to 2**31, and read from the highest down. Nulls are left out of the
+    sum (null where no value is left) but counted as rows; a NaN or infinities of
+    both signs give NaN, infinities of one sign that one.
     """
     v = F.col(value).cast("double")
     size = F.abs(v)
@@ -47,20 +48,25 @@ def exact_sum(df: DataFrame, keys: Sequence[str], value: str = "value", total: s
     k = F.when(plain & (size > 0), F.floor(F.floor(F.log2(size)) / 32)).otherwise(0).cast("int")
     # two steps, as 2 ** 1024 is no double; both only move the exponent
     near = v * F.pow(F.lit(2.0), -16 * F.col("_k")) * F.pow(F.lit(2.0), -16 * F.col("_k"))
-    hi = F.when(plain, F.floor(near)).cast("long")
-    limbs = (df.select(*keys, v.alias(value), k.alias("_k")).withColumn("_hi", hi)
+    limbs = (df.select(*keys, v.alias(value), k.alias("_k")).withColumn("_hi", F.when(plain, near).cast("long"))
              .withColumn("_lo", F.when(plain, ((near - F.col("_hi")) * 2.0 ** 54)).cast("long")))
-    whole = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    whole = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
     each = limbs.groupBy(*keys, "_k").agg(
         whole("_hi").alias("hi"), whole("_lo").alias("lo"), F.count(value).alias("values"), F.count(F.lit(1)).alias("rows"),
         F.max(F.isnan(v)).alias("nan"), F.max(v == float("inf")).alias("up"), F.max(v == float("-inf")).alias("down"))
-    power = lambda x: F.pow(F.lit(2.0), 16 * x["_k"])
-    highs = F.transform("parts", lambda x: x["hi"].cast("double") * power(x) * power(x))
-    lows = F.transform("parts", lambda x: x["lo"].cast("double") / 2.0 ** 54 * power(x) * power(x))
-    added = F.aggregate(F.concat(highs, lows), F.lit(0.0), lambda a, x: a + x)
+    each = each.withColumn("t", F.expr("cast(hi * 18014398509481984 + lo as decimal(38,0))"))  # units of 2 ** (32 k - 54)
     out = each.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_k", "hi", "lo")), asc=False).alias("parts"), F.sum("values").alias("values"),
-        F.sum("rows").alias(count), *[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("nan", "up", "down")])
+        F.map_from_entries(F.collect_list(F.struct("_k", "t"))).alias("parts"), F.min("_k").alias("low"), F.max("_k").alias("high"),
+        F.sum("values").alias("values"), F.sum("rows").alias(count),
+        *[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("nan", "up", "down")])
+    digits = F.expr("""aggregate(sequence(low, high + 4),
+        named_struct('c', cast(0 as decimal(38,0)), 'out', cast(array() as array<double>)),
+        (s, k) -> transform(array(cast(s.c + coalesce(parts[k], 0) as decimal(38,0))), t -> named_struct(
+            'c', cast(round(t / 4294967296) as decimal(38,0)),
+            'out', concat(s.out, array(cast(t - cast(round(t / 4294967296) as decimal(38,0)) * 4294967296 as double)
+                / 18014398509481984D * pow(2D, 16 * k) * pow(2D, 16 * k)))))[0],
+        s -> reverse(s.out))""")
+    added = F.aggregate(digits, F.lit(0.0), lambda a, x: a + x)
     nan = F.col("nan") | (F.col("up") & F.col("down"))
     return out.select(*keys, F.when(F.col("values") == 0, F.lit(None)).when(nan, float("nan"))
                       .when(F.col("up"), float("inf")).when(F.col("down"), float("-inf"))

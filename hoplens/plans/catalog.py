@@ -185,9 +185,9 @@ def q_accounts_csv(spark, d):
 
 
 def q_ledger_month(spark, d):
-    # one month of the raw ledger laid out by days
+    # one month of the year's ledger, which is laid out by days
     path = fx._stored_path(spark, d, "ledger-days", lambda path: clean.write_daily_ledger(
-        fx.ledger_raw(spark, d), path, mode="overwrite"))
+        _graph(spark, d), path, mode="overwrite"))
     return clean.read_daily_ledger(spark, path, fx.RECENT_START, fx.RECENT_END)
 
 
