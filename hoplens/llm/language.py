@@ -32,12 +32,16 @@ BUCKETS, SMOOTH = 1 << 14, 0.5
 TEMPER, MAX_EVIDENCE = 0.25, 40.0
 #: Pages' worth of the level above in a prior, and of an even split in a declaration.
 STRENGTH, DECLARED = 5.0, 2.0
-#: More languages than this are refused (the model is languages x BUCKETS).
-MAX_LANGUAGES = 512
+#: Classes of the model (it is classes x BUCKETS): the languages with the most
+#: text; where there are more, the rest is one class, REST.
+MAX_LANGUAGES, REST = 512, "und"
 
-_DROP = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^<>]*>")
+_ELEMENT = re.compile(r"(?i)<(script|style)\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
 _LANG = re.compile(r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
-_META = re.compile(r"""(?is)<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*["']?\s*([a-z]{2,3})""")
+_META = re.compile(r"(?i)<meta\b[^<>]*")
+_NAMED = re.compile(r"(?i)content-language")
+_CONTENT = re.compile(r"""(?i)content\s*=\s*["']?\s*([a-z]{2,3})""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -59,10 +63,16 @@ def language_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offs = utf8(b.column(1))
             for lang, text in zip(b.column(0).to_pylist(), range(len(offs) - 1)):
+                if lang not in sums and len(sums) >= MAX_LANGUAGES:
+                    yield from counted(sums)
+                    sums.clear()
                 have = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 lo, hi = offs[text], offs[text + 1]
                 for at in range(lo, max(lo, hi - 2), PIECE):
                     have += np.bincount(trigrams(data[at:min(hi, at + PIECE + 2)]), minlength=BUCKETS)
+        yield from counted(sums)
+
+    def counted(sums):
         for lang, have in sums.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays(
@@ -76,11 +86,17 @@ def language_counts(docs: DataFrame) -> DataFrame:
 
 def language_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and log probabilities [language, bucket]; its size is
-    bounded by MAX_LANGUAGES x BUCKETS."""
+    bounded by MAX_LANGUAGES x BUCKETS. With more languages than that those with
+    the least text are one class, REST."""
     counts = stage(language_counts(docs), "trigrams")
-    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
+            .limit(MAX_LANGUAGES + 1).collect()]
+    if len(most) > MAX_LANGUAGES:
+        most = most[:MAX_LANGUAGES - 1]
+        counts = (counts.withColumn("lang", F.when(F.col("lang").isin(most), F.col("lang")).otherwise(REST))
+                  .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+        most.append(REST)
+    langs = sorted(set(most))
     table = np.zeros((len(langs), BUCKETS))
     got = counts.toPandas()
     at = {lang: i for i, lang in enumerate(langs)}
@@ -90,7 +106,38 @@ def language_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def page_text(html: str) -> str:
-    return _DROP.sub(" ", html)
+    """The page without markup, each piece of it a space: script and style
+    elements up to their end tag, comments, tags. One pass, whatever is left
+    open: a closing mark that was not found once is not looked for again."""
+    out, at, end = [], 0, -1
+    open_ = {"script", "style", "--"}
+    while True:
+        i = html.find("<", at)
+        if end < i:
+            end = html.find(">", i)
+        if i < 0 or end < 0:  # no markup can follow
+            out.append(html[at:])
+            return "".join(out)
+        to, m = -1, _ELEMENT.match(html, i)
+        if m and m[1].lower() in open_:
+            close = _CLOSE[m[1].lower()].search(html, end + 1)
+            to = close.end() if close else -1
+            if not close:
+                open_.discard(m[1].lower())
+        elif "--" in open_ and html.startswith("<!--", i):
+            j = html.find("-->", i + 4)
+            to = j + 3 if j >= 0 else -1
+            if j < 0:
+                open_.discard("--")
+        if to < 0:
+            after = html.find("<", i + 1, end)
+            if after >= 0:  # no tag, as another one begins before it ends
+                out.append(html[at:after])
+                at = after
+                continue
+            to = end + 1
+        out += [html[at:i], " "]
+        at = to
 
 
 def address(url: str | None) -> tuple[str, str, str]:
@@ -102,8 +149,15 @@ def address(url: str | None) -> tuple[str, str, str]:
 
 
 def declared_language(html: str) -> str:
-    m = _LANG.search(html) or _META.search(html)
-    return m[1].lower() if m else ""
+    m = _LANG.search(html)
+    if m:
+        return m[1].lower()
+    for tag in _META.finditer(html):
+        name = _NAMED.search(tag[0])
+        m = name and _CONTENT.search(tag[0], name.end())
+        if m:
+            return m[1].lower()
+    return ""
 
 
 def text_evidence(text: str, model: np.ndarray) -> np.ndarray:

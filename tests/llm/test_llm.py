@@ -522,3 +522,59 @@ def test_the_field_adds_what_the_rules_miss(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base[i]) for k in kinds]
         assert r.base_sha256 == hashlib.sha256(say(base[i]).encode()).hexdigest()
         assert (r.spans, r.n_added) == (say(base[i] + added[i]), len(added[i]))
+
+
+def test_page_text_in_linear_time():
+    import random
+    import re
+    import time
+    plain = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^<>]*>")
+    draw = random.Random(3)
+    bits = ["<", ">", "<script>", "</script >", "<STYLE a=1>", "</style>", "<!--", "-->", "a", " b", "<p>", "<scripty>", "\n"]
+    for _ in range(3000):
+        html = "".join(draw.choice(bits) for _ in range(draw.randrange(14)))
+        assert language.page_text(html) == plain.sub(" ", html), html
+    begin = time.time()
+    for bit in ("<script>", "<!--", "<", "<script ", "<style>a<", "<meta content-language "):
+        language.page_text(bit * (10_000_000 // len(bit)))
+        language.declared_language(bit * (10_000_000 // len(bit)))
+    assert time.time() - begin < 60
+
+
+def test_more_languages_than_classes(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 4)
+    texts = [(i, f"lang{i % 9} " * (40 if i % 9 < 3 else 4), f"l{i % 9}", "s") for i in range(90)]
+    langs, model = language.language_model(docs_of(spark, texts))
+    assert langs == ["l0", "l1", "l2", "und"] and np.allclose(np.exp(model).sum(1), 1)
+
+
+def test_language_posterior_by_brute_force(spark):
+    docs = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de", "s") for i in range(10)]
+    body = ["the dog and a cat", "die katze und der hund", "und the", "", None, "dog dog dog", "hund"]
+    pages = [(i, f"http://h{i % 3}.site{i % 2}.{'de' if i % 2 else 'org'}/x" if i % 5 else None,
+              None if body[i % 7] is None else f"<html lang={'de' if i % 4 == 0 else 'en'}><p>{body[i % 7]}") for i in range(30)]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, logs string, p int")
+    got = {r.page_id: r for r in language.identify_languages(df, docs_of(spark, docs)).collect()}
+    langs, model = language.language_model(docs_of(spark, docs))
+    rows = []
+    for i, url, html in pages:
+        logs = language.text_evidence(language.page_text(html or ""), model)
+        p = np.exp(logs - logs.max())
+        host, domain, suffix = language.address(url)
+        rows.append({"id": i, "logs": logs, "p": p / p.sum(), "host": host, "domain": domain, "suffix": suffix,
+                     "declared": language.declared_language(html or "")})
+    whole = sum(r["p"] for r in rows)
+    level = lambda r, k: sum(x["p"] for x in rows if x[k] == r[k])
+    for r in rows:
+        prior = (whole + 1) / (whole + 1).sum()
+        for k in ("suffix", "domain", "host"):
+            prior = np.maximum(level(r, k) - r["p"], 0) + language.STRENGTH * prior
+            prior = prior / prior.sum()
+        markup = np.log((np.maximum(level(r, "declared") - r["p"], 0) + language.DECLARED / len(langs))
+                        / (whole + language.DECLARED))
+        post = r["logs"] + np.log(prior) + markup
+        top = np.sort(post)[::-1]
+        mine = got[r["id"]]
+        assert mine.confidence == pytest.approx(1 / np.exp(post - post.max()).sum(), abs=2e-6)
+        assert top[0] - top[1] < 1e-6 or mine.lang == langs[int(post.argmax())]
+        assert (mine.host, mine.suffix, mine.declared) == (r["host"], r["suffix"], r["declared"])
