@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,8 +16,9 @@ from hoplens.sources.ledger import CLEAN_LEDGER_SCHEMA  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", app_name="hoplens-tests", shuffle_partitions=8)
-    checkpoint_dir(s)  # from spark.checkpoint.dir, or a fresh local folder
+    s = build_session("local[*]", app_name="hoplens-tests", shuffle_partitions=8,
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="hoplens-tests-")})
+    checkpoint_dir(s)
     yield s
     s.stop()
 
