@@ -34,8 +34,10 @@ from hoplens.llm.common import MIN_LONG, shared_path, stage, with_identity
 
 #: A file is closed when it has this many compressed bytes.
 ROLL_BYTES = 64 << 20
-#: Payload bytes of a shard, about; ids that its bounds are taken from, about.
-SHARD_BYTES, BOUND_IDS = 32 << 20, 20_000
+#: Payload bytes of a shard, about: a SHARDS-th of all, but within these limits.
+SHARDS, SHARD_BYTES = 64, (8 << 20, 512 << 20)
+#: Ids that the shards' bounds are taken from, about.
+BOUND_IDS = 20_000
 #: Payloads of at least this many bytes are written once.
 MIN_REVISIT = 0
 DATE = "2020-01-01T00:00:00Z"
@@ -80,25 +82,43 @@ def member(data: bytes) -> bytes:
 
 
 def _shard_bounds(rows: DataFrame, total: int, n: int, shard_bytes: int) -> np.ndarray:
-    """Ids that cut the pages into ranges of about equal bytes. Bounds come
-    from ids picked by their hash, about BOUND_IDS at any size of the table, so
-    a rerun has the same; they only say where files begin."""
-    shards = max(1, -(-total // shard_bytes))
+    """Ids that cut the pages into ranges of about ``shard_bytes``. Candidates
+    are ids picked by their hash, about BOUND_IDS at any size of the table, so a
+    rerun has the same; the bytes between two candidates are summed by Spark,
+    and a candidate begins a shard where the sum passes the next multiple."""
     every = max(1, n // BOUND_IDS)
-    ids = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k").collect())
-    return np.array(sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else [], np.int64)
+    ids = rows.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k").distinct()
+    ids = np.array(sorted(r[0] for r in ids.collect()), np.int64)
+    if total <= shard_bytes or not len(ids):
+        return np.array([], np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ids, k.to_numpy(np.int64), "right").astype(np.int32))
+
+    held = dict(rows.select(range_of("_k").alias("at"), "_n").groupBy("at").agg(F.sum("_n")).collect())
+    before = np.cumsum([held.get(i, 0) for i in range(len(ids))])  # bytes in front of each candidate
+    shard = before // shard_bytes
+    return ids[np.diff(shard, prepend=0) > 0]
 
 
-def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES,
+def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None,
                min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path`` and
     return the manifest (file, shard, records, bytes), stored under
-    ``path``/manifest. The same pages give the same files.
+    ``path``/manifest. The same pages give the same files. ``shard_bytes`` is by
+    default a SHARDS-th of the payloads within the limits of SHARD_BYTES. A path
+    that has a manifest is refused before any work; temporary files, those of
+    earlier failed runs included, are gone at the end, so one run writes a path.
 
     Null html is an empty payload, a null url the target urn:none, a null
     page_id the page "null", smaller than all others. Repeated page ids are
     pages of their own. An empty table gives an empty manifest and no file.
     """
+    path = path.rstrip("/")
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(f"{root}/manifest/_SUCCESS").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} holds an archive")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = with_identity(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                                       html.alias("html")), "page_id", "html", "url")
@@ -110,7 +130,8 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
                 .where((F.col("_first._k") != F.col("_k")) | (F.col("_first._dup") != F.col("_dup")))
                 .select("_k", "_dup", F.col("_first._k").alias("_rk"), F.col("_first._dup").alias("_rdup")))
     total, n = slim.agg(F.sum("_n"), F.count("*")).first()
-    bounds = _shard_bounds(slim, total or 0, n, shard_bytes)
+    total = total or 0
+    bounds = _shard_bounds(slim, total, n, shard_bytes or min(max(total // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1]))
 
     @F.pandas_udf("int")
     def shard_of(k: pd.Series) -> pd.Series:
@@ -123,7 +144,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
                     "url", "html"))
     dealt = (both.withColumn("_shard", shard_of("_k")).repartitionById(len(bounds) + 1, F.col("_shard"))
              .sortWithinPartitions("_shard", "_k", "_dup", "_kind"))
-    work = f"{path.rstrip('/')}/_temporary"
+    work = f"{path}/_temporary"
 
     def write(batches):
         store, root = fs.FileSystem.from_uri(work)
@@ -179,8 +200,11 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
                     raise FileNotFoundError(final)
             yield pdf[["file", "shard", "records", "bytes"]]
 
-    manifest = f"{path.rstrip('/')}/manifest"
-    written.mapInPandas(commit, "file string, shard int, records long, bytes long").write.parquet(manifest)
+    manifest = f"{path}/manifest"
+    # a manifest without its mark is that of a run that failed
+    written.mapInPandas(commit, "file string, shard int, records long, bytes long").write.mode("overwrite").parquet(manifest)
+    if store.get_file_info(f"{root}/_temporary").type != fs.FileType.NotFound:
+        store.delete_dir(f"{root}/_temporary")
     return pages.sparkSession.read.parquet(manifest)
 
 
