@@ -15,16 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from hoplens.llm.common import SPACES, small, utf8, word_bounds, word_hashes
+from hoplens.llm.common import SPACES, small, stage, utf8, word_bounds, word_hashes
 
 #: Hashed words; bins of each statistic; rank of the pairwise part.
 WORDS, BINS, RANK = 1 << 16, 16, 8
 #: Labelled documents that the model is fitted on, at most (by hash of the id).
 MAX_TRAIN = 8000
+#: Bytes of their features, about, that the fit reads.
+TRAIN_BYTES = 256 << 20
 #: A score from here on predicts label 1.
 CUT = 0.3
 #: Passes over the sample (more over a small one, to STEPS batches), and the step size.
@@ -174,11 +176,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 0) -> FactorisationMachine:
-    """Fit on at most ``max_train`` labelled documents outside the held-out
-    fifth: those with the smallest hash of the id. A document with several
-    labels has the smallest; one without a 0 or 1 is not used. With labels of
-    one class only, every score is the smoothed share of label 1."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
+                  train_bytes: int = TRAIN_BYTES) -> list:
+    """Features of the documents that ``train`` reads: one row per id, of
+    repeated ids the least (n_chars, features), in order of the id's hash as far
+    as ``train_bytes`` (the row that passes it is the last)."""
     known = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y"))
              .where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
              .groupBy("_id").agg(F.min("_y").alias("_y"))
@@ -198,7 +200,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
                  pa.array([r.tobytes() for r in stats], pa.binary())],
                 names=["_id", "_y", "bucket", "value", "stats"])
 
-    got = rows.mapInArrow(sparse, "_id long, _y int, bucket binary, value binary, stats binary").collect()
+    names = ["stats", "bucket", "value"]
+    # texts of a repeated id become features where they lie; the least of them is found with partial aggregates
+    got = (rows.mapInArrow(sparse, "_id long, _y int, bucket binary, value binary, stats binary")
+           .groupBy("_id", "_y").agg(F.min(F.struct(*names)).alias("least")))
+    got = stage(got.select("_id", "_y", "least.*"), "training")
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    size = sum(F.octet_length(c) for c in names)
+    within = (got.select("_id", F.coalesce(F.sum(size).over(order), F.lit(0)).alias("before"))  # max_train narrow rows
+              .where(F.col("before") < train_bytes).select("_id"))
+    return got.join(F.broadcast(within), "_id").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 0) -> FactorisationMachine:
+    """Fit on at most ``max_train`` labelled documents outside the held-out
+    fifth (``training_rows``): those with the smallest hash of the id. A document with several
+    labels has the smallest; one without a 0 or 1 is not used. With labels of
+    one class only, every score is the smoothed share of label 1."""
+    got = training_rows(docs, labels, max_train)
     got.sort(key=lambda r: (r["_id"], bytes(r["bucket"]), bytes(r["stats"])))
     label = np.array([r["_y"] for r in got], float)
     ones = float(label.sum())
