@@ -160,7 +160,9 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -
 
 def block_links(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
     """Pairs of ``left`` and ``right`` in different groups that are similar
-    enough. Entries are (id, group, shingles, weights). For one left document
+    enough, as a spanning forest of the groups: those that an earlier pair has
+    joined are not compared again, so there are fewer pairs than groups. Entries
+    are (id, group, shingles, weights). For one left document
     its shingles are marked, and one pass over all right shingles gives the
     shared weight of every right document: with all weights 1 that is the
     similarity, else a bound of it (no document shares more than the part of
@@ -168,7 +170,9 @@ def block_links(left: list, right: list, threshold: float) -> list[tuple[int, in
     if not left or not right:
         return []
     ids = np.array([r[0] for r in right])
-    groups = np.array([r[1] for r in right])
+    codes = np.unique(np.array([r[1] for r in [*left, *right]]), return_inverse=True)[1]
+    joined = np.arange(len(codes))  # of each group: the group that stands for it
+    groups = codes[len(left):]
     sizes = np.array([len(r[2]) for r in right])
     weights = np.concatenate([r[3] for r in right])
     known, code = np.unique(np.concatenate([r[2] for r in right]), return_inverse=True)
@@ -176,8 +180,14 @@ def block_links(left: list, right: list, threshold: float) -> list[tuple[int, in
     total = np.add.reduceat(weights, starts)
     plain = total == sizes
     out = []
-    for id_, group, own, weight in left:
-        other = (groups != group) & (ids != id_)
+
+    def link(id_, group, r):
+        if joined[groups[r]] != joined[group]:
+            out.append((id_, int(ids[r])))
+            joined[joined == joined[groups[r]]] = joined[group]
+
+    for (id_, _, own, weight), group in zip(left, codes):
+        other = (joined[groups] != joined[group]) & (ids != id_)
         if not other.any():
             continue
         at = np.searchsorted(known, own)
@@ -189,17 +199,20 @@ def block_links(left: list, right: list, threshold: float) -> list[tuple[int, in
         mass = weight.sum()
         if mass == len(own):  # set against sets: exact
             sim = shared / (mass + sizes - shared)
-            out += [(id_, int(x)) for x in ids[other & plain & (sim >= threshold - 1e-9)]]
+            for r in np.flatnonzero(other & plain & (sim >= threshold - 1e-9)):
+                link(id_, group, r)
             other &= ~plain
         reach = np.add.reduceat(mark[code], starts) / mass  # the left document's shared part
         for r in np.flatnonzero(other & (np.minimum(shared / total, reach) >= threshold - 1e-9)):
-            if probability_jaccard(own, weight, right[r][2], right[r][3]) >= threshold - 1e-9:
-                out.append((id_, int(ids[r])))
+            if joined[groups[r]] != joined[group] and \
+                    probability_jaccard(own, weight, right[r][2], right[r][3]) >= threshold - 1e-9:
+                link(id_, group, r)
     return out
 
 
 def verified_blocks(texts: DataFrame, open_: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between members of a bucket that are in different groups.
+    """Links (a, b) between members of a bucket that are in different groups,
+    enough of them to connect the groups of a cell, not all.
 
     ``open_``: band, value, id, group, minor (not in the bucket's largest
     group). Minor members are the rows and all members the columns of a grid of

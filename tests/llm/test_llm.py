@@ -578,3 +578,76 @@ def test_language_posterior_by_brute_force(spark):
         assert mine.confidence == pytest.approx(1 / np.exp(post - post.max()).sum(), abs=2e-6)
         assert top[0] - top[1] < 1e-6 or mine.lang == langs[int(post.argmax())]
         assert (mine.host, mine.suffix, mine.declared) == (r["host"], r["suffix"], r["declared"])
+
+
+def test_warc_shards_are_cut_by_bytes_and_roll_inside(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.bytes(n).hex()
+    rows = [(i, "http://h/", noise(20_000 if i < 20 else 200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    path = f"{tmp_path}/out"
+    manifest = warc.write_warc(df, path, roll_bytes=30_000, shard_bytes=100_000).collect()
+    per = Counter()
+    for r in manifest:
+        per[r["shard"]] += r["records"]
+    assert len(per) >= 8 and per[max(per)] > 100 and per[0] <= 4  # large pages in short shards
+    assert max(Counter(r["shard"] for r in manifest).values()) > 1  # a shard has several files
+    assert sorted(os.listdir(path)) == sorted(["manifest", *(r["file"] for r in manifest)])
+    with pytest.raises(FileExistsError):
+        warc.write_warc(df, path)
+    assert "_temporary" not in os.listdir(path)
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_warc(spark, path).collect()} == {
+        (i, len(h)) for i, _, h in rows}
+
+
+def test_warc_writes_again_after_a_run_without_a_mark(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    path = f"{tmp_path}/out"
+    os.makedirs(f"{path}/_temporary")
+    os.makedirs(f"{path}/manifest")
+    for lost in ("_temporary/lost-000000-00000", "manifest/half.parquet"):
+        with open(f"{path}/{lost}", "wb") as f:
+            f.write(b"half")
+    warc.write_warc(df, path)
+    assert "_temporary" not in os.listdir(path)
+    assert warc.read_warc(spark, path).count() == 20
+
+
+def test_quality_fits_on_one_row_per_id(spark):
+    rows = [(i % 10, f"text {i} of {i % 10} words") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = quality.training_rows(docs_of(spark, rows).repartition(7), labels)
+    ids_ = [r["_id"] for r in got]
+    assert len(ids_) == len(set(ids_)) > 4
+    again = quality.training_rows(docs_of(spark, rows[::-1]).repartition(3), labels)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert len(quality.training_rows(docs_of(spark, rows), labels, train_bytes=1)) == 1
+
+
+def test_block_links_connect_what_all_links_connect():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 10 ** 6, 60)) for _ in range(4)]
+
+    def entry(i):
+        own = base[i % 4].copy()
+        own[rng.choice(len(own), rng.integers(0, 6), replace=False)] = rng.integers(10 ** 6, 10 ** 7)
+        own = np.unique(own)
+        return i, int(i // 2 if i < 20 else i), own, np.where(own % 7 == 0, 2.0 if i % 3 == 0 else 1.0, 1.0)
+
+    rows = [entry(i) for i in range(60)]
+    left, right = rows[:40], rows
+
+    def parts(links):
+        of = {r[0]: r[1] for r in rows}
+        for a, b in links:
+            of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+        groups = {}
+        for k, v in of.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    every = [(a[0], b[0]) for a in left for b in right if a[1] != b[1] and a[0] != b[0]
+             and probminhash.probability_jaccard(a[2], a[3], b[2], b[3]) >= 0.8 - 1e-9]
+    got = probminhash.block_links(left, right, 0.8)
+    assert set(got) <= set(every) and len(got) < len({r[1] for r in rows}) < len(every)
+    assert parts(got) == parts(every)
