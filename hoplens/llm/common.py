@@ -46,15 +46,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def with_identity(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     """Add ``_k`` (the id, null as the smallest long) and ``_dup`` (0, 1, ...
-    among rows that share an id, in order of ``order``). Ids are unique as a
-    rule; one pass over the id column finds out, and only repeated ids pay for
-    a numbering of the rows."""
+    among rows that share an id, in order of a hash of ``order``). Ids are
+    unique as a rule; one pass over the id column finds out, and only rows of
+    repeated ids pay for a numbering: rows are counted by (id, hash), the counts
+    are summed up in ranges of the hash, and only rows that agree in id and hash
+    meet in a task, so an id of any share of the rows is spread by its hashes.
+    Rows that agree in ``order`` are numbered by a hash of all columns; the only
+    ties left are rows without a difference."""
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG))
     out = df.withColumn("_k", k)
-    if out.select("_k").groupBy("_k").count().where("count > 1").isEmpty():
+    repeated = out.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    if repeated.isEmpty():
         return out.withColumn("_dup", F.lit(0))
-    w = Window.partitionBy("_k").orderBy(*[F.col(c) for c in order])
-    return out.withColumn("_dup", F.row_number().over(w) - 1)
+    repeated = stage(repeated, "repeated-ids")
+    hashed = out.withColumn("_h", F.xxhash64(*order))
+    pieces = (sieved(hashed.select("_k", "_h"), repeated, "_k").join(repeated, "_k", "left_semi")
+              .groupBy("_k", "_h").agg(F.count("*").alias("_n")))
+    pieces = stage(pieces.withColumn("_range", F.shiftright("_h", 52)), "identity-counts")
+    before = lambda *by: F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = (pieces.groupBy("_k", "_range").agg(F.sum("_n").alias("_n"))
+              .select("_k", "_range", before("_k", "_range").alias("_lower")))
+    base = stage(pieces.withColumn("_base", before("_k", "_range", "_h")).join(ranges, ["_k", "_range"])
+                 .select("_k", "_h", (F.col("_base") + F.col("_lower")).alias("_base")), "identity")
+    whole = F.struct(*df.columns)
+    if any(t in df.schema.simpleString() for t in ("map<", "variant")):  # types that have no hash
+        whole = F.to_json(whole)
+    w = Window.partitionBy("_k", "_h").orderBy(*[F.col(c) for c in order], F.xxhash64(whole))
+    several = (sieved(hashed, repeated, "_k").join(base, ["_k", "_h"], "left")
+               .withColumn("_dup", (F.coalesce("_base", F.lit(0)) + F.row_number().over(w) - 1).cast("int")))
+    once = unsieved(hashed, repeated, "_k").withColumn("_dup", F.lit(0))
+    return once.unionByName(several.select(once.columns)).drop("_h")
 
 
 def whole_rows(df: DataFrame, id_col: str, *order: str) -> DataFrame:

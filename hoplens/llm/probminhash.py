@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoplens.llm.common import (connected_components, mix, packed, sieved, small, stage, unpacked, utf8,
@@ -262,6 +262,23 @@ def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
                                        pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
+def numbered(seen: DataFrame) -> Column:
+    """One number by which a document is found again: its id, or, for the second
+    and later rows of an id, a hash of id and place. A hash that meets another
+    number is found by counting, and all hashes are drawn anew."""
+    seed = 0
+    while True:
+        number = F.when(F.col("_dup") == 0, F.col("_k")).otherwise(F.xxhash64("_k", "_dup", F.lit(seed)))
+        later = seen.where("_dup > 0").select(number.alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+        if later.isEmpty():
+            return number
+        first = seen.where("_dup = 0").select(F.col("_k").alias("id"), F.lit(1).alias("n"))
+        if sieved(first, later, "id").unionByName(later).groupBy("id").agg(F.sum("n").alias("n")) \
+                .where("n > 1").isEmpty():
+            return number
+        seed += 1
+
+
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
                           rows: int = ROWS) -> DataFrame:
     """One row per document: _k, _dup, doc_id, copy_id (smallest doc_id with the
@@ -274,8 +291,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
     empty table gives an empty result.
     """
     seen = stage(signed(docs, bands, rows), "signed")
-    # a document is found again by one number: its id, or its place where ids repeat
-    number = F.when(F.col("_dup") == 0, F.col("_k")).otherwise(F.xxhash64("_k", "_dup"))
+    number = numbered(seen)
     seen = seen.withColumn("id", number)
     first = F.min(F.struct("_k", "_dup", "doc_id", "id", "bands")).alias("first")
     classes = stage(seen.where("words is not null").groupBy("words").agg(first)
