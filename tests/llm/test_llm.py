@@ -651,3 +651,54 @@ def test_block_links_connect_what_all_links_connect():
     got = probminhash.block_links(left, right, 0.8)
     assert set(got) <= set(every) and len(got) < len({r[1] for r in rows}) < len(every)
     assert parts(got) == parts(every)
+
+
+def test_embeddings_at_production_settings(spark):
+    """Planted partners at cosines of 0.9 to 0.95 among enough vectors for several tables."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((9000, 32)))
+    base = x[:1500]
+    side = rng.standard_normal(base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    cos = rng.uniform(0.9005, 0.95, (1500, 1))
+    x = np.concatenate([x, base * cos + side * np.sqrt(1 - cos ** 2)]).astype(np.float32)
+    assert embedding_dedup.tables_for(len(x))[1] > 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = embedding_dedup.near_duplicates(df).collect()
+    y = unit(x.astype(np.float64))
+    want = (y @ y.T >= embedding_dedup.THRESHOLD).sum(axis=1) - 1
+    got = np.zeros(len(x), np.int64)
+    for r in out:
+        got[r.vec_id] = r.n_links
+        assert r.kept == (r.component_id == r.vec_id)
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_signs_of_zero_are_one_vector(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} \
+        == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_identity_of_repeated_ids(spark):
+    """Half of all rows share a null id; equal rows and rows equal but for another column occur."""
+    rows = [(None if i % 2 else i // 4, f"t{i % 40}", i % 3, {"m": i % 2}) for i in range(600)]
+    rows += [(10 ** 6 + i, "single", 0, {"m": 0}) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int, more map<string,int>").repartition(7)
+    seen = [common.whole_rows(d, "doc_id", "text").select("_k", "_dup", "_row.*").collect()
+            for d in (df, df.repartition(3, "other"))]
+    numbers = {}
+    for r in seen[0]:
+        numbers.setdefault(r._k, []).append(r._dup)
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values()) and len(seen[0]) == len(rows)
+    key = lambda r: (r._k, r._dup, r.text, r.other, r.more["m"])
+    assert sorted(map(key, seen[0])) == sorted(map(key, seen[1]))
+    assert all(r._dup == 0 for r in seen[0] if r.text == "single")
+
+
+def test_numbers_of_repeated_ids_that_meet_are_drawn_anew(spark):
+    meets = spark.sql("select xxhash64(5L, 1, 0) as h").first().h
+    seen = spark.createDataFrame([(5, 0), (5, 1), (meets, 0)], "_k long, _dup int")
+    ids = [r.id for r in seen.withColumn("id", probminhash.numbered(seen)).collect()]
+    assert len(set(ids)) == 3 and {5, meets} <= set(ids)
