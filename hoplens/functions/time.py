@@ -84,8 +84,11 @@ def timestamp_to_epoch(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
-        return (F.unix_date(c.cast(T.DateType())).cast("long") * 86400
-                + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
+        parts = (F.unix_date(c.cast(T.DateType())).cast("long") * 86400
+                 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
+        # from 1970 on one division; before it that would round fractions up
+        since = c >= F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+        return F.when(since, F.to_unix_timestamp(c)).otherwise(parts)
     if isinstance(dtype, T.TimestampType):
         return F.unix_seconds(c)
     if isinstance(dtype, T.DateType):

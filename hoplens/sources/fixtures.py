@@ -3,7 +3,7 @@
 The tables are TPC-H-like: an order line becomes a transfer from the
 ordering customer to the part, customers and parts sharing one account
 namespace ``'a' || key``. The views are plain Spark plans over the Parquet
-files; ``ledger_table`` additionally stores the raw ledger once per
+files; ``ledger_table`` additionally stores the year's ledger once per
 application in the checkpoint folder (the analyses then scan a Parquet ledger
 clustered by time, as they would in production).
 """
@@ -52,12 +52,12 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     ts = timestamp_to_epoch(li, "l_shipdate") + (F.col("l_orderkey") % 24) * 3600
     lines = li.select(
-        ts.cast("long").alias("timestamp"), "l_orderkey",
-        account("l_partkey").alias("to"),
+        ts.cast("long").alias("timestamp"), "l_orderkey", "l_partkey",
         F.when(F.col("l_discount") == 0, F.lit(0.0))
          .otherwise(F.col("l_extendedprice")).cast("double").alias("value"))
+    # keys travel as longs; a window on the timestamp is applied before the join
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        "timestamp", account("o_custkey").alias("from"), "to", "value")
+        "timestamp", account("o_custkey").alias("from"), account("l_partkey").alias("to"), "value")
 
 
 def _stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -78,9 +78,11 @@ def _stored_path(spark: SparkSession, sf_dir: str, name: str, build) -> str:
 
 
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ledger_raw`` stored once per application as Parquet sorted by time."""
+    """The year of ``ledger_raw`` that every analysis reads (zero-value rows kept),
+    stored once per application as Parquet sorted by time. Lines of other years
+    are dropped by the scan: they are not joined, sorted or written."""
     return _stored_table(spark, sf_dir, "ledger", lambda path: write_clean_ledger(
-        ledger_raw(spark, sf_dir), path, mode="overwrite"))
+        time_window(ledger_raw(spark, sf_dir), YEAR_START, YEAR_END), path, mode="overwrite"))
 
 
 def ledger(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:

@@ -12,10 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoplens.functions.amounts import exact_sum
+from hoplens.functions.time import timestamp_to_epoch
 from hoplens.operators import adjacency, clean, cube, explore, flows
 from hoplens.operators.expand import khop
 from hoplens.plans import sinks, stages, strategy
 from hoplens.plans.pipeline import StudyConfig, run_study
+from hoplens.sources import fixtures as fx
 
 
 def rows_of(df, *cols):
@@ -235,3 +237,65 @@ def test_stages_are_reused_after_a_failure_and_removed_at_the_end(spark, tmp_pat
     assert len(os.listdir(tmp_path)) == 1
     assert job(False) == 3 and made[-1].reused == 2
     assert os.listdir(tmp_path) == []
+
+
+# --- the year's ledger, seconds of a wall clock, amounts of the cube -----------------
+
+def test_the_stored_ledger_is_the_year_alone(spark, tmp_path):
+    year = fx.YEAR_START // 86400
+    days = [year - 1, year, year + 100, year + 364, year + 365, None]
+    lines = [(o, p, disc, 10.0 * o if o else None, d) for o in (1, 2, 2, 23, None) for p, disc in ((5, 0.1), (6, 0.0), (None, 0.1)) for d in days]
+    (spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double, l_extendedprice double, d int")
+     .withColumn("l_shipdate", F.expr("cast(date_add(date'1970-01-01', d) as timestamp_ntz)")).drop("d")
+     .write.parquet(str(tmp_path / "lineitem.parquet")))
+    spark.createDataFrame([(1, 7), (2, None), (2, 8), (23, 9), (None, 9)], "o_orderkey long, o_custkey long").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    d = str(tmp_path)
+    year_rows = rows_of(fx.graph_edges(spark, d, stored=False))
+    assert rows_of(fx.graph_edges(spark, d)) == year_rows and len(year_rows) > 50
+    assert rows_of(fx.ledger(spark, d)) == rows_of(fx.ledger(spark, d, stored=False))
+    assert fx.ledger_table(spark, d).count() == len(year_rows) < fx.ledger_raw(spark, d).count()
+    # the window stands below the join, and keys travel as longs
+    plan = fx.time_window(fx.ledger_raw(spark, d), fx.YEAR_START, fx.YEAR_END)._jdf.queryExecution().optimizedPlan().toString()
+    join, lines_side = plan.index("Join Inner"), plan[plan.index("Join Inner"):]
+    assert str(fx.YEAR_START) in lines_side and "concat" in plan[:join] and "concat" not in lines_side
+
+
+def test_seconds_of_a_wall_clock(spark):
+    at = ["1997-09-01 13:14:15.75", "1970-01-01 00:00:00", "1969-12-31 23:59:58.25", "1900-02-28 01:02:03", None]
+    want = [873119655, 0, -2, -2203973877, None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(at)], "i int, s string").selectExpr("i", "cast(s as timestamp_ntz) as t")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            seconds = timestamp_to_epoch(df, "t")
+            assert [r.s for r in df.select("i", seconds.alias("s")).orderBy("i").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    # from 1970 on no calendar fields are taken apart
+    assert "unix_timestamp" in seconds._jc.toString()
+
+
+def test_cube_makes_hour_and_amount_once_per_transfer(spark, ledger_of):
+    led = ledger_of([(7200, "a", "b", 1.5), (7201, "a", None, 2.25), (7300, None, None, float("nan")), (None, "a", "b", 4.0),
+                     (10900, "a", "a", None)])
+    got = cube.hourly(led, 2)
+    assert rows_of(got.selectExpr("id", "direction", "hour", "cast(total as string)", "count")) == sorted(
+        [("a", "from", 7200, "3.75", 2), ("b", "to", 7200, "1.50", 1), ("a", "from", 10800, None, 1), ("a", "to", 10800, None, 1)], key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as decimal(38,2)") == 1 and plan.index("Generate") < plan.index("as decimal(38,2)")
+
+
+def test_stored_tables_are_not_sorted_inside_a_part(spark, ledger_of, tmp_path):
+    led = ledger_of([(i * 3600, f"x{i * 7 % 40}", f"x{i % 11}", 1.0) for i in range(400)])
+    seen = []
+    sort = type(led).sortWithinPartitions
+    try:
+        type(led).sortWithinPartitions = lambda self, *c, **k: seen.append(c) or sort(self, *c, **k)
+        graph = adjacency.build_graph(led, str(tmp_path / "g"))
+        cube.build_cube(led, str(tmp_path / "c"), 2)
+    finally:
+        type(led).sortWithinPartitions = sort
+    assert not seen and graph.parts == 1
+    assert [r.id for r in graph.accounts.orderBy("key").collect()] == sorted({f"x{i}" for i in range(40)})
