@@ -9,6 +9,7 @@ its words, never to its bytes times a constant.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -23,6 +24,8 @@ from hoplens.session import checkpoint_dir
 MIN_LONG = -(2 ** 63)
 #: Bytes of text worked on at once by the vectorised helpers.
 PIECE = 1 << 20
+#: Bytes of an Arrow batch, about (at least one row), that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 #: Longs in the bit table of ``sieved``: 64 million bits, some 50 MB in a task at most.
 CELLS = 1 << 20
 _POWERS: dict = {}
@@ -35,10 +38,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most about BATCH_BYTES (a
+    smaller setting stays). Spark's own bound of 64 MB is reached by texts, and
+    each task holds a batch three times: as it grows, in the JVM's native memory
+    and in the worker. No result depends on where batches are cut."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps
     start from the files, and a lost executor costs no earlier step."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hoplens.llm.common import SPACES, small, stage, utf8, word_bounds, word_hashes
 
@@ -262,12 +262,17 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT, **p
     the filter works on the batches themselves, so no join is needed."""
     model = train(docs, labels, **params)
 
-    def keep(batches):
-        for b in small(batches, 0):
-            got = features(b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float))
-            yield pa.RecordBatch.from_arrays([b.column(2)], names=["_row"]).filter(pa.array(model.scores(*got) >= cut))
+    # the row is one struct, so that no helper column has the name of an input column, and its text
+    # goes to the worker once: another column has it only where it is no string yet
+    own = [i for i, f in enumerate(docs.schema) if f.name == "text" and isinstance(f.dataType, StringType)][:1]
 
-    # the row is one struct, so that no helper column has the name of an input column
-    out = docs.select(F.struct("*").alias("_row")).select(
-        F.col("_row.text").cast("string").alias("_text"), F.col("_row.n_chars").cast("double").alias("_n"), "_row")
+    def keep(batches):
+        views = (pa.RecordBatch.from_arrays([b.column(0).field(own[0]) if own else b.column(2), *b.columns[:2]],
+                                            names=["text", "row", "n"]) for b in batches)
+        for b in small(views, 0):
+            got = features(b.column(0), b.column(2).to_numpy(zero_copy_only=False).astype(float))
+            yield pa.RecordBatch.from_arrays([b.column(1)], names=["_row"]).filter(pa.array(model.scores(*got) >= cut))
+
+    cast = [] if own else [F.col("_row.text").cast("string").alias("_text")]
+    out = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row.n_chars").cast("double").alias("_n"), *cast)
     return out.mapInArrow(keep, StructType([StructField("_row", docs.schema)])).select("_row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("hoplens.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
 from hoplens.llm import (common, embedding_dedup, exact_dedup, language, mixing, packing, pii,  # noqa: E402
                          probminhash, quality, queries, repeats, warc)
 
@@ -478,6 +481,49 @@ def test_stages_keep_columns_of_any_name(spark):
         assert got and set(got) <= whole
 
 
+def test_quality_filter_sends_bounded_batches(spark, tmp_path, monkeypatch):
+    """Workers get batches of about BATCH_BYTES, with each text once."""
+    rng = np.random.default_rng(3)
+    words = lambda i: "WORD!! | " if i % 3 == 0 else f"word{rng.integers(300)} "
+    rows = [(i, words(i) * 10000) for i in range(120)]
+    docs = docs_of(spark, rows).coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    small, at = quality.small, str(tmp_path)
+
+    def noted(batches, *where):
+        def each():
+            for b in batches:
+                open(f"{at}/{uuid.uuid4().hex}-{len(b)}-{b.column(where[0]).nbytes}", "w").close()
+                yield b
+        return small(each(), *where)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        monkeypatch.setattr(quality, "small", noted)
+        out = quality.accepted_documents(docs, labels)
+        for f in tmp_path.iterdir():  # those of the fit
+            f.unlink()
+        kept = {r.doc_id for r in out.collect()}
+        seen = [[int(x) for x in f.name.split("-")[1:]] for f in tmp_path.iterdir()]
+        assert sum(n for n, _ in seen) == 120 and max(size for _, size in seen) <= common.BATCH_BYTES + 200_000
+        assert "_text" not in out._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(quality, "small", small)
+        assert kept == {r.doc_id for r in quality.score_documents(docs, labels).collect() if r.predicted}
+        # texts of another type, and other places of the columns
+        other = docs.select("n_chars", F.col("text").cast("binary").alias("text"), "source", "doc_id")
+        got = quality.accepted_documents(other, labels)
+        assert got.schema == other.schema and {r.doc_id for r in got.collect()} == kept and 0 < len(kept) < 120
+        last = quality.accepted_documents(docs.select("source", "doc_id", "n_chars", "text"), labels).collect()
+        assert {(r.doc_id, r.text) for r in last} == {x for x in rows if x[0] in kept}
+        spark.conf.set(key, "1m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_packing_repeated_pieces(spark):
     rows = [(1, "a b c")] * 500 + [(None, "x y")] * 300 + [(2, BASE), (2, BASE + " end")]
     out = packing.pack_documents(docs_of(spark, rows), capacities=(8, 16, 64), block=64).collect()
